@@ -61,52 +61,42 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequenc
     per_key = Window.partitionBy(*keys)
     bins = bins.withColumn("__before", _before("__n", per_key.orderBy("__bin")))
     bins = bins.withColumn("__total", F.sum("__n").over(per_key))
-    position = [F.lit(float(p)) * (F.col("__total") - 1) for p in probabilities]
-    wanted = F.array_distinct(
-        F.array(*[f(pos).cast("bigint") for pos in position for f in (F.floor, F.ceil)])
-    )
 
-    def holding(ranks: Column) -> Column:
-        first, count = F.col("__before"), F.col("__n")
-        return F.filter(ranks, lambda r: (r >= first) & (r < first + count))
+    def held() -> Column:
+        """The wanted ranks (from 0) that lie within a cell of __n values after __before others."""
+        places = [F.lit(float(p)) * (F.col("__total") - 1) for p in probabilities]
+        wanted = F.array(*[f(place).cast("bigint") for place in places for f in (F.floor, F.ceil)])
+        first, last = F.col("__before"), F.col("__before") + F.col("__n")
+        return F.filter(F.array_distinct(wanted), lambda rank: (rank >= first) & (rank < last))
 
-    hit_bins = (
-        bins.withColumn("__ranks", holding(wanted))
-        .filter(F.size("__ranks") > 0)
-        .select(*keys, "__bin", "__low", "__high", "__ranks", "__total", F.col("__before").alias("__base"))
+    hit_bins = bins.filter(F.size(held()) > 0).select(
+        *keys, "__bin", "__low", "__high", "__total", F.col("__before").alias("__base")
     )
-
+    # __base and __total depend on the bin: as grouping keys they travel along without a second join
     slot = even_slot(F.col("__x"), F.col("__low"), F.col("__high"), SLOTS_PER_BIN)
-    inside = data.join(hint(hit_bins.select(*keys, "__bin", "__low", "__high")), [*keys, "__bin"])
-    inside = inside.select(*keys, "__bin", slot.alias("__slot"), "__x")
-    # arrays stay out of the aggregation (they would force a sort); they are joined to its result
-    slots = (
-        inside.groupBy(*keys, "__bin", "__slot")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .join(hint(hit_bins), [*keys, "__bin"])
+    inside = data.join(hint(hit_bins), [*keys, "__bin"]).select(
+        *keys, "__bin", slot.alias("__slot"), "__x", "__base", "__total"
     )
+    slots = inside.groupBy(*keys, "__bin", "__slot", "__base", "__total").agg(F.count(F.lit(1)).alias("__n"))
     in_bin = Window.partitionBy(*keys, "__bin").orderBy("__slot")
     hit_slots = (
         slots.withColumn("__before", F.col("__base") + _before("__n", in_bin))
-        .withColumn("__ranks", holding(F.col("__ranks")))
-        .filter(F.size("__ranks") > 0)
-        .select(*keys, "__bin", "__slot", "__ranks", "__total", F.col("__before").alias("__base"))
+        .filter(F.size(held()) > 0)
+        .select(*keys, "__bin", "__slot", F.col("__before").alias("__start"))
     )
-
     values = (
-        inside.join(hint(hit_slots.select(*keys, "__bin", "__slot")), [*keys, "__bin", "__slot"], "left_semi")
-        .groupBy(*keys, "__bin", "__slot", "__x")
+        inside.join(hint(hit_slots), [*keys, "__bin", "__slot"])
+        .groupBy(*keys, "__bin", "__slot", "__x", "__start", "__total")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .join(hint(hit_slots), [*keys, "__bin", "__slot"])
     )
     in_slot = Window.partitionBy(*keys, "__bin", "__slot").orderBy("__x")
     found = (
-        values.withColumn("__before", F.col("__base") + _before("__n", in_slot))
-        .withColumn("__rank", F.explode(holding(F.col("__ranks"))))
+        values.withColumn("__before", F.col("__start") + _before("__n", in_slot))
+        .withColumn("__rank", F.explode(held()))
         .groupBy(*keys)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__at"),
-            F.first("__total").alias("n"),
+            F.max("__total").alias("n"),
         )
     )
     spread = found.select(

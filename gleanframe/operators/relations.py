@@ -67,12 +67,12 @@ def key_values(candidates: Sequence[tuple[int, Table, ColumnFacts]]) -> DataFram
 
 def _members(values: DataFrame) -> Column:
     """The column numbers encoded in the masks, ascending."""
-    found = []
-    for k, name in enumerate(c for c in values.columns if c != "value" and c != "n"):
+    def decoded(k: int) -> Column:
         ids = F.sequence(F.lit(BITS * k), F.lit(BITS * (k + 1) - 1))
-        found.append(F.filter(ids, lambda i, m=F.col(name), k=k: F.call_function(
-            "bit_get", m, i - BITS * k) == 1))
-    return F.flatten(F.array(*found))
+        return F.filter(ids, lambda i: F.call_function("bit_get", F.col(f"m{k}"), i - BITS * k) == 1)
+
+    masks = [c for c in values.columns if c not in ("value", "n")]
+    return F.flatten(F.array(*[decoded(k) for k in range(len(masks))]))
 
 
 def _pairs(columns: str) -> Column:
