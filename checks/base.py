@@ -202,7 +202,7 @@ roles AS (
   UNION ALL SELECT table_id, column_name, kind FROM s WHERE kind IN ('numeric', 'categorical', 'datetime', 'identifier'))
 SELECT * FROM roles""")
 def column_roles(d: Data):
-    described = K.union_all([K.structure(t) for t in d.tables("part", "orders", "nation", "lineitem")])
+    described = K.structures(d.tables("part", "orders", "nation", "lineitem"))
     return K.role_table(described).withColumnRenamed("column", "column_name")
 
 

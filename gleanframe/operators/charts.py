@@ -84,8 +84,7 @@ def mean_by_category(df: DataFrame, category: str, number: str, top: int = BAR_T
 def median_by_group(df: DataFrame, category: str, number: str, top: int = GEO_TOP) -> DataFrame:
     """(group, n, median) of the groups with the highest medians; group names are stripped."""
     rows = _group_rows(df, category, number).withColumn("g", S.strip(F.col("g")))
-    # groups are not capped before their medians are known, so nothing is broadcast here
-    medians = O.exact_quantiles(rows, ["g"], [0.5], bounded_keys=False)
+    medians = O.exact_quantiles(rows, ["g"], [0.5], bounded_keys=O.few_groups(rows, ["g"]))
     return medians.orderBy(F.desc("quantile"), F.asc("g")).limit(top).select(
         F.col("g").alias("group"), "n", F.col("quantile").alias("median"))
 
@@ -278,7 +277,8 @@ def caption_extremes(df: DataFrame, category: str, number: str) -> DataFrame:
 
 def caption_medians(df: DataFrame, category: str, number: str) -> DataFrame:
     """One row (best, worst): the groups of the highest and the lowest median."""
-    medians = O.exact_quantiles(_group_rows(df, category, number), ["g"], [0.5], bounded_keys=False)
+    rows = _group_rows(df, category, number)
+    medians = O.exact_quantiles(rows, ["g"], [0.5], bounded_keys=O.few_groups(rows, ["g"]))
     return medians.agg(F.min_by("g", F.struct(-F.col("quantile"), F.col("g"))).alias("best"),
                        F.min_by("g", F.struct(F.col("quantile"), F.col("g"))).alias("worst"))
 

@@ -77,13 +77,16 @@ def fingerprint(c: Column, dtype: T.DataType) -> Column:
     return F.when(F.length(c) > DIGEST_ABOVE, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, nunique): exact number of distinct non-missing values per column."""
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) rows to be made distinct: values as short text."""
     types = dtypes(df)
     values = {c: fingerprint(S.present(c, types[c]), types[c]).cast("string") for c in columns}
-    distinct = unpivot(df, values, "column", "value").filter(F.col("value").isNotNull()).distinct()
-    counted = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
-    return counted
+    return unpivot(df, values, "column", "value").filter(F.col("value").isNotNull())
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, nunique): exact number of distinct non-missing values per column."""
+    return distinct_values(df, columns).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
 
 
 def distinct_up_to(rows: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:

@@ -109,6 +109,11 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequenc
     return spread.select(*keys, "p", value.alias("quantile"), "n")
 
 
+def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = 50_000) -> bool:
+    """Whether ``rows`` have at most ``limit`` different keys: one small job that ends when more are seen."""
+    return rows.select(*keys).distinct().limit(limit + 1).count() <= limit
+
+
 def quantile_columns(rows: DataFrame, keys: Sequence[str], names: dict[str, float],
                      x: str = "x", bounded_keys: bool = True) -> DataFrame:
     """(keys..., one column per named quantile)."""

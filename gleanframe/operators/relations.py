@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import names as N, scalar as S
@@ -75,11 +75,13 @@ def _members(values: DataFrame) -> Column:
     return F.flatten(F.array(*[decoded(k) for k in range(len(masks))]))
 
 
-def _pairs(columns: str) -> Column:
+def _pairs(columns: str, with_self: bool = False) -> Column:
+    """The pairs a < b (or a <= b) of an array of column numbers: its length is bounded by the schemas."""
+    def later(a: Column) -> Column:
+        return F.filter(columns, lambda b: (b >= a) if with_self else (b > a))
+
     return F.flatten(F.transform(
-        columns,
-        lambda a: F.transform(F.filter(columns, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))),
-    ))
+        columns, lambda a: F.transform(later(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
 def column_overlaps(values: DataFrame) -> DataFrame:
@@ -90,13 +92,13 @@ def column_overlaps(values: DataFrame) -> DataFrame:
     masks = [c for c in values.columns if c != "value"]
     sets = values.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
     sets = sets.select(_members(sets).alias("columns"), "n")
-    sizes = sets.select(F.explode("columns").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("size"))
-    pairs = sets.filter(F.size("columns") > 1).select(F.explode(_pairs("columns")).alias("p"), "n")
-    matched = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("matched"))
-    left = sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a"))
-    right = sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b"))
-    # one row per candidate column
-    return matched.join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    pairs = sets.select(F.explode(_pairs("columns", with_self=True)).alias("p"), "n")
+    counts = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("matched"))
+    # the pair of a column with itself tells its size; per column there is one row per other column
+    own = F.when(F.col("a") == F.col("b"), F.col("matched"))
+    sized = counts.withColumn("size_a", F.max(own).over(Window.partitionBy("a"))).withColumn(
+        "size_b", F.max(own).over(Window.partitionBy("b")))
+    return sized.filter("a <> b")
 
 
 def _pair_facts(candidates: Sequence[tuple[int, Table, ColumnFacts]]) -> list[tuple]:
@@ -126,7 +128,8 @@ def join_links(tables: Sequence[Table], facts: Mapping[str, Facts] | None = None
                "name_score double, keyed boolean, both_dates boolean, left_unique bigint, right_unique bigint, "
                "left_ratio double, right_ratio double")
     overlaps = column_overlaps(key_values(candidates))
-    joined = known.join(overlaps, ["a", "b"]).filter(F.col("matched") >= limits.min_shared_values)
+    # overlaps: at most one row per pair of candidate columns
+    joined = overlaps.join(F.broadcast(known), ["a", "b"]).filter(F.col("matched") >= limits.min_shared_values)
     measured = joined.select(
         "*",
         (F.col("matched") / (F.col("size_a") + F.col("size_b") - F.col("matched"))).alias("jaccard"),

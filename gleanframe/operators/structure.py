@@ -13,12 +13,15 @@ from ..sources.tables import Table
 from . import frequency as Q
 
 
-def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """One row per column: table_id, column, ordinal, kind, dtype, rows, non_null, nunique, complete_rows,
-    is_datetime_candidate.  Nested columns are listed without kind."""
+def _counts(table: Table) -> DataFrame:
+    """One row per column of a table with its counts and name hints, from one pass over the rows."""
     df, types = table.df, Q.dtypes(table.df)
-    flat = Q.flat_columns(df)
-    texts = [c for c in flat if isinstance(types[c], T.StringType)]
+    position = {c: i for i, c in enumerate(df.columns)}
+    filled = {c: S.present(c, types[c]).isNotNull() for c in df.columns}
+    texts = [c for c in df.columns if isinstance(types[c], T.StringType)]
+    complete = F.lit(True)
+    for test in filled.values():
+        complete = complete & test
 
     def tests(c: str) -> dict[str, Column]:
         value = S.col(c)
@@ -28,11 +31,6 @@ def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
             "numbers": S.text_to_number(value).isNotNull(),
         }
 
-    filled = {c: S.present(c, types[c]).isNotNull() for c in df.columns}
-    complete = F.lit(True)
-    for test in filled.values():
-        complete = complete & test
-    position = {c: i for i, c in enumerate(df.columns)}
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(complete).alias("complete_rows"),
@@ -42,10 +40,9 @@ def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
 
     def entry(c: str) -> Column:
         i, dtype = position[c], types[c]
-        text = c in texts
 
         def known(kind: str) -> Column:
-            return F.col(f"{kind}{i}") if text else F.lit(0).cast("bigint")
+            return F.col(f"{kind}{i}") if c in texts else F.lit(0).cast("bigint")
 
         family = (
             "nested" if S.is_nested(dtype) else "boolean" if isinstance(dtype, T.BooleanType)
@@ -59,18 +56,34 @@ def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
             F.lit(N.mentions(c, N.MEASURE_WORDS)).alias("measure_name"),
         )
 
-    described = counts.select(
-        "rows", "complete_rows", F.explode(F.array(*[entry(c) for c in df.columns])).alias("e")
-    ).select("rows", "complete_rows", "e.*")
-    joined = (
-        described.join(F.broadcast(Q.distinct_counts(df, flat)), "column", "left")
-        if flat else described.withColumn("nunique", F.lit(None).cast("bigint"))
-    )
+    entries = F.explode(F.array(*[entry(c) for c in df.columns]))
+    return counts.select("rows", "complete_rows", entries.alias("e")).select(
+        F.lit(table.id).alias("table_id"), "rows", "complete_rows", "e.*")
+
+
+def structures(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """One row per column: table_id, column, ordinal, kind, dtype, rows, non_null, nunique, complete_rows,
+    is_datetime_candidate.  Nested columns are listed without kind.
+
+    The distinct values of all tables are counted in one shuffle.
+    """
+    described = union_all([_counts(t) for t in tables])
+    values = []
+    for t in tables:
+        flat = Q.flat_columns(t.df)
+        if flat:
+            values.append(Q.distinct_values(t.df, flat).withColumn("table_id", F.lit(t.id)))
+    if values:
+        levels = union_all(values).distinct().groupBy("table_id", "column").agg(F.count(F.lit(1)).alias("nunique"))
+        # one row per column
+        joined = described.join(F.broadcast(levels), ["table_id", "column"], "left")
+    else:
+        joined = described.withColumn("nunique", F.lit(None).cast("bigint"))
     joined = joined.withColumn(
         "nunique", F.when(F.col("family") != "nested", F.coalesce("nunique", F.lit(0)))
     )
     return joined.select(
-        F.lit(table.id).alias("table_id"), "column", "ordinal", kind_of(limits).alias("kind"), "dtype",
+        "table_id", "column", "ordinal", kind_of(limits).alias("kind"), "dtype",
         "rows", "non_null", "nunique", "complete_rows",
         ((F.col("family") == "datetime") | ((F.col("family") == "text") & _dated(limits))).alias(
             "is_datetime_candidate"
@@ -78,6 +91,11 @@ def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     )
 
 
+def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """The structure rows of one table."""
+    return structures([table], limits)
+
+
 def _dated(limits: Limits) -> Column:
     share = F.try_divide(F.col("dates"), F.col("non_null"))
     plain = F.try_divide(F.col("plain"), F.col("non_null"))
@@ -151,7 +169,7 @@ def collect_facts(described: DataFrame) -> dict[str, dict[str, ColumnFacts]]:
 
 def table_facts(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> dict[str, dict[str, ColumnFacts]]:
     """Facts of several tables from one job."""
-    return collect_facts(union_all([structure(t, limits) for t in tables]))
+    return collect_facts(structures(tables, limits))
 
 
 def with_dates(table: Table, columns: Sequence[str], formats: Sequence[str] = S.DATE_FORMATS) -> Table:

@@ -1,2 +1,139 @@
-class Profile: pass
-def profile(): pass
+"""The full profile of one or several tables."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..config import DEFAULT_LIMITS, Limits
+from ..operators import (
+    anomalies, associations, concentration, derived, metrics, quality, rank_tests, relations, structure as K,
+)
+from ..session import shared_folder
+from ..sources.sinks import save_results
+from ..sources.tables import Table
+from . import findings
+
+
+@dataclass
+class Profile:
+    """Result tables by name; each carries ``table_id`` where it describes one table."""
+
+    results: dict[str, DataFrame]
+    facts: dict[str, dict[str, K.ColumnFacts]]
+    roles: dict[str, K.Roles]
+    tables: list[Table] = field(default_factory=list)
+    folder: str = ""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.results[name]
+
+    def save(self, folder: str, fmt: str = "json") -> None:
+        save_results(self.results, folder, fmt)
+
+
+def table_results(table: Table, facts: K.Facts, roles: K.Roles, limits: Limits = DEFAULT_LIMITS,
+                  plan: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """The result tables of one table that are computed from its rows; nothing runs yet."""
+    df, pairs = derived.with_ratios(table.df, roles)
+    plan = plan if plan is not None else metrics.default_plan(facts)
+    measures = K.ordered(roles.measures(), tuple(pairs))
+    out: dict[str, DataFrame] = {}
+    if plan:
+        out["metrics"] = metrics.metrics(table.df, plan)
+    out["associations"] = associations.associations(table.df, facts, limits)
+    if pairs:
+        out["derived"] = derived.ratio_summary(df, pairs)
+    if roles.concentrations():
+        out["concentration_values"] = concentration.concentration_values(df, roles.concentrations(), roles.geo, limits)
+    if measures:
+        out["outliers"] = anomalies.outliers_with_examples(df, measures, limits)
+    if roles.measures():
+        out["implausible"] = anomalies.implausible(df, roles, limits)
+    if roles.labels():
+        out["label_duplicates"] = anomalies.label_duplicates(df, roles.labels())
+    groups, numbers = roles.profile_groups(), roles.profile_numbers(tuple(pairs))
+    if groups and numbers:
+        out["group_profiles"] = concentration.group_profiles(df, groups, numbers, limits)
+    return out
+
+
+def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
+            roles: Mapping[str, K.Roles] | None = None,
+            plans: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> Profile:
+    """Run all analyses.
+
+    Results are written once to the shared folder of the cluster, so that findings
+    read small tables instead of repeating the work, and lost executors cost a task.
+    ``roles`` and ``plans`` override, per table id, what names and kinds suggest.
+    """
+    tables = [tables] if isinstance(tables, Table) else list(tables)
+    spark = tables[0].df.sparkSession
+    folder = shared_folder(spark, "profile")
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    described = stored("structure", K.structures(tables, limits))
+    facts = K.collect_facts(described)
+    prepared = [K.with_dates(t, [c for c, f in facts[t.id].items() if f.is_datetime_candidate]) for t in tables]
+    chosen = {t.id: (roles or {}).get(t.id) or K.roles_of(facts[t.id]) for t in tables}
+
+    # dates that do not parse count as missing, so kinds are kept and fill is counted again
+    changed = [t for t, p in zip(tables, prepared) if t.df.schema != p.df.schema]
+    after = described
+    if changed:
+        recounted = K.structures(prepared, limits).select("table_id", "column", "non_null", "nunique", "complete_rows")
+        after = stored("structure_prepared", described.drop("non_null", "nunique", "complete_rows").join(
+            F.broadcast(recounted), ["table_id", "column"]))
+    columns = stored("quality_columns", quality.quality_columns(after, limits))
+    duplicates = stored("duplicates", K.union_all([quality.table_duplicates(t) for t in prepared]))
+    summary = stored("quality_summary", quality.quality_summary(columns, duplicates, limits))
+
+    results = {"structure": described, "quality_columns": columns, "quality_summary": summary}
+    collected: dict[str, list[DataFrame]] = {}
+
+    def add(name: str, table: Table, df: DataFrame) -> DataFrame:
+        kept = stored(f"{name}/{table.id}", df)
+        collected.setdefault(name, []).append(kept.select(F.lit(table.id).alias("table_id"), "*"))
+        return kept
+
+    worded: list[tuple[str, DataFrame]] = []
+    for table in prepared:
+        mine, own = chosen[table.id], facts[table.id]
+        found = {
+            name: add(name, table, df)
+            for name, df in table_results(table, own, mine, limits, (plans or {}).get(table.id)).items()
+        }
+        if mine.money or mine.numeric:
+            found["tests"] = add("tests", table, rank_tests.rank_tests(table.df, mine, found["associations"], limits))
+        if "concentration_values" in found:
+            add("concentration", table, concentration.concentration_summary(found["concentration_values"]))
+        if "group_profiles" in found:
+            found["group_ranges"] = add("group_ranges", table, concentration.median_ranges(found["group_profiles"], limits))
+        usable = [n for n in ("concentration_values", "outliers", "implausible", "label_duplicates", "tests", "derived")
+                  if n in found]
+        if usable:
+            names = tuple(derived.ratio_pairs(mine.money, mine.area))
+            add("highlights", table, findings.highlights(found, mine, limits))
+            worded.append((table.name, stored(f"table_hypotheses/{table.id}",
+                                              findings.hypotheses(found, mine, names, limits))))
+    for name, parts in collected.items():
+        results[name] = K.union_all(parts)
+
+    if len(tables) > 1:
+        links = stored("relations", relations.relations(prepared, facts, limits))
+        results["relations"] = links
+        results["relation_examples"] = stored("relation_examples", relations.link_examples(prepared, facts, links, limits))
+    of_links = findings.relation_hypotheses(results["relations"], limits) if len(tables) > 1 else None
+    if worded or of_links is not None:
+        results["hypotheses"] = stored("hypotheses", findings.merge_hypotheses(of_links, worded))
+    if "metrics" in results:
+        counts = results["metrics"].filter("metric = 'count'").join(
+            F.broadcast(described.select("table_id", "column", "ordinal")), ["table_id", "column"]
+        ).select("table_id", "column", "ordinal", F.col("value_double").alias("count"))
+        results["recommendations"] = stored("recommendations", findings.recommendations(summary, counts, limits))
+    return Profile(results, facts, chosen, prepared, folder)
