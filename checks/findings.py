@@ -145,7 +145,7 @@ SELECT '{category}' AS col_a, '{number}' AS col_b, 12.0 / (t * (t + 1.0)) * sum(
 
 @query("kruskal_flag_price", f"SELECT col_a, col_b, {r('s', 'stat')}, n FROM ({kruskal_sql('lineitem', 'l_returnflag', 'l_extendedprice')})")
 def kruskal_flag_price(d: Data):
-    return R.kruskal(d.lineitem, "l_returnflag", "l_extendedprice")
+    return R.kruskal(d.lineitem, ["l_returnflag"], ["l_extendedprice"])
 
 
 @query("rank_tests_orders", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
+from ..sources.literals import settled
 from . import frequency as Q, order_stats as O
 from .structure import Roles, ordered
 
@@ -21,11 +22,14 @@ def _far_by_median(limits: Limits) -> Column:
     return F.coalesce((F.col("mad") > 0) & (F.abs(z) > limits.z_threshold), F.lit(False))
 
 
+BOUNDS = ("min", "max", "mean", "median", "mad", "near_low", "near_high", "wide_low", "wide_high")
+
+
 def outlier_bounds(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """One row per testable column: its statistics, both fences and the median deviation.
 
     mad is the median distance from the median, and null where the column has too
-    few levels for the median test.
+    few levels for the median test.  The rows are computed at once: one per column.
     """
     rows = Q.number_rows(df, columns)
     levels = Q.distinct_up_to(rows, ["column"], "x", limits.z_min_levels)
@@ -33,26 +37,25 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAU
         F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")
     )
     cuts = O.quantile_columns(rows, ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    centre = cuts.select("column", "median").join(
-        F.broadcast(levels.filter(F.col("levels") >= limits.z_min_levels)), "column", "left_semi"
-    )
-    gaps = rows.join(F.broadcast(centre), "column").select("column", F.abs(F.col("x") - F.col("median")).alias("x"))
-    mad = O.quantile_columns(gaps, ["column"], {"mad": 0.5})
     # every side has one row per column
-    joined = (
+    known = settled(
         base.join(F.broadcast(levels), "column").join(F.broadcast(cuts), "column")
-        .join(F.broadcast(mad), "column", "left")
         .filter((F.col("n") >= limits.outlier_min_rows) & (F.col("levels") >= limits.outlier_min_levels))
     )
+    centre = known.filter(F.col("levels") >= limits.z_min_levels).select("column", "median")
+    gaps = rows.join(F.broadcast(centre), "column").select("column", F.abs(F.col("x") - F.col("median")).alias("x"))
+    mad = O.quantile_columns(gaps, ["column"], {"mad": 0.5})
     width = F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1"))
-    for name, fence in (("near", limits.fence), ("wide", limits.wide_fence)):
-        joined = joined.withColumn(f"{name}_low", F.col("q1") - fence * width)
-        joined = joined.withColumn(f"{name}_high", F.col("q3") + fence * width)
-    return joined
+    return settled(known.join(F.broadcast(mad), "column", "left").select(
+        "column", "min", "max", "mean", "median", "mad",
+        (F.col("q1") - limits.fence * width).alias("near_low"), (F.col("q3") + limits.fence * width).alias("near_high"),
+        (F.col("q1") - limits.wide_fence * width).alias("wide_low"),
+        (F.col("q3") + limits.wide_fence * width).alias("wide_high"),
+    ))
 
 
 def numeric_outliers(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """(column, n_outliers, pct, fence, lower, upper, min, max, median, mean) of columns with outliers.
+    """(column, n_outliers, pct, fence, lower, upper, min, max, median, mean, mad) of columns with outliers.
 
     Values beyond the 1.5 IQR fence (3.0 where that would flag more than 12 % of all
     rows) or far from the median; both fences are counted in the same pass.
@@ -61,11 +64,9 @@ def numeric_outliers(df: DataFrame, columns: Sequence[str], limits: Limits = DEF
     rows_total = df.agg(F.count(F.lit(1))).scalar()
     far = _far_by_median(limits)
     near, wide = _out_of("near_low", "near_high"), _out_of("wide_low", "wide_high")
-    tested = Q.number_rows(df, columns).join(
-        F.broadcast(bounds.select("column", "near_low", "near_high", "wide_low", "wide_high", "median", "mad")),
-        "column",
-    )
-    counts = tested.groupBy("column").agg(
+    tested = Q.number_rows(df, columns).join(F.broadcast(bounds), "column")
+    # the bounds depend on the column, so they may travel as grouping keys
+    counts = tested.groupBy("column", *BOUNDS).agg(
         F.count_if(near).alias("n_near"), F.count_if(near | far).alias("with_near"),
         F.count_if(wide | far).alias("with_wide"),
     ).withColumn("rows", rows_total)
@@ -73,9 +74,8 @@ def numeric_outliers(df: DataFrame, columns: Sequence[str], limits: Limits = DEF
     found = counts.withColumn("use_wide", use_wide).withColumn(
         "n_outliers", F.when(F.col("use_wide"), F.col("with_wide")).otherwise(F.col("with_near"))
     )
-    joined = found.filter("n_outliers > 0").join(F.broadcast(bounds), "column")
     fenced = F.col("near_low").isNotNull()
-    return joined.select(
+    return found.filter("n_outliers > 0").select(
         "column", "n_outliers", S.percent(F.col("n_outliers"), F.col("rows"), None).alias("pct"),
         F.when(fenced, F.when(F.col("use_wide"), limits.wide_fence).otherwise(limits.fence)).alias("fence"),
         F.when(F.col("use_wide"), F.col("wide_low")).otherwise(F.col("near_low")).alias("lower"),
@@ -101,8 +101,13 @@ def outlier_examples(df: DataFrame, found: DataFrame, columns: Sequence[str],
 
 
 def outliers_with_examples(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    found = numeric_outliers(df, columns, limits)
-    listed = outlier_examples(df, found, columns, limits).groupBy("column").agg(
+    found = settled(numeric_outliers(df, columns, limits))
+    return with_examples(found, outlier_examples(df, found, columns, limits))
+
+
+def with_examples(found: DataFrame, examples: DataFrame) -> DataFrame:
+    """Outlier rows with their examples as an array."""
+    listed = examples.groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))),
                     lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))).alias("examples")
     )

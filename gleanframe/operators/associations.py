@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
+from ..sources.literals import literal_rows
 from . import frequency as Q
 from .structure import Facts, union_all
 
@@ -168,7 +169,7 @@ def associations(df: DataFrame, facts: Facts, limits: Limits = DEFAULT_LIMITS) -
         parts.append(graded(correlation_ratio(df, categories, numbers, limits), "eta", limits.effect_strong,
                             limits.effect_moderate, limits.top_eta, limits))
     if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "type string, col_a string, col_b string, stat double, n bigint, strength string, "
+        return literal_rows(
+            df.sparkSession, [], "type string, col_a string, col_b string, stat double, n bigint, strength string, "
                 "direction string, rank bigint")
     return union_all(parts)

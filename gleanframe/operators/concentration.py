@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
+from ..sources.literals import settled
 from . import frequency as Q, order_stats as O
 
 
@@ -112,8 +113,8 @@ def group_profiles(df: DataFrame, categories: Sequence[str], numbers: Sequence[s
         .withColumn("rank", F.row_number().over(pair.orderBy(F.desc("count"), F.asc("value"))))
         .filter((F.col("kept_groups") >= 2) & (F.col("rank") <= limits.groups_kept))
     )
-    kept = judged.select("cat", "num", "value", "count", "mean", "min", "max", "overall_mean")
     # at most 20 groups per pair of columns: the list of kept groups is small
+    kept = settled(judged.select("cat", "num", "value", "count", "mean", "min", "max", "overall_mean"))
     inside = rows.join(F.broadcast(kept.select("cat", "num", "value")), ["cat", "num", "value"], "left_semi")
     medians = O.quantile_columns(inside, ["cat", "num", "value"], {"median": 0.5})
     overall = O.quantile_columns(rows.select("cat", "num", "x"), ["cat", "num"], {"overall_median": 0.5})

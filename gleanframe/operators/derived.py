@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalar as S
+from ..sources.literals import literal_rows
 from . import frequency as Q, order_stats as O
 from .structure import Roles
 
@@ -31,8 +32,8 @@ def ratio_summary(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFr
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")
     )
     cuts = O.quantile_columns(rows, ["column"], {"median": 0.5, "p90": 0.9})
-    sides = df.sparkSession.createDataFrame(
-        [(name, m, a) for name, (m, a) in pairs.items()], "column string, numerator string, denominator string"
+    sides = literal_rows(
+        df.sparkSession, [(name, m, a) for name, (m, a) in pairs.items()], "column string, numerator string, denominator string"
     )
     # one row per ratio on every side
     joined = base.join(F.broadcast(cuts), "column").join(F.broadcast(sides), "column")

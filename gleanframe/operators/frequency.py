@@ -175,3 +175,4 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     """The first ``k`` rows of each group; Spark keeps k rows per task before it shuffles."""
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).filter(F.col(rank) <= k)
+

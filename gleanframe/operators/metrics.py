@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
+from ..sources.literals import literal_rows
 from . import frequency as Q, order_stats as O
 from .structure import Facts, union_all
 
@@ -189,9 +190,8 @@ def datetime_metrics(df: DataFrame, columns: Sequence[str], wanted: Sequence[str
 def _complete(metrics: DataFrame, df: DataFrame, columns: Sequence[str], names: Sequence[str],
               zero: Sequence[str] = ()) -> DataFrame:
     """Add the null (or 0) metrics of columns that hold no value at all."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(
-        [(c, m, 0.0 if m in zero else None) for c in columns for m in names],
+    wanted = literal_rows(
+        df.sparkSession, [(c, m, 0.0 if m in zero else None) for c in columns for m in names],
         "column string, metric string, fallback double",
     )
     return (

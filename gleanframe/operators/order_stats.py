@@ -11,102 +11,107 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 BINS_PER_E = 64          # bins per factor e: at most ~190 000 bins over all doubles
 BIN_OFFSET = 50_000      # keeps the bins of positive numbers positive
 INFINITE_BIN = 200_000
 SLOTS_PER_BIN = 4096     # even slots inside a bin that holds a wanted rank
-SLOTS_TOTAL = 65_536     # even slots over all bins when every value is ranked
+SLOTS_TOTAL = 16_384     # even slots over all bins when every value is ranked
 
 
-def magnitude_bin(x: Column) -> Column:
-    """An integer that never decreases while x grows."""
-    size = F.abs(x)
-    level = F.floor(F.ln(size) * BINS_PER_E).cast("int") + F.lit(BIN_OFFSET)
-    bin_ = F.when(size == 0, 0).when(size == float("inf"), INFINITE_BIN).otherwise(level)
-    # never null for a number: saying so spares a null test that would take the logarithm again
-    return F.coalesce(F.when(x < 0, -bin_).otherwise(bin_).cast("int"), F.lit(0))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def even_slot(x: Column, low: Column, high: Column, slots: Column | int) -> Column:
-    slots = F.lit(slots) if isinstance(slots, int) else slots
-    # halved so that the width of a bin cannot overflow
-    share = F.try_divide(x / 2 - low / 2, high / 2 - low / 2)
-    slot = F.least(F.floor(share * slots), slots - 1)
-    return F.coalesce(F.when((low == high) | F.isnan(share), 0).otherwise(slot).cast("int"), F.lit(0))
+def _listed(names: Sequence[str]) -> str:
+    return "".join(_quoted(n) + ", " for n in names)
 
 
-def _before(n: str, w) -> Column:
-    return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def magnitude_bin(x: str) -> str:
+    """SQL for an integer that never decreases while x grows; never null for a number."""
+    level = (f"CASE WHEN {x} = 0 THEN 0 WHEN abs({x}) = double('inf') THEN {INFINITE_BIN} "
+             f"ELSE CAST(floor(ln(abs({x})) * {BINS_PER_E}) AS INT) + {BIN_OFFSET} END")
+    return f"coalesce(CAST(signum({x}) AS INT) * {level}, 0)"
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float],
-                    x: str = "x", bounded_keys: bool = True) -> DataFrame:
-    """(keys..., p, quantile, n): linearly interpolated quantiles of the non-null ``x`` per key.
+def even_slot(x: str, low: str, high: str, slots: str | int) -> str:
+    """SQL for the number of the even slot of x between low and high; halves keep the width from overflowing."""
+    share = f"try_divide({x} / 2 - {low} / 2, {high} / 2 - {low} / 2)"
+    return (f"coalesce(CASE WHEN {low} = {high} OR isnan({share}) THEN 0 "
+            f"ELSE CAST(least(floor({share} * {slots}), {slots} - 1) AS INT) END, 0)")
 
-    ``rows`` is read three times and never shuffled as such: what is shuffled are
-    cell totals and the distinct values of the few cells that hold a wanted rank.
-    With ``bounded_keys`` (column names, capped group lists) there are at most two
-    wanted ranks per key and probability, and that list is broadcast.
+
+def _before(n: str, partition: Sequence[str], order: str) -> str:
+    """SQL for the running sum of n over the rows before the current one."""
+    by = ", ".join(_quoted(c) for c in partition)
+    return (f"coalesce(sum({n}) OVER ({'PARTITION BY ' + by if by else ''} ORDER BY {order} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+
+
+def _ranked_values(rows: DataFrame, keys: list[str], probabilities: Sequence[float], x: str,
+                   bounded_keys: bool) -> DataFrame:
+    """(keys..., __at, n): per key a map from each rank next to a wanted quantile to its value.
+
+    Expressions are SQL text: the plan is long, and text is parsed in one call each.
     """
-    keys = list(keys)
     hint = F.broadcast if bounded_keys else (lambda d: d)
-    data = rows.select(*keys, F.col(x).alias("__x")).filter(F.col("__x").isNotNull())
-    data = data.withColumn("__bin", magnitude_bin(F.col("__x")))
-
-    bins = data.groupBy(*keys, "__bin").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high")
-    )
-    per_key = Window.partitionBy(*keys)
-    bins = bins.withColumn("__before", _before("__n", per_key.orderBy("__bin")))
-    bins = bins.withColumn("__total", F.sum("__n").over(per_key))
-
-    def held() -> Column:
-        """The wanted ranks (from 0) that lie within a cell of __n values after __before others."""
-        places = [F.lit(float(p)) * (F.col("__total") - 1) for p in probabilities]
-        wanted = F.array(*[f(place).cast("bigint") for place in places for f in (F.floor, F.ceil)])
-        first, last = F.col("__before"), F.col("__before") + F.col("__n")
-        return F.filter(F.array_distinct(wanted), lambda rank: (rank >= first) & (rank < last))
-
-    hit_bins = bins.filter(F.size(held()) > 0).select(
-        *keys, "__bin", "__low", "__high", "__total", F.col("__before").alias("__base")
-    )
+    k = _listed(keys)
+    by_key = f"PARTITION BY {k[:-2]}" if keys else ""
+    data = rows.selectExpr(*[_quoted(c) for c in keys], f"{_quoted(x)} AS __x", f"{magnitude_bin(_quoted(x))} AS __bin")
+    data = data.filter("__x IS NOT NULL")
+    bins = data.groupBy(*keys, "__bin").agg(F.expr("count(1) AS __n"), F.expr("min(__x) AS __low"), F.expr("max(__x) AS __high"))
+    bins = bins.selectExpr("*", f"{_before('__n', keys, '__bin')} AS __before", f"sum(__n) OVER ({by_key}) AS __total")
+
+    # ranks from 0 next to each wanted place, and those of them within a cell of __n values after __before others
+    places = ", ".join(f"CAST({side}({float(p)!r}D * (__total - 1)) AS BIGINT)" for p in probabilities for side in ("floor", "ceil"))
+    held = f"filter(array_distinct(array({places})), r -> r >= __before AND r < __before + __n)"
+
+    hit_bins = bins.filter(f"size({held}) > 0").selectExpr(
+        *[_quoted(c) for c in keys], "__bin", "__low", "__high", "__total", "__before AS __base")
     # __base and __total depend on the bin: as grouping keys they travel along without a second join
-    slot = even_slot(F.col("__x"), F.col("__low"), F.col("__high"), SLOTS_PER_BIN)
-    inside = data.join(hint(hit_bins), [*keys, "__bin"]).select(
-        *keys, "__bin", slot.alias("__slot"), "__x", "__base", "__total"
-    )
-    slots = inside.groupBy(*keys, "__bin", "__slot", "__base", "__total").agg(F.count(F.lit(1)).alias("__n"))
-    in_bin = Window.partitionBy(*keys, "__bin").orderBy("__slot")
+    inside = data.join(hint(hit_bins), [*keys, "__bin"]).selectExpr(
+        *[_quoted(c) for c in keys], "__bin", f"{even_slot('__x', '__low', '__high', SLOTS_PER_BIN)} AS __slot",
+        "__x", "__base", "__total")
+    slots = inside.groupBy(*keys, "__bin", "__slot", "__base", "__total").agg(F.expr("count(1) AS __n"))
     hit_slots = (
-        slots.withColumn("__before", F.col("__base") + _before("__n", in_bin))
-        .filter(F.size(held()) > 0)
-        .select(*keys, "__bin", "__slot", F.col("__before").alias("__start"))
+        slots.selectExpr("*", f"__base + {_before('__n', [*keys, '__bin'], '__slot')} AS __before")
+        .filter(f"size({held}) > 0")
+        .selectExpr(*[_quoted(c) for c in keys], "__bin", "__slot", "__before AS __start")
     )
     values = (
         inside.join(hint(hit_slots), [*keys, "__bin", "__slot"])
         .groupBy(*keys, "__bin", "__slot", "__x", "__start", "__total")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.expr("count(1) AS __n"))
     )
-    in_slot = Window.partitionBy(*keys, "__bin", "__slot").orderBy("__x")
-    found = (
-        values.withColumn("__before", F.col("__start") + _before("__n", in_slot))
-        .withColumn("__rank", F.explode(held()))
+    return (
+        values.selectExpr("*", f"__start + {_before('__n', [*keys, '__bin', '__slot'], '__x')} AS __before")
+        .selectExpr(*[_quoted(c) for c in keys], "__x", "__total", f"explode({held}) AS __rank")
         .groupBy(*keys)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__at"),
-            F.max("__total").alias("n"),
-        )
-    )
-    spread = found.select(
-        *keys, "__at", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
+        .agg(F.expr("map_from_entries(collect_list(struct(__rank, __x))) AS __at"), F.expr("max(__total) AS n"))
     )
-    place = F.col("p") * (F.col("n") - 1)
-    left = F.col("__at")[F.floor(place).cast("bigint")]
-    right = F.col("__at")[F.ceil(place).cast("bigint")]
-    value = F.when(left == right, left).otherwise(left + (right - left) * (place - F.floor(place)))
-    return spread.select(*keys, "p", value.alias("quantile"), "n")
+
+
+def _interpolated(p: str) -> str:
+    place = f"({p} * (n - 1))"
+    left, right = f"__at[CAST(floor({place}) AS BIGINT)]", f"__at[CAST(ceil({place}) AS BIGINT)]"
+    return f"CASE WHEN {left} = {right} THEN {left} ELSE {left} + ({right} - {left}) * ({place} - floor({place})) END"
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float],
+                    x: str = "x", bounded_keys: bool = True) -> DataFrame:
+    """(keys..., p, quantile, n): linearly interpolated quantiles of the non-null ``x`` per key.
+
+    ``rows`` is read three times and never shuffled as such: what is shuffled are
+    cell totals and the distinct values of the few cells that hold a wanted rank.
+    With ``bounded_keys`` (column names, capped group lists) there are at most two
+    wanted ranks per key and probability, and that list is broadcast.
+    """
+    found = _ranked_values(rows, list(keys), probabilities, x, bounded_keys)
+    wanted = ", ".join(f"{float(p)!r}D" for p in probabilities)
+    own = [_quoted(c) for c in keys]
+    return found.selectExpr(*own, "__at", "n", f"explode(array({wanted})) AS p").selectExpr(
+        *own, "p", f"{_interpolated('p')} AS quantile", "n")
 
 
 def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = 50_000) -> bool:
@@ -117,64 +122,51 @@ def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = 50_000) -> boo
 def quantile_columns(rows: DataFrame, keys: Sequence[str], names: dict[str, float],
                      x: str = "x", bounded_keys: bool = True) -> DataFrame:
     """(keys..., one column per named quantile)."""
-    long = exact_quantiles(rows, keys, sorted(set(names.values())), x, bounded_keys)
-    picks = [F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in names.items()]
-    return long.groupBy(*keys).agg(*picks)
+    found = _ranked_values(rows, list(keys), sorted(set(names.values())), x, bounded_keys)
+    return found.selectExpr(*[_quoted(c) for c in keys],
+                            *[f"{_interpolated(f'{float(p)!r}D')} AS {_quoted(name)}" for name, p in names.items()])
 
 
 def average_ranks(counts: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n") -> DataFrame:
     """``counts`` (keys..., x, n; one row per distinct x) with ``avg_rank``, ties averaged, from 1.
 
     ``keys`` must be column names or similarly few: per key there are at most
-    190 000 bins and 65 536 more slots, which bounds what is broadcast.
+    190 000 bins and 16 384 more slots, which bounds what is broadcast.
     """
     keys = list(keys)
-    data = counts.withColumn("__bin", magnitude_bin(F.col(x)))
+    k = [_quoted(c) for c in keys]
+    by_key = f"PARTITION BY {', '.join(k)}" if keys else ""
+    x, n = _quoted(x), _quoted(n)
+    data = counts.selectExpr("*", f"{magnitude_bin(x)} AS __bin")
     bins = data.groupBy(*keys, "__bin").agg(
-        F.sum(n).alias("__n"), F.count(F.lit(1)).alias("__d"),
-        F.min(x).alias("__low"), F.max(x).alias("__high"),
-    )
-    per_key = Window.partitionBy(*keys)
-    bins = bins.withColumn("__base", _before("__n", per_key.orderBy("__bin"))).withColumn(
-        "__slots",
-        F.greatest(
-            F.lit(1), F.floor(F.lit(SLOTS_TOTAL) * F.col("__d") / F.sum("__d").over(per_key)).cast("int")
-        ),
-    )
-    bins = bins.select(*keys, "__bin", "__low", "__high", "__base", "__slots")
-    slot = even_slot(F.col(x), F.col("__low"), F.col("__high"), F.col("__slots"))
-    placed = data.join(F.broadcast(bins), [*keys, "__bin"]).withColumn("__slot", slot)
-
-    slots = placed.groupBy(*keys, "__bin", "__slot").agg(
-        F.sum(n).alias("__n"), F.first("__base").alias("__base")
-    )
-    in_bin = Window.partitionBy(*keys, "__bin").orderBy("__slot")
-    slots = slots.select(
-        *keys, "__bin", "__slot", (F.col("__base") + _before("__n", in_bin)).alias("__start")
-    )
-    in_slot = Window.partitionBy(*keys, "__bin", "__slot").orderBy(x)
-    ranked = (
-        placed.select(*counts.columns, "__bin", "__slot")
-        .join(F.broadcast(slots), [*keys, "__bin", "__slot"])
-        .withColumn("avg_rank", F.col("__start") + _before(n, in_slot) + (F.col(n) + 1) / 2)
-    )
-    return ranked.select(*counts.columns, "avg_rank")
-
-
-def attach_unique(rows: DataFrame, lookup: DataFrame, key: str, weight: str, columns: Sequence[str],
+        F.expr(f"sum({n}) AS __n"), F.expr("count(1) AS __d"), F.expr(f"min({x}) AS __low"), F.expr(f"max({x}) AS __high"))
+    bins = bins.selectExpr(
+        *k, "__bin", "__low", "__high", f"{_before('__n', keys, '__bin')} AS __base",
+        f"greatest(1, CAST(floor({SLOTS_TOTAL}D * __d / sum(__d) OVER ({by_key})) AS INT)) AS __slots")
+    placed = data.join(F.broadcast(bins), [*keys, "__bin"]).selectExpr(
+        *[_quoted(c) for c in counts.columns], "__bin", f"{even_slot(x, '__low', '__high', '__slots')} AS __slot", "__base")
+    slots = placed.groupBy(*keys, "__bin", "__slot", "__base").agg(F.expr(f"sum({n}) AS __n"))
+    slots = slots.selectExpr(*k, "__bin", "__slot", f"__base + {_before('__n', [*keys, '__bin'], '__slot')} AS __start")
+    own = [_quoted(c) for c in counts.columns]
+    return placed.selectExpr(*own, "__bin", "__slot").join(F.broadcast(slots), [*keys, "__bin", "__slot"]).selectExpr(
+        *own, f"__start + {_before(n, [*keys, '__bin', '__slot'], x)} + ({n} + 1) / 2 AS avg_rank")
+
+
+def attach_unique(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, columns: Sequence[str],
                   hot_parts: int = 1024) -> DataFrame:
-    """Inner join of ``rows`` to a lookup with one row per ``key``, safe under hot keys.
+    """Inner join of ``rows`` to a lookup with one row per key, safe under hot keys.
 
     ``lookup[weight]`` says how many rows a key has.  Keys above 1/``hot_parts`` of all
     rows are at most ``hot_parts`` many: they are broadcast.  The others are spread by
     an ordinary shuffle join, where none of them can fill a task.
     """
-    lookup = lookup.select(key, weight, *columns)
+    keys = list(keys)
+    lookup = lookup.select(*keys, weight, *columns)
     total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
     is_hot = F.col(weight) * hot_parts > total
-    hot = lookup.filter(is_hot).select(key, *columns, F.lit(True).alias("__hot"))
-    cold = lookup.filter(~is_hot).select(key, *columns)
-    tagged = rows.join(F.broadcast(hot), key, "left")
+    hot = lookup.filter(is_hot).select(*keys, *columns, F.lit(True).alias("__hot"))
+    cold = lookup.filter(~is_hot).select(*keys, *columns)
+    tagged = rows.join(F.broadcast(hot), keys, "left")
     easy = tagged.filter(F.col("__hot")).drop("__hot")
-    rest = tagged.filter(F.col("__hot").isNull()).select(*rows.columns).join(cold, key)
+    rest = tagged.filter(F.col("__hot").isNull()).select(*rows.columns).join(cold, keys)
     return easy.unionByName(rest)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
+from ..sources.literals import literal_rows
 from . import frequency as Q, order_stats as O
 from .structure import Roles, union_all
 
@@ -17,11 +18,11 @@ def ranks(df: DataFrame, column: str) -> DataFrame:
     return O.average_ranks(Q.number_counts(df, [column]), ["column"]).select("x", "n", "avg_rank")
 
 
-def _side(pairs: DataFrame, key: str, rank: str) -> DataFrame:
-    """(key, pairs, rank) for the distinct values on one side of the pair counts."""
-    counts = pairs.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
-    ranked = O.average_ranks(counts, [], x=key)
-    return ranked.select(key, "pairs", F.col("avg_rank").alias(rank))
+def _side(pairs: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:
+    """(keys..., value, pairs, rank) for the distinct values on one side of the pair counts."""
+    counts = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
+    ranked = O.average_ranks(counts, keys, x=value)
+    return ranked.select(*keys, value, "pairs", F.col("avg_rank").alias(rank))
 
 
 def spearman(df: DataFrame, a: str, b: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -32,13 +33,13 @@ def spearman(df: DataFrame, a: str, b: str, limits: Limits = DEFAULT_LIMITS) ->
         .filter("a IS NOT NULL AND b IS NOT NULL")
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     )
-    with_b = O.attach_unique(pairs, _side(pairs, "b", "rb"), "b", "pairs", ["rb"])
+    with_b = O.attach_unique(pairs, _side(pairs, [], "b", "rb"), ["b"], "pairs", ["rb"])
     # one row per value of a from here on: rank sums are linear in the rank of b
     by_a = with_b.groupBy("a").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rb")).alias("b1"),
         F.sum(F.col("n") * F.col("rb") * F.col("rb")).alias("b2"), F.count(F.lit(1)).alias("pairs"),
     )
-    ra = _side(pairs, "a", "ra").select("a", "ra")
+    ra = _side(pairs, [], "a", "ra").select("a", "ra")
     joined = by_a.join(ra, "a")
     sums = joined.agg(
         F.sum("n").cast("double").alias("n"),
@@ -56,28 +57,35 @@ def spearman(df: DataFrame, a: str, b: str, limits: Limits = DEFAULT_LIMITS) ->
     )
 
 
-def kruskal(df: DataFrame, category: str, number: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """One row (col_a, col_b, stat, n): H over the groups of a category, no tie correction."""
+def kruskal(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],
+            limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """(col_a, col_b, stat, n): H of every category and number over rows with both, no tie correction.
+
+    All combinations go through one chain of shuffles, keyed by the pair of columns.
+    """
     types = Q.dtypes(df)
+    pair = ["col_a", "col_b"]
+    wide = df.select(*[S.present(c, types[c]).cast("string").alias(f"g{i}") for i, c in enumerate(categories)],
+                     *[S.number(c, types[c]).alias(f"x{i}") for i, c in enumerate(numbers)])
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("col_a"), F.lit(x).alias("col_b"), F.col(f"g{i}").alias("g"), F.col(f"x{j}").alias("x"))
+        for i, c in enumerate(categories) for j, x in enumerate(numbers) if c != x
+    ])
     counts = (
-        df.select(S.present(category, types[category]).cast("string").alias("g"),
-                  S.number(number, types[number]).alias("x"))
+        wide.select(F.explode(cells).alias("c")).select("c.*")
         .filter("g IS NOT NULL AND x IS NOT NULL")
-        .groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*pair, "g", "x").agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = O.attach_unique(counts, _side(counts, "x", "r"), "x", "pairs", ["r"])
-    groups = ranked.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r"))
-    total = groups.agg(
+    ranked = O.attach_unique(counts, _side(counts, pair, "x", "r"), [*pair, "x"], "pairs", ["r"])
+    groups = ranked.groupBy(*pair, "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r"))
+    total = groups.groupBy(*pair).agg(
         F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("groups"),
         F.sum(F.pow("r", F.lit(2.0)) / F.col("n")).alias("s"),
     )
     n = F.col("n")
     h = F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1)
     usable = (n >= limits.kruskal_min_rows) & (F.col("groups") >= 2)
-    return total.select(
-        F.lit(category).alias("col_a"), F.lit(number).alias("col_b"), F.when(usable, h).alias("stat"),
-        F.coalesce(n, F.lit(0)).cast("bigint").alias("n"),
-    )
+    return total.select(*pair, F.when(usable, h).alias("stat"), n.cast("bigint").alias("n"))
 
 
 def rank_tests(df: DataFrame, roles: Roles, notable: DataFrame | None = None,
@@ -94,12 +102,12 @@ def rank_tests(df: DataFrame, roles: Roles, notable: DataFrame | None = None,
             if a != m:
                 parts.append(spearman(df, a, m, limits).filter("stat IS NOT NULL")
                              .withColumn("type", F.lit("spearman")))
-    for c in groups:
-        for m in money[: limits.kruskal_numbers]:
-            parts.append(kruskal(df, c, m, limits).withColumn("type", F.lit("kruskal")))
+    numbers = money[: limits.kruskal_numbers]
+    if any(c != m for c in groups for m in numbers):
+        parts.append(kruskal(df, groups, numbers, limits).withColumn("type", F.lit("kruskal")))
     schema = "type string, col_a string, col_b string, stat double, eta double, n bigint"
     if not parts:
-        return df.sparkSession.createDataFrame([], schema)
+        return literal_rows(df.sparkSession, [], schema)
     tests = union_all(parts)
     if notable is None:
         return tests.select("type", "col_a", "col_b", "stat", F.lit(None).cast("double").alias("eta"), "n")

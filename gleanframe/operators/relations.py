@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import names as N, scalar as S
+from ..sources.literals import literal_rows
 from ..sources.tables import Table
 from . import frequency as Q
 from .structure import ColumnFacts, Facts, table_facts, union_all
@@ -122,9 +123,9 @@ def join_links(tables: Sequence[Table], facts: Mapping[str, Facts] | None = None
     candidates = key_columns(tables, facts, limits)
     pairs = _pair_facts(candidates)
     if not pairs:
-        return spark.createDataFrame([], LINKS)
-    known = spark.createDataFrame(
-        pairs, "a int, b int, left_table string, left_column string, right_table string, right_column string, "
+        return literal_rows(spark, [], LINKS)
+    known = literal_rows(
+        spark, pairs, "a int, b int, left_table string, left_column string, right_table string, right_column string, "
                "name_score double, keyed boolean, both_dates boolean, left_unique bigint, right_unique bigint, "
                "left_ratio double, right_ratio double")
     overlaps = column_overlaps(key_values(candidates))
@@ -166,8 +167,8 @@ def link_examples(tables: Sequence[Table], facts: Mapping[str, Facts], links: Da
     """(left_table, left_column, right_table, right_column, rank, value): the first shared values of each link."""
     spark = tables[0].df.sparkSession
     candidates = key_columns(tables, facts, limits)
-    numbered = spark.createDataFrame(
-        [(i, t.id, f.name) for i, t, f in candidates], "id int, table string, column string")
+    numbered = literal_rows(
+        spark, [(i, t.id, f.name) for i, t, f in candidates], "id int, table string, column string")
 
     def side(name: str, number: str) -> DataFrame:
         return numbered.select(F.col("id").alias(number), F.col("table").alias(f"{name}_table"),
@@ -194,14 +195,14 @@ def union_links(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> Dat
         if jaccard >= limits.union_jaccard and shared >= limits.union_min_shared:
             found.append(("union", left.id, None, right.id, None, jaccard, jaccard, 100.0, 100.0, shared,
                           None, None, "union", 1.0))
-    return tables[0].df.sparkSession.createDataFrame(found, LINKS)
+    return literal_rows(tables[0].df.sparkSession, found, LINKS)
 
 
 def relations(tables: Sequence[Table], facts: Mapping[str, Facts] | None = None,
               limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Join and union links together."""
     if len(tables) < 2:
-        return tables[0].df.sparkSession.createDataFrame([], LINKS)
+        return literal_rows(tables[0].df.sparkSession, [], LINKS)
     return join_links(tables, facts, limits).unionByName(union_links(tables, limits))
 
 

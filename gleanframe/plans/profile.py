@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
@@ -17,6 +19,10 @@ from ..sources.tables import Table
 from . import findings
 
 
+# Result tables that highlights are drawn from.
+WORDED = {"concentration_values", "outliers", "implausible", "label_duplicates", "tests", "derived"}
+
+
 @dataclass
 class Profile:
     """Result tables by name; each carries ``table_id`` where it describes one table."""
@@ -35,39 +41,35 @@ class Profile:
 
 
 def table_results(table: Table, facts: K.Facts, roles: K.Roles, limits: Limits = DEFAULT_LIMITS,
-                  plan: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """The result tables of one table that are computed from its rows; nothing runs yet."""
+                  plan: Mapping[str, Sequence[str]] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """How to compute each result table of one table from its rows; nothing runs yet."""
     df, pairs = derived.with_ratios(table.df, roles)
     plan = plan if plan is not None else metrics.default_plan(facts)
     measures = K.ordered(roles.measures(), tuple(pairs))
-    out: dict[str, DataFrame] = {}
-    if plan:
-        out["metrics"] = metrics.metrics(table.df, plan)
-    out["associations"] = associations.associations(table.df, facts, limits)
-    if pairs:
-        out["derived"] = derived.ratio_summary(df, pairs)
-    if roles.concentrations():
-        out["concentration_values"] = concentration.concentration_values(df, roles.concentrations(), roles.geo, limits)
-    if measures:
-        out["outliers"] = anomalies.outliers_with_examples(df, measures, limits)
-    if roles.measures():
-        out["implausible"] = anomalies.implausible(df, roles, limits)
-    if roles.labels():
-        out["label_duplicates"] = anomalies.label_duplicates(df, roles.labels())
     groups, numbers = roles.profile_groups(), roles.profile_numbers(tuple(pairs))
-    if groups and numbers:
-        out["group_profiles"] = concentration.group_profiles(df, groups, numbers, limits)
-    return out
+    jobs = {
+        "outliers": (measures, lambda: anomalies.outliers_with_examples(df, measures, limits)),
+        "group_profiles": (groups and numbers, lambda: concentration.group_profiles(df, groups, numbers, limits)),
+        "metrics": (plan, lambda: metrics.metrics(table.df, plan)),
+        "derived": (pairs, lambda: derived.ratio_summary(df, pairs)),
+        "associations": (True, lambda: associations.associations(table.df, facts, limits)),
+        "concentration_values": (roles.concentrations(), lambda: concentration.concentration_values(
+            df, roles.concentrations(), roles.geo, limits)),
+        "implausible": (roles.measures(), lambda: anomalies.implausible(df, roles, limits)),
+        "label_duplicates": (roles.labels(), lambda: anomalies.label_duplicates(df, roles.labels())),
+    }
+    return {name: build for name, (applies, build) in jobs.items() if applies}
 
 
 def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
             roles: Mapping[str, K.Roles] | None = None,
-            plans: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> Profile:
+            plans: Mapping[str, Mapping[str, Sequence[str]]] | None = None, parallel: int = 8) -> Profile:
     """Run all analyses.
 
     Results are written once to the shared folder of the cluster, so that findings
     read small tables instead of repeating the work, and lost executors cost a task.
-    ``roles`` and ``plans`` override, per table id, what names and kinds suggest.
+    Up to ``parallel`` independent jobs are submitted at a time.  ``roles`` and
+    ``plans`` override, per table id, what names and kinds suggest.
     """
     tables = [tables] if isinstance(tables, Table) else list(tables)
     spark = tables[0].df.sparkSession
@@ -77,63 +79,74 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
+    def run(jobs: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        with ThreadPoolExecutor(parallel) as pool:
+            waiting = {name: pool.submit(inheritable_thread_target(spark)(lambda n, b: stored(n, b())), name, build)
+                       for name, build in jobs.items()}
+            return {name: w.result() for name, w in waiting.items()}
+
     described = stored("structure", K.structures(tables, limits))
     facts = K.collect_facts(described)
     prepared = [K.with_dates(t, [c for c, f in facts[t.id].items() if f.is_datetime_candidate]) for t in tables]
     chosen = {t.id: (roles or {}).get(t.id) or K.roles_of(facts[t.id]) for t in tables}
 
-    # dates that do not parse count as missing, so kinds are kept and fill is counted again
-    changed = [t for t, p in zip(tables, prepared) if t.df.schema != p.df.schema]
-    after = described
-    if changed:
-        recounted = K.structures(prepared, limits).select("table_id", "column", "non_null", "nunique", "complete_rows")
-        after = stored("structure_prepared", described.drop("non_null", "nunique", "complete_rows").join(
-            F.broadcast(recounted), ["table_id", "column"]))
-    columns = stored("quality_columns", quality.quality_columns(after, limits))
-    duplicates = stored("duplicates", K.union_all([quality.table_duplicates(t) for t in prepared]))
-    summary = stored("quality_summary", quality.quality_summary(columns, duplicates, limits))
-
-    results = {"structure": described, "quality_columns": columns, "quality_summary": summary}
-    collected: dict[str, list[DataFrame]] = {}
-
-    def add(name: str, table: Table, df: DataFrame) -> DataFrame:
-        kept = stored(f"{name}/{table.id}", df)
-        collected.setdefault(name, []).append(kept.select(F.lit(table.id).alias("table_id"), "*"))
-        return kept
-
-    worded: list[tuple[str, DataFrame]] = []
+    # what is computed from rows
+    jobs: dict[str, Callable[[], DataFrame]] = {
+        "duplicates": lambda: K.union_all([quality.table_duplicates(t) for t in prepared]),
+    }
+    if any(t.df.schema != p.df.schema for t, p in zip(tables, prepared)):
+        # text that turned out not to be a date counts as missing: the fill is counted again
+        jobs["structure_prepared"] = lambda: described.drop("non_null", "nunique", "complete_rows").join(
+            F.broadcast(K.structures(prepared, limits).select(
+                "table_id", "column", "non_null", "nunique", "complete_rows")), ["table_id", "column"])
+    if len(tables) > 1:
+        jobs["relations"] = lambda: relations.relations(prepared, facts, limits)
+    for table in prepared:
+        own = table_results(table, facts[table.id], chosen[table.id], limits, (plans or {}).get(table.id))
+        jobs |= {f"{name}/{table.id}": build for name, build in own.items()}
+    done = run(jobs)
+
+    # what is computed from those results
+    found = {t.id: {n.split("/")[0]: df for n, df in done.items() if n.endswith(f"/{t.id}")} for t in prepared}
+    jobs = {"quality_columns": lambda: quality.quality_columns(done.get("structure_prepared", described), limits)}
+    if len(tables) > 1:
+        jobs["relation_examples"] = lambda: relations.link_examples(prepared, facts, done["relations"], limits)
     for table in prepared:
-        mine, own = chosen[table.id], facts[table.id]
-        found = {
-            name: add(name, table, df)
-            for name, df in table_results(table, own, mine, limits, (plans or {}).get(table.id)).items()
-        }
+        mine, own = chosen[table.id], found[table.id]
         if mine.money or mine.numeric:
-            found["tests"] = add("tests", table, rank_tests.rank_tests(table.df, mine, found["associations"], limits))
-        if "concentration_values" in found:
-            add("concentration", table, concentration.concentration_summary(found["concentration_values"]))
-        if "group_profiles" in found:
-            found["group_ranges"] = add("group_ranges", table, concentration.median_ranges(found["group_profiles"], limits))
-        usable = [n for n in ("concentration_values", "outliers", "implausible", "label_duplicates", "tests", "derived")
-                  if n in found]
-        if usable:
+            jobs[f"tests/{table.id}"] = lambda t=table, m=mine, o=own: rank_tests.rank_tests(
+                t.df, m, o["associations"], limits)
+        if "concentration_values" in own:
+            jobs[f"concentration/{table.id}"] = lambda o=own: concentration.concentration_summary(o["concentration_values"])
+        if "group_profiles" in own:
+            jobs[f"group_ranges/{table.id}"] = lambda o=own: concentration.median_ranges(o["group_profiles"], limits)
+    done |= run(jobs)
+
+    found = {t.id: {n.split("/")[0]: df for n, df in done.items() if n.endswith(f"/{t.id}")} for t in prepared}
+    jobs = {"quality_summary": lambda: quality.quality_summary(done["quality_columns"], done["duplicates"], limits)}
+    for table in prepared:
+        mine, own = chosen[table.id], found[table.id]
+        if WORDED & set(own):
             names = tuple(derived.ratio_pairs(mine.money, mine.area))
-            add("highlights", table, findings.highlights(found, mine, limits))
-            worded.append((table.name, stored(f"table_hypotheses/{table.id}",
-                                              findings.hypotheses(found, mine, names, limits))))
-    for name, parts in collected.items():
+            jobs[f"highlights/{table.id}"] = lambda m=mine, o=own: findings.highlights(o, m, limits)
+            jobs[f"table_hypotheses/{table.id}"] = lambda m=mine, o=own, n=names: findings.hypotheses(o, m, n, limits)
+    done |= run(jobs)
+
+    results = {"structure": described}
+    results |= {n: done[n] for n in ("quality_columns", "quality_summary", "relations", "relation_examples") if n in done}
+    for name in dict.fromkeys(n.split("/")[0] for n in done if "/" in n):
+        parts = [done[f"{name}/{t.id}"].select(F.lit(t.id).alias("table_id"), "*")
+                 for t in prepared if f"{name}/{t.id}" in done]
         results[name] = K.union_all(parts)
-
-    if len(tables) > 1:
-        links = stored("relations", relations.relations(prepared, facts, limits))
-        results["relations"] = links
-        results["relation_examples"] = stored("relation_examples", relations.link_examples(prepared, facts, links, limits))
-    of_links = findings.relation_hypotheses(results["relations"], limits) if len(tables) > 1 else None
+    worded = [(t.name, done[f"table_hypotheses/{t.id}"]) for t in prepared if f"table_hypotheses/{t.id}" in done]
+    of_links = findings.relation_hypotheses(done["relations"], limits) if "relations" in done else None
+    jobs = {}
     if worded or of_links is not None:
-        results["hypotheses"] = stored("hypotheses", findings.merge_hypotheses(of_links, worded))
+        jobs["hypotheses"] = lambda: findings.merge_hypotheses(of_links, worded)
     if "metrics" in results:
         counts = results["metrics"].filter("metric = 'count'").join(
             F.broadcast(described.select("table_id", "column", "ordinal")), ["table_id", "column"]
         ).select("table_id", "column", "ordinal", F.col("value_double").alias("count"))
-        results["recommendations"] = stored("recommendations", findings.recommendations(summary, counts, limits))
+        jobs["recommendations"] = lambda: findings.recommendations(done["quality_summary"], counts, limits)
+    results |= run(jobs)
     return Profile(results, facts, chosen, prepared, folder)
