@@ -59,9 +59,9 @@ def col(name: str) -> Column:
 
 
 def present(name: str, dtype: T.DataType) -> Column:
-    """The column with NaN taken as missing."""
+    """The column with NaN taken as missing and -0.0 as 0.0."""
     c = col(name)
-    return F.when(~F.isnan(c), c) if is_fractional(dtype) else c
+    return F.when(~F.isnan(c), c + F.lit(0.0).cast(dtype)) if is_fractional(dtype) else c
 
 
 def strip(c: Column) -> Column:

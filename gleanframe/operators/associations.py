@@ -55,7 +55,7 @@ def pearson(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAULT_LIMI
             )
             for i, (a, b) in enumerate(part)
         ]
-        return numbers.agg(*sums).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        return numbers.agg(*sums).select(F.explode_outer(F.array(*entries)).alias("e")).select("e.*")
 
     if not pairs:
         raise ValueError("Pearson needs at least two numeric columns")
@@ -72,7 +72,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     own = [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"v{i}"), 1.0).alias("stat"))
            for i, c in enumerate(columns)]
-    diagonal = spread.select(F.explode(F.array(*own)).alias("e")).select("e.*")
+    diagonal = spread.select(F.explode_outer(F.array(*own)).alias("e")).select("e.*")
     return union_all([half, mirrored, diagonal])
 
 
@@ -125,7 +125,7 @@ def correlation_ratio(df: DataFrame, categories: Sequence[str], numbers: Sequenc
         .alias(f"g{i}") for i in range(len(numbers))
     ])
     entries = [F.struct(F.lit(c).alias("col_b"), F.col(f"g{i}").alias("g")) for i, c in enumerate(numbers)]
-    long = groups.select("col_a", F.explode(F.array(*entries)).alias("e")).select("col_a", "e.col_b", "e.g.*")
+    long = groups.select("col_a", F.explode_outer(F.array(*entries)).alias("e")).select("col_a", "e.col_b", "e.g.*")
     long = long.filter("n > 0")
     pair = Window.partitionBy("col_a", "col_b")
     mean = F.sum(F.col("n") * F.col("mean")).over(pair) / F.sum("n").over(pair)

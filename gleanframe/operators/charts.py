@@ -58,7 +58,7 @@ def scatter_trend(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
             (F.col(f"my{i}") - slope * F.col(f"mx{i}")).alias("intercept"),
             F.try_divide(F.col(f"xy{i}"), F.sqrt(f"xx{i}") * F.sqrt(f"yy{i}")).alias("r"),
         ))
-    return df.agg(*sums).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return df.agg(*sums).select(F.explode_outer(F.array(*entries)).alias("e")).select("e.*")
 
 
 def _group_rows(df: DataFrame, category: str, number: str) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import scalar as S
 
+# Arrays of one struct per column are unfolded with explode_outer throughout: for a plain
+# explode the optimizer derives conditions that mention all columns, and copying those
+# through the aliases of a wide table takes time exponential in its width.
+
 # Text longer than this is counted by its SHA-256, so that whole documents are
 # compared while 71 characters of each are shuffled.
 DIGEST_ABOVE = 64
@@ -110,6 +114,11 @@ def distinct_up_to(rows: DataFrame, keys: Sequence[str], value: str, limit: int)
     return counted.unionByName(many.select(*keys, F.lit(limit).cast("bigint").alias("levels")))
 
 
+def all_filled(tests: Sequence[Column]) -> Column:
+    """Whether every test holds, as one flat expression: a long chain of ANDs takes the optimizer too long."""
+    return F.least(*tests) if len(tests) > 1 else tests[0]
+
+
 def column_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, rows, non_null, complete_rows) from a single pass without a shuffle of rows."""
     types = dtypes(df)
@@ -117,9 +126,7 @@ def column_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if not columns:
         raise ValueError("no columns to describe")
     filled = {c: S.present(c, types[c]).isNotNull() for c in columns}
-    complete = F.lit(True)
-    for test in filled.values():
-        complete = complete & test
+    complete = all_filled(list(filled.values()))
     one = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(complete).alias("complete_rows"),
@@ -129,7 +136,7 @@ def column_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"__f{i}").alias("non_null"))
         for i, c in enumerate(columns)
     ]
-    return one.select("rows", "complete_rows", F.explode(F.array(*entries)).alias("e")).select(
+    return one.select("rows", "complete_rows", F.explode_outer(F.array(*entries)).alias("e")).select(
         "e.ordinal", "e.column", "rows", "e.non_null", "complete_rows"
     )
 

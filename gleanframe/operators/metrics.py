@@ -55,7 +55,7 @@ def _long(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
             entries.append(entry(name, value, "value_array"))
         else:
             entries.append(entry(name, value.cast("double"), "value_double"))
-    return df.select("column", F.explode(F.array(*entries)).alias("m")).select("column", "m.*")
+    return df.select("column", F.explode_outer(F.array(*entries)).alias("m")).select("column", "m.*")
 
 
 def moments(rows: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def kruskal(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],
         for i, c in enumerate(categories) for j, x in enumerate(numbers) if c != x
     ])
     counts = (
-        wide.select(F.explode(cells).alias("c")).select("c.*")
+        wide.select(F.explode_outer(cells).alias("c")).select("c.*")
         .filter("g IS NOT NULL AND x IS NOT NULL")
         .groupBy(*pair, "g", "x").agg(F.count(F.lit(1)).alias("n"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import names as N, scalar as S
+from ..sources.literals import settled
 from ..sources.tables import Table
 from . import frequency as Q
 
@@ -19,9 +20,7 @@ def _counts(table: Table) -> DataFrame:
     position = {c: i for i, c in enumerate(df.columns)}
     filled = {c: S.present(c, types[c]).isNotNull() for c in df.columns}
     texts = [c for c in df.columns if isinstance(types[c], T.StringType)]
-    complete = F.lit(True)
-    for test in filled.values():
-        complete = complete & test
+    complete = Q.all_filled(list(filled.values()))
 
     def tests(c: str) -> dict[str, Column]:
         value = S.col(c)
@@ -56,7 +55,7 @@ def _counts(table: Table) -> DataFrame:
             F.lit(N.mentions(c, N.MEASURE_WORDS)).alias("measure_name"),
         )
 
-    entries = F.explode(F.array(*[entry(c) for c in df.columns]))
+    entries = F.explode_outer(F.array(*[entry(c) for c in df.columns]))
     return counts.select("rows", "complete_rows", entries.alias("e")).select(
         F.lit(table.id).alias("table_id"), "rows", "complete_rows", "e.*")
 
@@ -65,7 +64,8 @@ def structures(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> Data
     """One row per column: table_id, column, ordinal, kind, dtype, rows, non_null, nunique, complete_rows,
     is_datetime_candidate.  Nested columns are listed without kind.
 
-    The distinct values of all tables are counted in one shuffle.
+    The distinct values of all tables are counted in one shuffle.  The result is computed
+    at once, since kinds decide what is computed next: one row per column, never more.
     """
     described = union_all([_counts(t) for t in tables])
     values = []
@@ -73,22 +73,25 @@ def structures(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> Data
         flat = Q.flat_columns(t.df)
         if flat:
             values.append(Q.distinct_values(t.df, flat).withColumn("table_id", F.lit(t.id)))
+    # appended and merged instead of joined: a join would make the optimizer derive
+    # conditions from every expression of a wide table
     if values:
         levels = union_all(values).distinct().groupBy("table_id", "column").agg(F.count(F.lit(1)).alias("nunique"))
-        # one row per column
-        joined = described.join(F.broadcast(levels), ["table_id", "column"], "left")
+        described = described.unionByName(levels, allowMissingColumns=True)
     else:
-        joined = described.withColumn("nunique", F.lit(None).cast("bigint"))
-    joined = joined.withColumn(
+        described = described.withColumn("nunique", F.lit(None).cast("bigint"))
+    merged = described.groupBy("table_id", "column").agg(
+        *[F.max(c).alias(c) for c in described.columns if c not in ("table_id", "column")])
+    joined = merged.withColumn(
         "nunique", F.when(F.col("family") != "nested", F.coalesce("nunique", F.lit(0)))
     )
-    return joined.select(
+    return settled(joined.select(
         "table_id", "column", "ordinal", kind_of(limits).alias("kind"), "dtype",
         "rows", "non_null", "nunique", "complete_rows",
         ((F.col("family") == "datetime") | ((F.col("family") == "text") & _dated(limits))).alias(
             "is_datetime_candidate"
         ),
-    )
+    ))
 
 
 def structure(table: Table, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -103,34 +106,31 @@ def _dated(limits: Limits) -> Column:
 
 
 def kind_of(limits: Limits = DEFAULT_LIMITS) -> Column:
-    """The kind from counts and name hints; the first rule that holds decides."""
+    """The kind from counts and name hints; the first rule that holds decides, none for nested columns.
+
+    The rules stand in an array rather than in one CASE: a filter on a CASE of this
+    size would be rewritten into conjunctions that grow exponentially.
+    """
     family, filled, levels = F.col("family"), F.col("non_null"), F.col("nunique")
+    number, text = family == "number", family == "text"
     identifies = F.col("id_name") & (filled > 0) & (levels >= limits.identifier_ratio * filled)
     few = F.least(
         F.lit(limits.category_levels),
         F.greatest(F.lit(limits.category_min_levels), F.floor(limits.category_share * filled)),
     )
-    number = (
-        F.when(identifies, "identifier")
-        .when(F.col("measure_name"), "numeric")
-        .when((filled > 0) & (levels <= few), "categorical")
-        .otherwise("numeric")
-    )
-    text = (
-        F.when(_dated(limits), "datetime")
-        .when(identifies, "identifier")
-        .when(F.col("numbers") >= limits.numeric_text_ratio * F.greatest(filled, F.lit(1)), "numeric")
-        .when(
-            (levels > limits.text_unique_ratio * filled) & (levels > limits.text_min_unique), "textual"
-        )
-        .otherwise("categorical")
-    )
-    return (
-        F.when(family == "nested", F.lit(None).cast("string"))
-        .when(family.isin("boolean", "datetime"), family)
-        .when(family == "number", number)
-        .otherwise(text)
+    castable = F.col("numbers") >= limits.numeric_text_ratio * F.greatest(filled, F.lit(1))
+    distinct = (levels > limits.text_unique_ratio * filled) & (levels > limits.text_min_unique)
+    rules = (
+        (family.isin("boolean", "datetime"), family),
+        (text & _dated(limits), F.lit("datetime")),
+        ((number | text) & identifies, F.lit("identifier")),
+        (number & F.col("measure_name"), F.lit("numeric")),
+        (number & (filled > 0) & (levels <= few), F.lit("categorical")),
+        (number | (text & castable), F.lit("numeric")),
+        (text & distinct, F.lit("textual")),
+        (text, F.lit("categorical")),
     )
+    return F.get(F.array_compact(F.array(*[F.when(holds, kind) for holds, kind in rules])), F.lit(0))
 
 
 @dataclass(frozen=True)
