@@ -5,13 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    A folder of its own serves as ``spark.checkpoint.dir`` only where the configuration names none: in local mode
+    there is no other machine to share it with.
+    """
+    builder = SparkSession.builder
+    if not SparkConf().get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gleanframe-"))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("gleanframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,13 +34,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder every executor can reach.
-
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (tests) a temporary folder is taken and recorded.
-    """
+    """A new path in the folder every executor can reach, which the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="gleanframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/gleanframe-{purpose}-{uuid.uuid4().hex}"
