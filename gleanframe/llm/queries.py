@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import mixing, pieces, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,19 @@ def op4_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op7_block_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mix_sources(mixing.document_words(documents(spark, folder)))
     return mix.rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_summaries(documents(spark, folder))
+
+
+#: The contract's rules.
+URL_RULES = (urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+             urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"))
+
+
+@query
+def op3_url_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return urls.judge_urls(pages, URL_RULES)
