@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pieces, sharding, urls
+from . import fingerprints, mixing, pieces, secrets, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,14 @@ URL_RULES = (urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/"
 def op3_url_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
     return urls.judge_urls(pages, URL_RULES)
+
+
+@query
+def op5_grammar_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, folder))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op6_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_likeness(documents(spark, folder))
