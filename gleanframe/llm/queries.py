@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, pieces, secrets, sharding, urls
+from . import oracles
+from . import fingerprints, mixing, pieces, quality, secrets, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_divergence_quality": oracles.quality_sql()}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -60,3 +61,9 @@ def op5_grammar_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_likeness(documents(spark, folder))
+
+
+@query
+def op1_divergence_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge_quality(documents(spark, folder))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
