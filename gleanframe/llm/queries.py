@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
-from . import fingerprints, mixing, pieces, quality, secrets, sharding, urls
+from . import fingerprints, jaccard, mixing, pieces, quality, secrets, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_divergence_quality": oracles.quality_sql()}
@@ -67,3 +67,8 @@ def op6_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op1_divergence_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_quality(documents(spark, folder))
     return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+@query
+def op10_count_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, folder))
