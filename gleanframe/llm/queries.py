@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
-from . import context_trees, fingerprints, jaccard, mixing, pieces, quality, secrets, sharding, urls
+from . import context_trees, fingerprints, jaccard, mixing, pieces, quality, repeats, secrets, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_divergence_quality": oracles.quality_sql()}
@@ -77,3 +77,8 @@ def op10_count_tree_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_context_tree_weighting(spark: SparkSession, folder: str) -> DataFrame:
     return context_trees.score_documents(documents(spark, folder))
+
+
+@query
+def op2_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder)).drop("spans")
