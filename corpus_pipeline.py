@@ -1,4 +1,4 @@
-"""From raw documents to training text: the stages, each a function of (spark, docs, sf_dir)."""
+"""From raw documents to token-ready training text: the stages, each a function of (spark, docs, sf_dir)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,26 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from gleanframe.llm import common, mixing  # noqa: E402
+from gleanframe.llm import common, jaccard, mixing, pieces, quality, secrets  # noqa: E402
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the divergence from their language's references reject go.
+
+    The verdict is a function of text and language, so rows with equal texts and languages share it; they meet their
+    verdict by a digest of both.
+    """
+    return quality.keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; found secrets are replaced by a mark."""
+    return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +36,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_texts(docs)
 
 
-STAGES = [("mixing sources to target weights", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with their token ids."""
+    return pieces.encode(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scans),
+          ("mixing sources to target weights", mix), ("SentencePiece encoding", encode)]
 
-#: SQL cannot express the stages; tests/llm holds them against brute-force versions.
+#: SQL cannot express the later stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 

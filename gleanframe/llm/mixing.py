@@ -172,6 +172,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     wanted = (mix.pieces.join(keys, "_row").groupBy("_key")
               .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word", "times"))).alias("_pieces")))
 
+    names = list(docs.columns)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for batch in batches:
@@ -189,8 +191,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
                                 held.append([p["from_word"], p["to_word"]])
                     runs += [text[at[a][0]:at[b - 1][1]] for a, b in held]
                 out.append("\n".join(runs))
-            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=list(docs.columns))
+            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = base.join(wanted, "_key").select(*docs.columns, "_pieces").mapInArrow(cut, docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else rows

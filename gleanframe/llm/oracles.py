@@ -18,9 +18,9 @@ def quality_sql(rule: Divergence = Divergence()) -> str:
     forms = sorted({f for w in everything for f in (w, w.capitalize(), w.upper())})
     listed = "CASE lang " + " ".join(f"WHEN '{k}' THEN {quoted(ws)}" for k, ws in rule.words.items()) + f" ELSE {quoted(everything)} END"
     kept = []
-    for name, c in CLASSES.items():
-        pattern = f"[^{c}]+" if "&&" not in c else r"[\x{0}-\x{7F}\p{Lu}]+"
-        kept.append("length(regexp_replace(t, '" + pattern.replace("'", "''") + "', '', 'g'))")
+    for c in CLASSES.values():
+        kept.append("length(regexp_replace(t, '[^" + c.replace("'", "''") + "]+', '', 'g'))")
+    kept.append("strlen(t) - length(t)")
     classes = ", ".join(kept)
 
     def distance(p: str, q: str) -> str:
@@ -50,7 +50,7 @@ h AS (SELECT *, list_transform(listed, lambda x: len(list_filter(common, lambda
 v AS (SELECT *, list_append(kept, signs - list_sum(kept)) AS classes,
         list_append(found, n_words - CAST(list_sum(found) AS BIGINT)) AS words FROM h),
 rc AS (SELECT lang, list(n ORDER BY i) AS ref_classes FROM (SELECT lang, i, sum(classes[i]) AS n
-        FROM v, (SELECT unnest(range(1, {len(CLASSES) + 2})) AS i) GROUP BY lang, i) GROUP BY lang),
+        FROM v, (SELECT unnest(range(1, {len(CLASSES) + 3})) AS i) GROUP BY lang, i) GROUP BY lang),
 rw AS (SELECT lang, list(n ORDER BY i) AS ref_words FROM (SELECT lang, i, sum(words[i]) AS n
         FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM v) GROUP BY lang, i) GROUP BY lang),
 s AS (SELECT v.*, coalesce(covered.n, 0) AS n_repeat_words,

@@ -237,7 +237,9 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, threads:
 
     The model file is read on the driver and sent to the tasks; it is a fixed file, not a function of the data.
     """
-    data, position = _model_bytes(path), df.columns.index(text)
+    df = df.drop("ids")
+    data, names = _model_bytes(path), list(df.columns)
+    position = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(data, threads)
@@ -246,20 +248,22 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, threads:
             ends = np.concatenate([[0], np.cumsum([len(i) for i in found])])
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                                             names=[*df.columns, "ids"])
+                                             names=[*names, "ids"])
 
-    return df.drop("ids").select(*df.columns).mapInArrow(run, f"{_ddl(df)}, ids array<int>")
+    return df.mapInArrow(run, f"{_ddl(df)}, ids array<int>")
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded``, the text of its ids; null ids give the empty text."""
-    data, position = _model_bytes(path), df.columns.index(ids)
+    df = df.drop("decoded")
+    data, names = _model_bytes(path), list(df.columns)
+    position = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(data, 1, verify=False)
         for batch in batches:
             out = [codec.decode(np.array(i or [], np.int32)) for i in batch.column(position).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*df.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     return df.mapInArrow(run, f"{_ddl(df)}, decoded string")
 

@@ -18,9 +18,9 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "au", "sur", "pas", "plus"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "lo"),
 }
-#: Character classes: what a regular expression keeps of a text is counted; all other signs are lower-case and the like.
-CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\x20\x09-\x0D", "mark": r"!\"'(),\-./:;?@\[\\\]^_`{}~+=", "symbol": r"#*$%&|<>",
-           "accented": r"\x{80}-\x{10FFFF}&&[^\p{Lu}]"}
+#: Character classes by what a regular expression keeps; "wide" counts the bytes of a text beyond one per sign, and
+#: all other signs (lower-case letters and the like) are the last class.
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\x20\x09-\x0D", "mark": r"!\"'(),\-./:;?@\[\\\]^_`{}~+=", "symbol": r"#*$%&|<>"}
 
 
 @dataclass(frozen=True)
@@ -54,18 +54,18 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     """
     def count(w: Column) -> Column:
         n = F.size(w)
-        room = F.pow(F.lit(2.0), F.length(F.bin(n.cast("bigint")))).cast("bigint")
+        room = F.length(F.bin(n.cast("bigint")))              # so many bits hold any position
 
-        def marked(step: Column) -> Column:
+        def marked(bits: Column) -> Column:
             places = F.sequence(F.lit(0), n - window)
-            tagged = F.transform(places, lambda i: (lambda h: h - F.pmod(h, step) + i)(
-                F.xxhash64(*[F.get(w, i + k) for k in range(window)])))
+            cleared = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
+            tagged = F.transform(places, lambda i: cleared(F.xxhash64(*[F.get(w, i + k) for k in range(window)])).bitwiseOR(i.cast("bigint")))
 
             def near(s: Column) -> Column:
-                top = lambda x: x - F.pmod(x, step)
-                kept = F.filter(s, lambda x, i: (F.coalesce(top(F.get(s, i - 1)) == top(x), F.lit(False))
-                                                 | F.coalesce(top(F.get(s, i + 1)) == top(x), F.lit(False))))
-                return F.transform(kept, lambda x: F.pmod(x, step).cast("int"))
+                twins = F.filter(F.sequence(F.lit(0), n - window - 1), lambda i: F.call_function(
+                    "shiftright", F.get(s, i).bitwiseXOR(F.get(s, i + 1)), bits) == 0)
+                place = lambda x: (x - cleared(x)).cast("int")
+                return F.array_distinct(F.flatten(F.transform(twins, lambda i: F.array(place(F.get(s, i)), place(F.get(s, i + 1))))))
 
             return let(F.sort_array(tagged), near)
 
@@ -87,18 +87,18 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return let(words, count)
 
 
-def features(docs: DataFrame, rule: Divergence) -> DataFrame:
+def features(docs: DataFrame, rule: Divergence, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the counts of the base rules, the class histogram and the histogram of its language's words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    kept = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", "")) if "&&" not in c else \
-        F.length(F.regexp_replace(text, r"[\x{0}-\x{7F}\p{Lu}]+", ""))
-    counts = {f"_c_{name}": kept(c).cast("bigint") for name, c in CLASSES.items()}
+    rare = docs.withColumn("_rare", F.regexp_replace(text, "[a-z]+", ""))    # what most class counts need to look at
+    counts = {f"_c_{name}": F.length(F.regexp_replace("_rare", f"[^{c}]+", "")).cast("bigint") for name, c in CLASSES.items()}
+    counts["_c_wide"] = (F.octet_length(text) - F.length(text)).cast("bigint")
     languages = F.create_map(*[x for k, ws in rule.words.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
     everything = sorted({w for ws in rule.words.values() for w in ws})
     forms = sorted({f for w in everything for f in (w, w.capitalize(), w.upper())})
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
-    first = docs.select(F.col("doc_id"), F.col("lang"), F.length(text).cast("bigint").alias("_signs"),
-                        words_of(text).alias("_words"), lines.alias("_lines"), *[c.alias(n) for n, c in counts.items()])
+    first = rare.select(F.col("doc_id"), F.col("lang"), F.length(text).cast("bigint").alias("_signs"),
+                        words_of(text).alias("_words"), lines.alias("_lines"), *carry, *[c.alias(n) for n, c in counts.items()])
     listed = F.coalesce(languages[F.col("lang")], F.array(*map(F.lit, everything)))
     common = F.filter("_words", lambda w: F.rtrim(w, F.lit(".,")).isin(forms))
     histogram = let(F.transform(common, lambda w: F.lower(F.rtrim(w, F.lit(".,")))), lambda c: F.transform(
@@ -108,7 +108,7 @@ def features(docs: DataFrame, rule: Divergence) -> DataFrame:
         (F.col("_signs") - F.col("_c_space")).alias("word_chars"), F.col("_c_symbol").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("bigint").alias("n_repeat_words"),
-        F.array("_signs", *counts).alias("_kept"), histogram.alias("_found")).select(
+        F.array("_signs", *counts).alias("_kept"), histogram.alias("_found"), *carry).select(
         "*", F.concat(F.slice("_kept", 2, len(counts)), F.array(F.element_at("_kept", 1) - F.aggregate(
             F.slice("_kept", 2, len(counts)), F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("classes"),
         F.concat("_found", F.array(F.col("n_words") - F.aggregate("_found", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("words")
@@ -133,6 +133,25 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
+def _verdicts(found: DataFrame, known: DataFrame, rule: Divergence) -> DataFrame:
+    """``found`` with base_failed, kept and both distances, by the references ``known``."""
+    signs = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    scored = found.join(known, "lang", "left").select(
+        "*", F.when(signs >= rule.least_signs, jensen_shannon(F.col("classes"), F.col("ref_classes"))).alias("class_distance"),
+        F.when(F.col("n_words") >= rule.least_words, jensen_shannon(F.col("words"), F.col("ref_words"))).alias("word_distance"),
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
+    chance = lambda column, n: F.size(column) / (F.lit(8 * math.log(2.0)) * n)
+    beyond = lambda d, limit, column, n: F.coalesce(d * d > limit * limit + chance(column, n), F.lit(False))
+    far = (beyond(F.col("class_distance"), rule.class_limit, "classes", signs)
+           | beyond(F.col("word_distance"), rule.word_limit, "words", F.col("n_words")))
+    return scored.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def _sent(known: DataFrame) -> DataFrame:
+    """References are sent to all tasks where languages are few; otherwise they meet their documents by a shuffle."""
+    return F.broadcast(known) if known.count() <= 10_000 else known
+
+
 def judge_quality(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
@@ -143,15 +162,20 @@ def judge_quality(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame
     empty table gives no rows; other columns are not looked at.
     """
     found = stored(features(docs, rule), "quality")
-    known = found.join(F.broadcast(references(found)) if found.select("lang").distinct().count() <= 10_000 else references(found), "lang", "left")
-    signs = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    scored = known.select(
-        "*", F.when(signs >= rule.least_signs, jensen_shannon(F.col("classes"), F.col("ref_classes"))).alias("class_distance"),
-        F.when(F.col("n_words") >= rule.least_words, jensen_shannon(F.col("words"), F.col("ref_words"))).alias("word_distance"),
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
-    chance = lambda column, n: F.size(column) / (F.lit(8 * math.log(2.0)) * n)
-    beyond = lambda d, limit, column, n: F.coalesce(d * d > limit * limit + chance(column, n), F.lit(False))
-    far = (beyond(F.col("class_distance"), rule.class_limit, "classes", F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x))
-           | beyond(F.col("word_distance"), rule.word_limit, "words", F.col("n_words")))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
+    judged = _verdicts(found, _sent(stored(references(found), "references")), rule)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "class_distance", "word_distance")
+
+
+def keep_documents(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
+    """The rows of ``docs`` that judge_quality keeps, with all their columns.
+
+    Features are computed beside the rows a second time rather than joined to them: rows need no identity, and texts
+    are not shuffled.
+    """
+    known = _sent(stored(references(features(docs, rule)), "references"))
+    whole = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    judged = _verdicts(features(whole, rule, ("_doc",)), known, rule)
+    # a filter would be moved below the features and evaluate them once more; it cannot pass an explode
+    held = judged.select(F.explode(F.array(F.struct("_doc", "kept"))).alias("_row"))
+    return held.where("_row.kept").select("_row._doc.*")

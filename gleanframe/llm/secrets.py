@@ -233,7 +233,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", forma
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", formats: Formats | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one); null texts stay null; all rows stay."""
-    judge, position = formats or infer_formats(docs, text), docs.columns.index(text)
+    judge, names = formats or infer_formats(docs, text), list(docs.columns)
+    position = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, position):
@@ -249,7 +250,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", formats:
                     t = "".join(parts) + t[done:]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == position else c for i, c in enumerate(batch.columns)],
-                                             names=docs.columns)
+                                             names=names)
 
     done = docs.mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.length(text).cast("bigint")) if "n_chars" in docs.columns else done
