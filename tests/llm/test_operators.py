@@ -1,0 +1,370 @@
+"""Each operator against a brute-force version, and on null, empty, long, repeated and odd input."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from gleanframe.llm import context_trees, fingerprints, jaccard, mixing, pieces, quality, repeats, secrets, sharding
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# --- quality rules
+
+def test_quality_base_rules(docs, rows):
+    got = by_id(quality.judge_quality(docs))
+    for i, text, *_ in rows:
+        t = text or ""
+        w = WORD.findall(t)
+        windows = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed), i
+        assert not (failed and r.kept)
+
+
+def test_quality_drops_odd_distributions(spark):
+    clean = [(i, " ".join(["the", "of", "stone", "and", "river", "in", "light", "to"][(i + k) % 8] + str(k % 37 if k % 4 == 0 else "") for k in range(160)), "en") for i in range(40)]
+    junk = [(100, " ".join(f"st{k}###$$$" for k in range(200)), "en")]
+    docs = spark.createDataFrame(clean + junk, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.keep_documents(docs).collect()}
+    assert 100 not in kept
+    assert kept == {r.doc_id for r in quality.judge_quality(docs).where("kept").collect()}
+
+
+# --- repeats
+
+def removed(rows, length=repeats.LENGTH):
+    texts = [(i, (t or "").encode()) for i, t, *_ in rows]
+    count = Counter(b[k:k + length] for _, b in texts for k in range(len(b) - length + 1))
+    out = {}
+    for i, b in texts:
+        mask = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if count[b[k:k + length]] > 1:
+                mask[k:k + length] = b"\1" * length
+        runs = sum(1 for k in range(len(b)) if mask[k] and not (k and mask[k - 1]))
+        out[i] = (len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask) if not m)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
+def test_repeats(docs, rows, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+    assert got == removed(rows)
+    assert sum(g[1] > 0 for g in got.values()) > 5
+
+
+def test_run_length_index_against_counting():
+    import random
+    rng = random.Random(5)
+    for _ in range(200):
+        base = bytes(rng.choice(b"ab\0") for _ in range(60))
+        snippets = [base[a:a + rng.randint(10, 50)] for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 8)))]
+        length = rng.randint(2, 10)
+        count = Counter(s[i:i + length] for s in snippets for i in range(len(s) - length + 1))
+        assert [f.tolist() for f in repeats.repeated_starts(snippets, length)] == [
+            [count[s[i:i + length]] > 1 for i in range(len(s) - length + 1)] for s in snippets]
+
+
+# --- sharding
+
+def test_hilbert_neighbours_and_shards(docs, rows):
+    import numpy as np
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
+    order = np.argsort(sharding.hilbert_index(cells, 3))
+    assert sorted(sharding.hilbert_index(cells, 3)) == list(range(512))
+    assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+    got = sharding.shard_documents(docs, 5).collect()
+    assert {r.doc_id: r.size for r in got} == {i: len((t or "").encode()) + 16 for i, t, *_ in rows}
+    assert all(r.text_crc32 == zlib.crc32((rows[r.doc_id][1] or "").encode()) for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(5)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+    placed = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in placed] == sorted(r.curve for r in got)
+
+
+# --- secrets
+
+def test_secret_spans(docs, rows):
+    got = by_id(secrets.find_secrets(docs))
+    for i, text, *_ in rows:
+        t = text or ""
+        spans = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
+        spans += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        kinds = Counter(k for _, k, _ in spans)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        spans.sort(key=lambda s: (s[0], secrets.KINDS.index(s[1])))
+        assert r.base_spans == ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        assert set(filter(None, r.base_spans.split(","))) <= set(r.spans.split(","))
+
+
+def test_inferred_formats_tell_credentials_from_words():
+    import random
+    rng = random.Random(3)
+    shape = lambda v: v.translate(secrets.CLASSES)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(600)]
+    plain = ["".join(rng.choice(["the", "ing", "and", "tion", "her", "ous", "ent"]) for _ in range(rng.randint(5, 8))) for _ in range(600)]
+    count = lambda values: sorted(Counter(map(shape, values)).items())
+    formats = secrets.Formats({"access": count(keys[:400]), secrets.PLAIN: count([p for p in plain[:400] if len(p) > 15])})
+    assert sum(formats.secret(k) for k in keys[400:]) > 180
+    assert not any(formats.secret(p) for p in plain[400:])
+
+
+def test_redaction_keeps_rows_and_marks_spans(docs, rows):
+    got = by_id(secrets.redact(docs))
+    assert got.keys() == {r[0] for r in rows}
+    assert "4f3a9b2c" not in got[len(rows) - 2].text and "AKIA" not in got[len(rows) - 2].text and "[secret]" in got[len(rows) - 2].text
+    assert got[0].text == rows[0][1] and got[37].text is None
+
+
+# --- fingerprints
+
+def test_fingerprints(docs, rows):
+    got = by_id(fingerprints.edited_likeness(docs, bucket_bytes=4000))
+    order = sorted(rows, key=lambda r: -r[0])
+    for row, following in zip(order, order[1:] + order[:1]):
+        t, f = row[1] or "", following[1] or ""
+        half = len(t) // 2
+        r = got[row[0]]
+        assert r.n_chars == len(t)
+        assert r.edited_sha256 == hashlib.sha256((t[:len(t) - half] + f[:half]).encode()).hexdigest()
+        own, other = fingerprints.read_back(r.fingerprint), fingerprints.read_back(got[following[0]].fingerprint)
+        assert r.near_next == fingerprints.containment(own, other)
+        assert r.near_edited == fingerprints.containment(own, fingerprints.read_back(r.edited_fingerprint))
+    alone = fingerprints.Chunker()
+    assert all(fingerprints.written(alone([(t or "").encode()])[0]) == got[i].fingerprint for i, t, *_ in rows)
+
+
+def test_chunks_resist_shifts():
+    import random
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(20_000))
+    a, b = fingerprints.Chunker()([text, b"some words before " + text])
+    assert fingerprints.containment(a, b) > 0.95
+
+
+# --- mixing
+
+def test_mix_follows_targets(spark):
+    data = [(i, f"s{i % 3}", 40 + 7 * (i % 50)) for i in range(900)]
+    mix = mixing.mix_sources(spark.createDataFrame(data, "doc_id bigint, source string, size bigint"))
+    got = mix.rows.collect()
+    sizes, taken = Counter(), Counter()
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r.size and r.source_size == sum(d[2] for d in data if d[1] == r.source)
+    wanted = {r.source: r.target for r in got}
+    assert abs(sum(wanted.values()) - 1.5 * sum(sizes.values())) < 1
+    assert all(abs(taken[s] - wanted[s]) <= 130 for s in sizes)
+    assert {(r.doc_id, r.taken) for r in mixing.mix_sources(spark.createDataFrame(data, "doc_id bigint, source string, size bigint")).rows.collect()} == {(r.doc_id, r.taken) for r in got}
+    slots = mix.slots.collect()
+    assert max(Counter((r.source_no, r.block) for r in slots).values()) <= 2
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots)
+
+
+def test_water_filling():
+    got = mixing.fill_targets([100, 10, 100], [3, 1, 2], 1.5, 2.0)
+    assert sum(got) == pytest.approx(315) and got[1] == 20 and got[0] / got[2] == pytest.approx(1.5)
+
+
+def test_permutations():
+    import numpy as np
+    for n in (1, 2, 3, 17, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), np.full(n, n), 5)) == list(range(n))
+
+
+def test_mixed_texts_are_the_taken_words(docs):
+    mix = by_id(mixing.mix_sources(mixing.document_words(docs)).rows)
+    for r in mixing.mixed_texts(docs).collect():
+        assert len(WORD.findall(r.text)) == mix[r.doc_id].taken and r.n_chars == len(r.text)
+
+
+# --- context trees
+
+def scores(rows, depth):
+    """The weighted trees built node by node in dictionaries."""
+    texts = [(i, (t or "").translate(FOLD)) for i, t, *_ in rows]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts}
+    words = {i: WORD.findall(t) + ["\n"] for i, t in texts}
+    count = Counter(w for i, _ in texts if not held[i] for w in words[i])
+    bits = lambda byte: [((1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1) for j in range(8)]
+    seen = Counter()
+    for i, t in texts:
+        b = b"\0" * depth + t.encode()
+        for k in range(depth, len(b) if not held[i] else 0):
+            for node, bit in bits(b[k]):
+                seen.update((b[k - d:k], node, bit) for d in range(depth + 1))
+    kt, weighted, below = {}, {}, defaultdict(float)
+    for c, node, _ in seen:
+        a, o = seen[c, node, 0], seen[c, node, 1]
+        kt[c, node] = math.lgamma(a + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(a + o + 1)
+    for key in sorted(kt, key=lambda q: -len(q[0])):
+        own, under = kt[key], below[key]
+        weighted[key] = own if len(key[0]) == depth else math.log(0.5) + max(own, under) + math.log1p(math.exp(-abs(own - under)))
+        below[key[0][1:], key[1]] += weighted[key]
+    out = {}
+    for i, t in texts:
+        b, total = b"\0" * depth + t.encode(), 0.0
+        for k in range(depth, len(b)):
+            for node, bit in bits(b[k]):
+                p = 0.5
+                for d in range(depth, -1, -1):
+                    q = b[k - d:k], node
+                    if q not in kt:
+                        p = 0.5
+                        continue
+                    a, n = seen[q[0], node, bit], seen[q[0], node, 0] + seen[q[0], node, 1]
+                    own = 1.0 if d == depth else math.exp(math.log(0.5) + kt[q] - weighted[q])
+                    p = own * (a + 0.5) / (n + 1) + (1 - own) * p
+                total += math.log10(p)
+        n, v = sum(count.values()), len(count)
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words[i])
+        out[i] = (held[i], len(words[i]), sum(count[w] > 0 for w in words[i]), n, base, total)
+    return out
+
+
+@pytest.mark.parametrize("heads", [None, 20])
+def test_context_tree_weighting(docs, rows, heads, monkeypatch):
+    if heads:                                       # most items then take the way of the join
+        monkeypatch.setattr(context_trees, "HEAD_WORDS", heads)
+        monkeypatch.setattr(context_trees, "HEAD_GRAMS", heads)
+    got, want = by_id(context_trees.score_documents(docs, depth=3)), scores(rows, 3)
+    for i, w in want.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert (r.base_score, r.score) == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
+
+
+# --- SentencePiece
+
+def test_encoding_parity_and_round_trip(docs, rows):
+    import sentencepiece
+    reference = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    encoded = pieces.encode(docs)
+    for r in pieces.decode(encoded).collect():
+        t = rows[r.doc_id][1] or ""
+        assert r.ids == reference.encode(t) and r.decoded == reference.decode(r.ids) == t
+    for r in pieces.encode_summaries(docs).collect():
+        assert r.parity and r.round_trip and r.n_tokens == len(reference.encode(rows[r.doc_id][1] or ""))
+
+
+def test_unigram_models_are_rebuilt(spark):
+    """A small unigram model, written field by field: scores, byte fallback, marker."""
+    import struct
+    import sentencepiece
+    from gleanframe.llm.pieces import BYTE, CONTROL, NORMAL, UNKNOWN, Codec
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda n, body: varint(n << 3 | 2) + varint(len(body)) + body
+    number = lambda n, v: varint(n << 3) + varint(v)
+    listed = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL)] + [(f"<0x{i:02X}>", 0.0, BYTE) for i in range(256)]
+    listed += [(p, s, NORMAL) for p, s in (("▁", -3.0), ("▁the", -1.0), ("▁st", -2.5), ("one", -2.0), ("stone", -2.9), ("s", -4.0), ("t", -4.1), ("o", -4.2), ("n", -4.3), ("e", -4.4), ("h", -5.0))]
+    data = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, k)) for p, s, k in listed)
+    data += field(2, number(3, 1) + number(35, 1)) + field(3, number(3, 1) + number(4, 0) + number(5, 1))
+    reference, codec = sentencepiece.SentencePieceProcessor(model_proto=data), Codec(data, 1)
+    for t in ("the stone", "the  stones not", "", "é the", "onest"):
+        assert codec.encode([t])[0][0].tolist() == reference.encode(t)
+
+
+# --- near duplicates
+
+def classes(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets[i] = ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)}) if w else set()
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("family", [jaccard.FAMILY, 2])
+def test_near_duplicates(docs, rows, family, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAMILY", family)          # 2: buckets are large and families are joined in blocks
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == classes(rows)
+
+
+def test_keep_one(docs, rows):
+    want = {c for _, c in classes(rows).values()}
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == want
+
+
+def test_count_tree_loses_no_pair():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(30)]
+    sets = base + [np.unique(np.concatenate([b[:54], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for b in base for _ in range(3)]
+    vectors, sizes = np.stack([jaccard.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
+    tree = jaccard.CountTree(vectors, sizes)
+    for i, s in enumerate(sets):
+        found = set(tree.near(vectors[i], len(s)).tolist())
+        assert {j for j, o in enumerate(sets) if jaccard.similar(s, o)} <= found
+
+
+# --- odd input
+
+OPERATORS = {
+    "quality": quality.judge_quality, "quality_filter": quality.keep_documents, "repeats": repeats.remove_repeats,
+    "sharding": sharding.shard_documents, "secrets": secrets.find_secrets, "redact": secrets.redact,
+    "fingerprints": fingerprints.edited_likeness, "fingerprint": fingerprints.fingerprint,
+    "mixing": lambda d: mixing.mix_sources(mixing.document_words(d)).rows, "mixed_texts": mixing.mixed_texts,
+    "scores": lambda d: context_trees.score_documents(d, depth=2), "encode": pieces.encode, "summaries": pieces.encode_summaries,
+    "near_duplicates": jaccard.near_duplicates, "keep_one": jaccard.keep_one,
+}
+FILTERS = {"quality_filter", "mixed_texts", "keep_one"}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(odd, name):
+    n = odd.count()
+    got = OPERATORS[name](odd).count()
+    assert got <= n if name in FILTERS else got == n
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_table(none, name):
+    assert OPERATORS[name](none).collect() == []
+
+
+def test_repeated_rows_and_null_ids_share_classes(odd):
+    got = jaccard.near_duplicates(odd).where("doc_id is null").collect()
+    assert {r.component_id for r in got} == {3, 5}
