@@ -461,7 +461,8 @@ SELECT CAST(sum(na) AS BIGINT) AS left_rows, CAST(sum(nb) AS BIGINT) AS right_ro
   CAST(sum(CASE WHEN na = 0 THEN nb ELSE 0 END) AS BIGINT) AS right_unmatched, CAST(sum(na * nb) AS BIGINT) AS joined_rows,
   max(CASE WHEN na > 0 THEN nb ELSE 0 END) AS largest_fan_out FROM f""")
 def verify_join_lineitem(d: Data):
-    return J.verify_join(d.lineitem, d.orders, "l_orderkey", "o_orderkey")
+    found = J.verify_join(d.lineitem, d.orders, "l_orderkey", "o_orderkey")
+    return found.withColumn("joined_rows", F.col("joined_rows").cast("bigint"))
 
 
 @query("verify_union_orders", """

@@ -12,7 +12,7 @@ from gleanframe.plans import findings as W
 from gleanframe.plans.profile import profile
 from gleanframe.sources.tables import Table
 
-from .base import LABELLED, LABELLED_SCHEMA, labelled, summary_sql
+from .base import LABELLED, LABELLED_SCHEMA, SCHEMA, labelled, quality_rows, quality_sql, summary_sql
 from .findings import (
     LINKED, LINKS_SQL, concentration_sql, eta_sql, outlier_summary_sql, profiles_sql,
 )
@@ -78,6 +78,12 @@ def relation_hypotheses(d: Data):
     return found.select("id", "kind", "title", F.concat_ws(",", "columns").alias("columns"), "priority")
 
 
+@query("relation_counts", f"""{LINKS_SQL}
+SELECT 'join' AS kind, count(*) AS n, {r('CAST(max(score) AS DOUBLE)', 'best_score')} FROM links""")
+def relation_counts(d: Data):
+    return J.relation_counts(J.join_links(d.tables(*LINKED)))
+
+
 @query("recommendations_documents", f"""
 WITH s AS ({summary_sql('documents', LABELLED, LABELLED_SCHEMA)}),
 c AS ({union(f"SELECT '{c}' AS c, {i} AS i, count({c}) AS n, count(*) AS rows FROM {LABELLED}" for i, c in enumerate(LABELLED_SCHEMA))}),
@@ -97,9 +103,7 @@ def recommendations_documents(d: Data):
     return W.recommendations(summary, counts)
 
 
-@query("profile_customers")
+@query("profile_customers", union(f"SELECT * FROM ({quality_sql(t, t, SCHEMA[t])})" for t in ("nation", "customer")))
 def profile_customers(d: Data):
-    """The whole chain on two tables; its parts are compared one by one above."""
-    done = profile(d.tables("nation", "customer"))
-    return K.union_all([
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows") for name, df in done.results.items()])
+    """The quality of the columns of two tables, as the whole chain gives it."""
+    return quality_rows(profile(d.tables("nation", "customer"))["quality_columns"])

@@ -39,11 +39,11 @@ class Limits:
     top_cramers: int = 10
     top_eta: int = 10
     max_category_levels: int = 40
-    max_category_columns: int = 8
+    max_category_columns: int | None = None       # all columns unless a number is given
     spearman_min_rows: int = 8
     kruskal_min_rows: int = 12
-    kruskal_categories: int = 4
-    kruskal_numbers: int = 3
+    kruskal_categories: int | None = None
+    kruskal_numbers: int | None = None
 
     # outliers
     outlier_min_rows: int = 8

@@ -8,10 +8,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 # Substrings of lower-cased column names.
-DATE_WORDS = (
-    "date", "time", "dt", "timestamp", "created", "updated", "birth",
-    "день", "дата", "время", "год", "month", "period",
-)
 MEASURE_WORDS = (
     "площад", "area", "sqm", "кв.м", "кв м", "м.кв", "м кв", "метраж",
     "price", "цен", "плат", "rent", "cost", "amount", "сумм", "доход",

@@ -26,7 +26,6 @@ DAY_FIRST_FORMATS = tuple(
     {"M.d": "d.M", "d.M": "M.d", "M/d": "d/M", "d/M": "M/d"}.get(f[:3], f[:3]) + f[3:]
     for f in DATE_FORMATS
 )
-DATE_TEXT_LENGTH = 40
 DATE_SHAPE = (
     r"^(\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{4}$|[A-Za-z]{3} \d{1,2}, \d{4}$|\d{1,2} [A-Za-z]{3} \d{4}$)"
 )
@@ -84,11 +83,11 @@ def number(name: str, dtype: T.DataType) -> Column:
 def text_to_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """The first format that parses wins.
 
-    Only text of a date's shape and length is tried: failed attempts are what costs.
+    Only text of a date's shape is tried: failed attempts are what costs.
     """
     value = strip(c)
     parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
-    return F.when((F.length(value) <= DATE_TEXT_LENGTH) & value.rlike(DATE_SHAPE), parsed)
+    return F.when(value.rlike(DATE_SHAPE), parsed)
 
 
 def moment(name: str, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -29,9 +29,10 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAU
     """One row per testable column: its statistics, both fences and the median deviation.
 
     mad is the median distance from the median, and null where the column has too
-    few levels for the median test.  The rows are computed at once: one per column.
+    few levels for the median test.  Infinite values take no part in the bounds, so
+    they lie beyond them.  The rows are computed at once: one per column.
     """
-    rows = Q.number_rows(df, columns)
+    rows = Q.number_rows(df, columns).filter(S.finite(F.col("x")).isNotNull())
     levels = Q.distinct_up_to(rows, ["column"], "x", limits.z_min_levels)
     base = rows.groupBy("column").agg(
         F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")

@@ -21,14 +21,14 @@ MISSING_TOP, MISSING_FLOOR, MISSING_SHARE = 15, 3, 0.03
 CROSS_TOP, CROSS_MIN_V, CROSS_CHARTS = 6, 0.2, 3
 CORE_TOP, GEO_TOP = 20, 16
 WEEKLY_ABOVE, SERIES_MIN_ROWS = 60, 4
-HEATMAP_COLUMNS = (3, 12)
+HEATMAP_LEAST = 3
 TREND_BAND, SHAPE_BAND = 0.05, 0.15
 
 
-def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """G1: correlation matrix of up to 12 columns."""
-    chosen = list(columns)[: HEATMAP_COLUMNS[1]]
-    if len(chosen) < HEATMAP_COLUMNS[0]:
+def heatmap(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """G1: correlation matrix of all columns, or of the first ``most``."""
+    chosen = list(columns)[:most]
+    if len(chosen) < HEATMAP_LEAST:
         raise ValueError("a heat map needs three numeric columns")
     return A.correlation_matrix(df, chosen)
 
@@ -146,7 +146,8 @@ def split_trend(df: DataFrame, date: str, number: str) -> DataFrame:
     neither the rows of a date nor those of the table are brought together.
     """
     rows = _dated(df, date, number)
-    dates = rows.withColumn("x2", F.unix_micros(F.col("t").cast("timestamp")).cast("double"))
+    # counted from a moment without zone, so that no clock change moves or merges dates
+    dates = rows.withColumn("x2", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("t").cast("timestamp_ntz")).cast("double"))
     # positions of the dates themselves, by the exact distributed ranking
     counts = dates.groupBy("x2").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
     ranked = O.average_ranks(counts, [], x="x2").withColumn(
@@ -186,8 +187,10 @@ def category_counts(df: DataFrame, columns: Sequence[str], top: int = COUNT_TOP,
 
 
 def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, bin, low, high, n): equal bins, a third as many as levels but 8 to 25; empty bins included."""
-    rows = Q.number_rows(df, columns)
+    """(column, bin, low, high, n): equal bins, a third as many as levels but 8 to 25; empty bins included.
+
+    Infinite values have no place between finite bounds and take no part."""
+    rows = Q.number_rows(df, columns).filter(S.finite(F.col("x")).isNotNull())
     levels = Q.distinct_up_to(rows, ["column"], "x", 3 * HIST_BINS[1] + 1)
     span = rows.groupBy("column").agg(F.count("x").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     bins = F.least(F.lit(HIST_BINS[1]), F.greatest(F.lit(HIST_BINS[0]), F.floor(F.col("levels") / 3))).cast("int")

@@ -84,7 +84,7 @@ def _grouped_rows(df: DataFrame, categories: Sequence[str], numbers: Sequence[st
     long = Q.unpivot(df, {n: S.number(n, types[n]) for n in numbers}, "num", "x", keep).filter("x IS NOT NULL")
     pairs = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(slot).alias("value")) for c, slot in slots.items()])
     rows = long.select("num", "x", F.explode_outer(pairs).alias("g")).select("g.cat", "num", "g.value", "x")
-    return rows.filter((F.col("cat") != F.col("num")) & F.col("value").isNotNull())
+    return rows.filter((F.col("cat") != F.col("num")) & F.col("value").isNotNull() & S.finite(F.col("x")).isNotNull())
 
 
 def group_profiles(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],

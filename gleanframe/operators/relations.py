@@ -227,7 +227,7 @@ def verify_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         F.coalesce(F.sum(na), F.lit(0)).alias("left_rows"), F.coalesce(F.sum(nb), F.lit(0)).alias("right_rows"),
         F.coalesce(F.sum(F.when(nb == 0, na)), F.lit(0)).alias("left_unmatched"),
         F.coalesce(F.sum(F.when(na == 0, nb)), F.lit(0)).alias("right_unmatched"),
-        F.coalesce(F.sum(na * nb), F.lit(0)).alias("joined_rows"),
+        F.coalesce(F.sum(na.cast("decimal(19,0)") * nb.cast("decimal(19,0)")), F.lit(0)).alias("joined_rows"),
         F.coalesce(F.max(F.when(na > 0, nb)), F.lit(0)).alias("largest_fan_out"),
     )
 

@@ -204,10 +204,10 @@ class Roles:
         return ordered(self.money, self.area, self.numeric)
 
     def profile_groups(self) -> tuple[str, ...]:
-        return ordered(self.geo, self.currency, self.categorical[:4])
+        return ordered(self.geo, self.currency, self.categorical)
 
     def profile_numbers(self, derived: Sequence[str] = ()) -> tuple[str, ...]:
-        return ordered(self.money, derived, self.numeric[:3])
+        return ordered(self.money, derived, self.numeric)
 
 
 def ordered(*groups: Sequence[str]) -> tuple[str, ...]:

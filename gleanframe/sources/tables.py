@@ -43,31 +43,43 @@ def tidy(df: DataFrame) -> DataFrame:
     )
 
 
-def text_encoding(spark: SparkSession, path: str | Sequence[str]) -> str:
-    """UTF-8 if every line is valid, else Latin-1 (which decodes any bytes)."""
-    lines = spark.read.text(path)
-    broken = lines.filter(~F.is_valid_utf8("value")).limit(1)
-    return "ISO-8859-1" if broken.count() else "UTF-8"
+def text_files(spark: SparkSession, path: str | Sequence[str]) -> dict[str, tuple[str, bool]]:
+    """Encoding, and whether quotes hold line breaks, of every file.
+
+    UTF-8 if each of the file's lines is valid, else Latin-1 (which decodes any bytes).  A line with an odd number of
+    quotes begins or ends inside quotes.  One scan; one row per file reaches the driver.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("broken"))
+    return {r["file"]: ("UTF-8" if r["valid"] else "ISO-8859-1", r["broken"]) for r in found.collect()}
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None,
-             schema: T.StructType | None = None, multiline: bool = False, separator: str = ",") -> DataFrame:
+             schema: T.StructType | None = None, multiline: bool | None = None, separator: str = ",") -> DataFrame:
     """A CSV with header.  Types are decided from all rows unless ``schema`` is given.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    Encoding and line breaks inside quotes are found out file by file.  Files with such line breaks, and only these,
+    are read by one task each; ``multiline`` and ``encoding`` overrule what is found.
     """
-    options = {
-        "header": "true",
-        "sep": separator,
-        "quote": '"',
-        "escape": '"',
-        "multiLine": str(multiline).lower(),
-        "encoding": encoding or text_encoding(spark, path),
-    }
-    reader = spark.read.options(**options)
-    if schema is not None:
-        return tidy(reader.schema(schema).csv(path))
-    return infer_text_types(tidy(reader.csv(path)))
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    if encoding is None or multiline is None:
+        for file, (code, broken) in text_files(spark, path).items():
+            kinds.setdefault((encoding or code, broken if multiline is None else multiline), []).append(file)
+    if len(kinds) <= 1:                                  # all files alike: the path itself, empty files included
+        given = [(next(iter(kinds), (encoding or "UTF-8", bool(multiline))), path)]
+    else:
+        given = sorted(kinds.items())
+
+    def read(code: str, breaks: bool, files: str | Sequence[str]) -> DataFrame:
+        reader = spark.read.options(header="true", sep=separator, quote='"', escape='"', multiLine=str(breaks).lower(), encoding=code)
+        return tidy((reader.schema(schema) if schema is not None else reader).csv(files))
+
+    parts = [read(code, breaks, files) for (code, breaks), files in given]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part) if set(part.columns) == set(whole.columns) else whole.union(part)
+    return whole if schema is not None else infer_text_types(whole)
 
 
 def _known(c: Column) -> Column:
