@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import names as N, scalar as S
+from ..sources.sinks import stored
 from . import associations as A, frequency as Q, order_stats as O
 from .structure import union_all
 
@@ -149,10 +150,11 @@ def split_trend(df: DataFrame, date: str, number: str) -> DataFrame:
     # counted from a moment without zone, so that no clock change moves or merges dates
     dates = rows.withColumn("x2", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("t").cast("timestamp_ntz")).cast("double"))
     # positions of the dates themselves, by the exact distributed ranking
-    counts = dates.groupBy("x2").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
+    counts = stored(dates.groupBy("x2").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s")), "dates")
     ranked = O.average_ranks(counts, [], x="x2").withColumn(
         "before", (F.col("avg_rank") - (F.col("n") + 1) / 2).cast("bigint"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    ranked = stored(ranked, "dates")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     placed = ranked.withColumn("half", F.floor(total / 2).cast("bigint"))
     sides = placed.agg(
         F.sum(F.when(F.col("before") + F.col("n") <= F.col("half"), F.col("s"))).alias("s1"),
@@ -161,7 +163,7 @@ def split_trend(df: DataFrame, date: str, number: str) -> DataFrame:
     middle = placed.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))).select(
         "x2", (F.col("half") - F.col("before")).alias("take"))
     inside = dates.join(F.broadcast(middle), "x2")          # a single date
-    cut = O.average_ranks(inside.groupBy("x", "take").agg(F.count(F.lit(1)).alias("n")), [])
+    cut = O.average_ranks(stored(inside.groupBy("x", "take").agg(F.count(F.lit(1)).alias("n")), "dates"), [])
     start = F.col("avg_rank") - (F.col("n") + 1) / 2
     taken = F.greatest(F.least(F.col("n"), F.col("take") - start), F.lit(0))
     part = cut.agg(F.coalesce(F.sum(F.col("x") * taken), F.lit(0.0))).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
 from ..sources.literals import literal_rows
+from ..sources.sinks import stored
 from . import frequency as Q, order_stats as O
 from .structure import Roles, union_all
 
@@ -20,18 +21,21 @@ def ranks(df: DataFrame, column: str) -> DataFrame:
 
 def _side(pairs: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:
     """(keys..., value, pairs, rank) for the distinct values on one side of the pair counts."""
-    counts = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
+    counts = stored(pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")), "ranks")
     ranked = O.average_ranks(counts, keys, x=value)
-    return ranked.select(*keys, value, "pairs", F.col("avg_rank").alias(rank))
+    return stored(ranked.select(*keys, value, "pairs", F.col("avg_rank").alias(rank)), "ranks")
 
 
 def spearman(df: DataFrame, a: str, b: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """One row (col_a, col_b, stat, n): Pearson of the average ranks over rows where both are present."""
+    """One row (col_a, col_b, stat, n): Pearson of the average ranks over rows where both are present.
+
+    The table is read once: counts of value pairs are stored, and all ranking works on these.
+    """
     types = Q.dtypes(df)
-    pairs = (
+    pairs = stored(
         df.select(S.number(a, types[a]).alias("a"), S.number(b, types[b]).alias("b"))
         .filter("a IS NOT NULL AND b IS NOT NULL")
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs"
     )
     with_b = O.attach_unique(pairs, _side(pairs, [], "b", "rb"), ["b"], "pairs", ["rb"])
     # one row per value of a from here on: rank sums are linear in the rank of b
@@ -71,10 +75,10 @@ def kruskal(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],
         F.struct(F.lit(c).alias("col_a"), F.lit(x).alias("col_b"), F.col(f"g{i}").alias("g"), F.col(f"x{j}").alias("x"))
         for i, c in enumerate(categories) for j, x in enumerate(numbers) if c != x
     ])
-    counts = (
+    counts = stored(
         wide.select(F.explode_outer(cells).alias("c")).select("c.*")
         .filter("g IS NOT NULL AND x IS NOT NULL")
-        .groupBy(*pair, "g", "x").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*pair, "g", "x").agg(F.count(F.lit(1)).alias("n")), "pairs"
     )
     ranked = O.attach_unique(counts, _side(counts, pair, "x", "r"), [*pair, "x"], "pairs", ["r"])
     groups = ranked.groupBy(*pair, "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
 from .tables import Table
 
 
@@ -20,6 +21,13 @@ def save_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table once to the shared folder, so that what follows reads it instead of its sources."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_tables(tables: Sequence[Table], folder: str, mode: str = "overwrite") -> None:
     """The prepared tables as Parquet: ``folder/table_id``."""
     for table in tables:
