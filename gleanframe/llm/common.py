@@ -60,6 +60,51 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_BASE = np.uint64(0xD6E8FEB86659FD93)                      # odd, so it has an inverse modulo 2**64
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that lets every bit act on every other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Hashes:
+    """Hashes of any stretch of a byte array, from prefix sums modulo 2**64."""
+
+    def __init__(self, raw: np.ndarray):
+        powers = np.full(len(raw) + 1, _BASE, np.uint64)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
+        powers[:] = _INVERSE
+        powers[0] = 1
+        self.back = np.cumprod(powers, out=powers)
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stop] - self.sums[start]) * self.back[start])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, text number) of every word of the texts whose bytes lie between the offsets."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    solid = ~_IS_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(solid & (~np.concatenate([[False], solid[:-1]]) | edge[:-1]))
+    stop = np.flatnonzero(solid & (~np.concatenate([solid[1:], [False]]) | edge[1:])) + 1
+    h = mixed(Hashes(raw).of(start, stop) + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h, np.searchsorted(offsets, start, side="right") - 1
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

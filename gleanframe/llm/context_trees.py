@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, joined_bytes, slices, stored
+from .common import LOWER_BYTES, SLICE_BYTES, joined_bytes, slices, stored, word_hashes
 
 DEPTH = 4                          # context bytes
 HEAD_WORDS, HEAD_GRAMS = 200_000, 500_000   # the most frequent ones are sent to all tasks; all others meet by a join
@@ -17,41 +17,12 @@ WORDS, GRAMS, SUMMARY = 0, 1, 2    # kinds of rows
 END = np.uint64(0x1D0C5E17E4D)     # stands for the end of a text among the word hashes
 LN10 = math.log(10.0)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, *range(9, 14)]] = True
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, text number) of every word of lower-cased texts, and of one END per text."""
+    words, doc = word_hashes(raw, offsets)
     docs = np.arange(len(offsets) - 1)
-    if not len(raw):
-        return np.full(len(docs), END), docs
-    solid = ~_IS_SPACE[raw]
-    starts_text = np.zeros(len(raw) + 1, bool)
-    starts_text[offsets] = True
-    before = np.concatenate([[False], solid[:-1]])
-    start = np.flatnonzero(solid & (~before | starts_text[:-1]))
-    after = np.concatenate([solid[1:], [False]])
-    stop = np.flatnonzero(solid & (~after | starts_text[1:])) + 1
-    base = np.uint64(0xD6E8FEB86659FD93)
-    powers = np.full(len(raw) + 1, base, np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-    back = np.full(len(raw) + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    h = _mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    return np.concatenate([h, np.full(len(docs), END)]), np.concatenate([doc, docs])
+    return np.concatenate([words, np.full(len(docs), END)]), np.concatenate([doc, docs])
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +176,9 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
 
         for batch in slices(batches, 1):
             raw, offsets = joined_bytes(batch.column(1))
-            raw = _LOWER[raw]
+            raw = LOWER_BYTES[raw]
             trained = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            words, doc = word_hashes(raw, offsets)
+            words, doc = tokens_of(raw, offsets)
             tallies[WORDS].add(*np.unique(words[trained[doc]], return_counts=True))
             codes, doc = gram_codes(raw, offsets, depth)
             for use in (trained, ~trained):
@@ -315,8 +286,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
 
         for batch in slices(batches, 1, SLICE_BYTES):
             raw, offsets = joined_bytes(batch.column(1))
-            raw, size = _LOWER[raw], batch.num_rows
-            words_, doc = word_hashes(raw, offsets)
+            raw, size = LOWER_BYTES[raw], batch.num_rows
+            words_, doc = tokens_of(raw, offsets)
             n_tokens = np.bincount(doc, minlength=size)
             base, known, tail_words = looked_up(WORDS, words_, doc, size)
             score, _, tail_grams = looked_up(GRAMS, *gram_codes(raw, offsets, depth), size)

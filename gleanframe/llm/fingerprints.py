@@ -9,24 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import mixed, slices
 
 WINDOW = 32                        # bytes that a gear hash sees
 LEAST, NORMAL, MOST = 32, 64, 256  # chunk sizes in bytes; no chunk is cut before the hash has left the one before
 STRICT, LOOSE = 24, 28             # a cut needs the 8 top bits to be zero before the normal size, 4 after it
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Chunker:
     """Cuts many texts at once; a text's chunks depend on its own bytes only."""
 
     def __init__(self):
-        self.gear = (_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        self.gear = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         self.base = np.uint64(0x9E3779B97F4A7C15)                       # odd, so it has an inverse modulo 2**64
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self._grow(1 << 16)
@@ -70,7 +64,7 @@ class Chunker:
             doc, start, stop = doc[on], cut[on], stop[on]
         doc, start, cut = (np.concatenate(c) for c in zip(*cuts))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[:len(raw)])])
-        digest = _mix((sums[cut] - sums[start]) * self.back[start] + (cut - start).astype(np.uint64)) >> np.uint64(32)
+        digest = mixed((sums[cut] - sums[start]) * self.back[start] + (cut - start).astype(np.uint64)) >> np.uint64(32)
         key = (doc.astype(np.uint64) << np.uint64(32)) | digest
         key, first = np.unique(key, return_index=True)
         out = np.empty(len(key), kind)

@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, UPPER, WORD, components, slices, stored, texts
+from .common import LOWER_BYTES, components, joined_bytes, mixed, slices, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64            # coordinates of a count vector
 FAMILY = 2_000         # texts that one task joins together; larger families are joined in blocks
 WEIGHT = 4_000_000     # shingles that one task joins together, unless a text alone has more
 HEAVY = 200_000        # frequent shingles that are put last in the order of prefixes (any order gives the same result)
-_FOLD = str.maketrans(UPPER, LOWER)
+SLICE = 2 << 20        # text bytes whose shingles a task makes at a time
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles; texts of fewer words are one shingle as a whole."""
+    raw, offsets = joined_bytes(column)
+    words, doc = word_hashes(LOWER_BYTES[raw], offsets)
+    number = np.bincount(doc, minlength=len(offsets) - 1)
+    ends = np.cumsum(number)
 
+    def chained(at: np.ndarray, k: int) -> np.ndarray:
+        acc = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + words[at + j])
+        return acc
 
-def shingle_sets(batch: Sequence[str], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of each text's distinct shingles; texts of fewer words are one shingle as a whole."""
-    word = re.compile(WORD)
-    split = [word.findall(t.translate(_FOLD) if not t.islower() else t) for t in batch]
-    known = {w: i for i, w in enumerate(set().union(*split))} if split else {}
-    hashes = np.fromiter((int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in known),
-                         np.uint64, len(known))
+    all_ = chained(np.arange(max(len(words) - width + 1, 0)), width)
     out = []
-    for words in split:
-        h = hashes[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-        k = min(width, len(h))
-        if not k:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        acc = np.full(len(h) - k + 1, k, np.uint64)
-        for j in range(k):
-            acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[j:len(h) - k + 1 + j])
-        out.append(np.unique(acc))
+    for n, end in zip(number.tolist(), ends.tolist()):
+        found = np.sort(all_[end - n:end - width + 1]) if n >= width else chained(np.array([end - n]), n) if n else words[:0]
+        out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) > 1 else found)
     return out
 
 
 def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((_mix(shingles + np.uint64(1)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((mixed(shingles + np.uint64(1)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def least_overlap(n, m, percent: int = PERCENT):
@@ -163,8 +155,8 @@ def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def frequent_shingles(docs: DataFrame, text: str = "text", bound: int = HEAVY) -> np.ndarray:
     """Shingles that recur within slices of documents, rarest first; at most ``bound``, which only sets an order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            tokens, n = np.unique(np.concatenate([*shingle_sets(texts(batch.column(0))), np.zeros(0, np.uint64)]), return_counts=True)
+        for batch in slices(batches, 0, SLICE):
+            tokens, n = np.unique(np.concatenate([*shingle_sets(batch.column(0)), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
 
     seen = docs.select(text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
@@ -181,13 +173,13 @@ def described(docs: DataFrame, heavy: np.ndarray, key: str, text: str, percent:
     sorted_heavy, rank = np.sort(heavy), np.argsort(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            sets = shingle_sets(texts(batch.column(1)))
+        for batch in slices(batches, 1, SLICE):
+            sets = shingle_sets(batch.column(1))
             n = [len(s) for s in sets]
             first, second, vectors, prefixes = [], [], [], []
             for s in sets:
-                first.append(int(_mix(s + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+                first.append(int(mixed(s + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)))
+                second.append(int(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 vectors.append(count_vector(s).tobytes())
                 at = np.searchsorted(sorted_heavy, s)
                 common = (at < len(heavy)) & (sorted_heavy[np.minimum(at, max(len(heavy) - 1, 0))] == s) if len(heavy) else np.zeros(len(s), bool)
@@ -211,10 +203,12 @@ def coarse_edges(nodes: DataFrame, percent: int) -> DataFrame:
     searched by count vectors; in large ones all members are tied to the smallest, which needs no gathering.
     """
     rows = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"),
-                                       F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).where("n > 1")
-    once = stored(shared.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.min("low").alias("low")).select("token", "n", "low"), "tokens")
-    members = stored(rows.join(once, "token").select("token", "node", "n", "low"), "buckets")
+    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    every = stored(rows.join(shared, "token"), "shared")
+    marked = every.groupBy("token", "n").agg(F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("s1"),
+                                             F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+    once = marked.groupBy("n", "s1", "s2").agg(F.min("token").alias("token"), F.min("low").alias("low")).select("token", "low")
+    members = stored(every.join(once, "token").select("token", "node", "n", "low"), "buckets")
     large = members.where(F.col("n") > FAMILY).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     small = (members.where(F.col("n") <= FAMILY).select("token", "node")
              .join(nodes.select("node", "n_shingles", "vector"), "node").select("token", "node", "n_shingles", "vector"))
@@ -259,7 +253,7 @@ def _local(percent: int):
     """(key..., node, text) in, edges (node, first node of its class within the key) out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 2):
-            node, sets = table.column(2).to_numpy(), shingle_sets(texts(table.column(3)))
+            node, sets = table.column(2).to_numpy(), shingle_sets(table.column(3))
             label = classes_of(sets, np.stack([count_vector(s) for s in sets]), np.array([len(s) for s in sets]), percent)
             yield _edges([(node, node[label])])
     return run
@@ -306,7 +300,7 @@ def exact_edges(families: DataFrame, percent: int) -> DataFrame:
         for table in _runs(batches, 3):
             node, root = table.column(3).to_numpy(), table.column(4).to_numpy()
             query = table.column(6).to_numpy().astype(bool)
-            sets = shingle_sets(texts(table.column(5)))
+            sets = shingle_sets(table.column(5))
             vectors, sizes = np.stack([count_vector(s) for s in sets]), np.array([len(s) for s in sets])
             here, pairs = np.flatnonzero(~query), []
             if not len(here):
@@ -359,10 +353,10 @@ def _fetched(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     joined = narrow.join(wanted, narrow["doc_id"].eqNullSafe(wanted["at"])).select("text", "family", "node", "n", "k1", "k2")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            sets = shingle_sets(texts(batch.column(0)))
-            first = np.array([int(_mix(s + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
-            second = np.array([int(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
+        for batch in slices(batches, 0, SLICE):
+            sets = shingle_sets(batch.column(0))
+            first = np.array([int(mixed(s + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
+            second = np.array([int(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
             same = (first == batch.column(4).to_numpy()) & (second == batch.column(5).to_numpy())
             kept = batch.filter(pa.array(same))
             yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), kept.column(0)], ["family", "node", "n", "text"])

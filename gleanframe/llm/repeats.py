@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.session import shared_folder
 
-from .common import joined_bytes, slices, stored
+from .common import Hashes, joined_bytes, mixed, slices, stored
 
 LENGTH = 400
 GRAM = 32
@@ -27,33 +27,6 @@ INDEX_BYTES = 1 << 20    # bytes that one index is built over, unless one group
 SEPARATOR = 255          # never occurs in UTF-8
 PLACE_BITS = 30
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Hashes:
-    """Hashes of any stretch of a byte array, from prefix sums modulo 2**64."""
-
-    def __init__(self, raw: np.ndarray):
-        powers = np.full(len(raw) + 1, _BASE, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
-        self.back = powers
-        self.back[:] = _INVERSE
-        self.back[0] = 1
-        np.cumprod(self.back, out=self.back)
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.back[start])
-
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(text, anchor hash, snippet hash, first string, number of strings, place of the anchor after the first string).
@@ -82,7 +55,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     number = np.diff(np.concatenate([first, [len(at)]]))
     begin, place, text = start[first], at[first], text[first]
     content = hashes.of(begin, begin + number + length - 1)
-    snippet = _mix(content + (place - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    snippet = mixed(content + (place - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return text, grams[place], snippet, begin - offsets[text], number, place - begin
 
 
