@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from gleanframe.operators import (
-    anomalies as X, associations as A, concentration as C, quality as L, rank_tests as R, relations as J, structure as K,
+    anomalies as X, associations as A, charts as G, concentration as C, frequency as Q, metrics as M, quality as L, rank_tests as R, relations as J, structure as K,
 )
 from gleanframe.operators.structure import Roles
-from gleanframe.plans import findings as W
+from gleanframe.plans import charts as V, findings as W
 from gleanframe.plans.profile import profile
 from gleanframe.sources.tables import Table
 
 from .base import LABELLED, LABELLED_SCHEMA, SCHEMA, labelled, quality_rows, quality_sql, summary_sql
+from .charts import NUMERIC_LINE
 from .findings import (
-    LINKED, LINKS_SQL, concentration_sql, eta_sql, outlier_summary_sql, profiles_sql,
+    LINKED, LINKS_SQL, concentration_sql, cramers_sql, eta_sql, outlier_summary_sql, pearson_sql, profiles_sql,
 )
-from .registry import Data, query, r, union
+from .registry import ORACLES, Data, query, r, union
 
 EVENTS = Roles(geo=("props",), numeric=("value",), categorical=("event_type",))
 EVENT_VALUES = union(
@@ -107,3 +110,43 @@ def recommendations_documents(d: Data):
 def profile_customers(d: Data):
     """The quality of the columns of two tables, as the whole chain gives it."""
     return quality_rows(profile(d.tables("nation", "customer"))["quality_columns"])
+
+
+def chart_plan_sql(table: str, numbers, groups, weights: str) -> str:
+    """``weights``: SQL for (column_name, kind, importance); pairs are taken in the order of their strength."""
+    pairs = list(combinations(numbers, 2))
+    both = list(combinations(groups, 2))
+    return f"""
+WITH w AS (SELECT * FROM ({weights}) WHERE importance > 0),
+num AS (SELECT *, row_number() OVER (ORDER BY importance DESC, column_name) AS i FROM w WHERE kind = 'numeric'),
+cat AS (SELECT *, row_number() OVER (ORDER BY importance DESC, column_name) AS i FROM w WHERE kind IN ('categorical', 'boolean')),
+day AS (SELECT *, row_number() OVER (ORDER BY importance DESC, column_name) AS i FROM w WHERE kind = 'datetime'),
+p AS (SELECT *, row_number() OVER (ORDER BY round(abs(s), 4) DESC, col_a, col_b) AS i FROM ({pearson_sql(table, pairs)}) WHERE round(abs(s), 12) >= 0.4),
+e AS (SELECT *, row_number() OVER (ORDER BY round(abs(s), 4) DESC, col_a, col_b) AS i FROM ({eta_sql(table, groups, numbers)}) WHERE round(abs(s), 12) >= 0.3),
+v AS (SELECT *, row_number() OVER (ORDER BY round(abs(s), 4) DESC, col_a, col_b) AS i FROM ({cramers_sql(table, both)}) WHERE round(abs(s), 12) >= 0.3),
+c AS (SELECT 1 AS o, 1 AS i, 'heatmap' AS kind, string_agg(column_name, ',' ORDER BY i) AS columns, 98.0 AS score FROM num HAVING count(*) >= 3
+  UNION ALL SELECT 2, i, 'scatter', col_a || ',' || col_b, 70 + least(28, abs(s) * 35) FROM p WHERE i <= 3
+  UNION ALL SELECT 3, i, 'mean_bar', col_a || ',' || col_b, 75 + least(22, s * 40) FROM e WHERE i <= 4
+  UNION ALL SELECT 4, i, 'box', col_a || ',' || col_b, 63 + least(20, s * 30) FROM e WHERE i <= 6
+  UNION ALL SELECT 5, 1, 'series', day.column_name || ',' || num.column_name, 72 + 0.2 * num.importance FROM day, num WHERE day.i = 1 AND num.i = 1
+  UNION ALL SELECT 6, i, 'count', column_name, 55 + 0.5 * importance FROM cat WHERE i <= 4
+  UNION ALL SELECT 7, i, 'histogram', column_name, 48 + 0.4 * importance FROM num WHERE i <= 2
+  UNION ALL SELECT 9, i, 'crosstab', col_a || ',' || col_b, 60 + least(18, s * 30) FROM v WHERE i <= 3)
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, o, i) AS rank, kind, columns, {r('score', 'score')} FROM c QUALIFY rank <= 20"""
+
+
+def planned(d: Data, name: str, numbers):
+    table = d.table(name)
+    described = K.structure(table)
+    facts = K.collect_facts(described)[name]
+    importance = G.column_importance(described, M.moments(Q.number_rows(table.df, numbers)))
+    return V.chart_plan(importance, A.associations(table.df, facts), G.missing_counts(table.df))
+
+
+PLANNED_GROUPS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"]
+
+
+@query("chart_plan_lineitem", chart_plan_sql(
+    "lineitem", [c for c in NUMERIC_LINE if c not in PLANNED_GROUPS], PLANNED_GROUPS, ORACLES["column_importance_lineitem"]))
+def chart_plan_lineitem(d: Data):
+    return planned(d, "lineitem", NUMERIC_LINE)

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..operators import (
-    anomalies, associations, concentration, derived, metrics, quality, rank_tests, relations, structure as K,
+    anomalies, associations, charts as G, concentration, derived, frequency as Q, metrics, quality, rank_tests, relations,
+    structure as K,
 )
 from ..session import shared_folder
 from ..sources.sinks import save_results
 from ..sources.tables import Table
-from . import findings
+from . import charts, findings
 
 
 # Result tables that highlights are drawn from.
@@ -116,6 +117,10 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
         if mine.money or mine.numeric:
             jobs[f"tests/{table.id}"] = lambda t=table, m=mine, o=own: rank_tests.rank_tests(
                 t.df, m, o["associations"], limits)
+        jobs[f"chart_plan/{table.id}"] = lambda t=table, o=own: charts.chart_plan(
+            G.column_importance(described.where(F.col("table_id") == t.id), metrics.moments(Q.number_rows(
+                t.df, [c for c, f in facts[t.id].items() if f.kind == "numeric"] or t.df.columns[:1]))),
+            o["associations"], G.missing_counts(t.df))
         if "concentration_values" in own:
             jobs[f"concentration/{table.id}"] = lambda o=own: concentration.concentration_summary(o["concentration_values"])
         if "group_profiles" in own:
@@ -124,8 +129,11 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
 
     found = {t.id: {n.split("/")[0]: df for n, df in done.items() if n.endswith(f"/{t.id}")} for t in prepared}
     jobs = {"quality_summary": lambda: quality.quality_summary(done["quality_columns"], done["duplicates"], limits)}
+    if "relations" in done:
+        jobs["relation_counts"] = lambda: relations.relation_counts(done["relations"])
     for table in prepared:
         mine, own = chosen[table.id], found[table.id]
+        jobs |= {f"{name}/{table.id}": lambda df=df: df for name, df in charts.chart_tables(table.df, own["chart_plan"]).items()}
         if WORDED & set(own):
             names = tuple(derived.ratio_pairs(mine.money, mine.area))
             jobs[f"highlights/{table.id}"] = lambda m=mine, o=own: findings.highlights(o, m, limits)
@@ -133,7 +141,7 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
     done |= run(jobs)
 
     results = {"structure": described}
-    results |= {n: done[n] for n in ("quality_columns", "quality_summary", "relations", "relation_examples") if n in done}
+    results |= {n: done[n] for n in ("quality_columns", "quality_summary", "relations", "relation_counts", "relation_examples") if n in done}
     for name in dict.fromkeys(n.split("/")[0] for n in done if "/" in n):
         parts = [done[f"{name}/{t.id}"].select(F.lit(t.id).alias("table_id"), "*")
                  for t in prepared if f"{name}/{t.id}" in done]
