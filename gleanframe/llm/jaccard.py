@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import LOWER_BYTES, components, joined_bytes, mixed, slices, stored, word_hashes
 
@@ -15,11 +15,16 @@ GROUPS = 64            # coordinates of a count vector
 FAMILY = 2_000         # texts that one task joins together; larger families are joined in blocks
 WEIGHT = 4_000_000     # shingles that one task joins together, unless a text alone has more
 HEAVY = 200_000        # frequent shingles that are put last in the order of prefixes (any order gives the same result)
-SLICE = 2 << 20        # text bytes whose shingles a task makes at a time
+SLICE = 1 << 20        # text bytes whose shingles a task makes at a time
 
 
-def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles; texts of fewer words are one shingle as a whole."""
+    batch = pa.RecordBatch.from_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column], ["text"])
+    return [s for part in slices([batch], 0, SLICE) for s in _sets(part.column(0), width)]
+
+
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
     raw, offsets = joined_bytes(column)
     words, doc = word_hashes(LOWER_BYTES[raw], offsets)
     number = np.bincount(doc, minlength=len(offsets) - 1)
@@ -164,8 +169,9 @@ def frequent_shingles(docs: DataFrame, text: str = "text", bound: int = HEAVY) -
     return rows.sort_values(["n", "token"])["token"].to_numpy(np.int64).view(np.uint64)
 
 
-def described(docs: DataFrame, heavy: np.ndarray, key: str, text: str, percent: int) -> DataFrame:
-    """Per row: key, size of the shingle set, 128 bits that identify the set, count vector, prefix of the set.
+def described(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
+    """For (doc_id, text, t1, t2), per row: all but the text, the size of the shingle set, 128 bits that identify the
+    set, its count vector and its prefix.
 
     Two similar sets share an element among their first n - ceil(percent * n / 100) + 1, whatever order is used for
     all; here frequent shingles come last.
@@ -188,12 +194,12 @@ def described(docs: DataFrame, heavy: np.ndarray, key: str, text: str, percent:
                 prefixes.append(np.concatenate([s[~common], last])[:keep].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(vectors, pa.binary()),
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(vectors, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))],
-                ["doc_id", "n_shingles", "k1", "k2", "vector", "prefix"])
+                ["doc_id", "t1", "t2", "n_shingles", "k1", "k2", "vector", "prefix"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_shingles bigint, k1 bigint, k2 bigint, vector binary, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, n_shingles bigint, k1 bigint, "
+                                "k2 bigint, vector binary, prefix array<bigint>")
 
 
 def coarse_edges(nodes: DataFrame, percent: int) -> DataFrame:
@@ -319,29 +325,41 @@ def exact_edges(families: DataFrame, percent: int) -> DataFrame:
     return edges.unionAll(merged).unionAll(stored(more, "across-links"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, the document itself included).
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text, t1, t2): with 128 bits that identify the text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(1), whole).alias("t2"))
 
-    Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least ``percent`` / 100.
-    Equal sets are one node; nodes that share a prefix shingle are searched by R-trees over count vectors, survivors
-    are verified on their sets.  Shingles are told apart by 64-bit hashes.  Null, empty and wordless texts have the
-    empty set and link with nothing (their component is their own id); repeated rows link with one another; a null
-    id's component is the smallest id it reaches, else null; other columns are not looked at.
-    """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+
+def _classified(narrow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t1, t2, n_shingles, k1, k2, row) and, for every set that is not empty, (k1, k2, n_shingles, root, least):
+    the smallest node of its class and the smallest id among its own rows."""
     heavy = frequent_shingles(narrow)
-    rows = stored(described(narrow, heavy, "doc_id", "text", percent).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    rows = stored(described(narrow, heavy, percent).withColumn("row", F.monotonically_increasing_id()), "shingles")
     full = rows.where("n_shingles > 0")
     groups = stored(full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"),
-                                                              F.min_by("doc_id", "row").alias("at")), "nodes")
+                                                              F.min_by(F.struct("t1", "t2"), "row").alias("at")), "nodes")
     nodes = full.join(groups.select(F.col("node").alias("row"), "node"), "row").select("node", "n_shingles", "vector", "prefix")
     coarse = components(coarse_edges(nodes, percent))
     ties = coarse.select("root").distinct()
     member = coarse.unionAll(ties.select(F.col("root").alias("node"), "root")).distinct()
-    wanted = stored(member.join(groups, "node").select(F.col("root").alias("family"), "node", F.col("n_shingles").alias("n"), "at", "k1", "k2"), "wanted")
+    wanted = stored(member.join(groups, "node").select(F.col("root").alias("family"), "node", F.col("n_shingles").alias("n"), "at.t1", "at.t2"), "wanted")
     families = stored(_fetched(narrow, wanted), "families")
     links = components(exact_edges(families, percent))
-    reached = groups.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    reached = groups.join(links, "node", "left").withColumn("root", F.coalesce("root", "node")).select("k1", "k2", "n_shingles", "root", "least")
+    return rows.drop("vector", "prefix"), reached
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, the document itself included).
+
+    Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least ``percent`` / 100.
+    Equal sets are one node; nodes that share a prefix shingle are searched by R-trees over count vectors, survivors
+    are verified on their sets.  Shingles are told apart by 64-bit hashes.  Null, empty and wordless texts have the
+    empty set and link with nothing (their component is their own id); repeated rows link with one another; a null
+    id's component is the smallest id it reaches, else null; other columns are not looked at.
+    """
+    rows, reached = _classified(_marked(docs, key, text), percent)
     least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     known = reached.join(least, "root").select("k1", "k2", "n_shingles", "component_id")
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2", "n_shingles"], "left")
@@ -349,26 +367,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def _fetched(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(family, node, n, text): the texts of the wanted nodes, each once, by id and checked by the set's 128 bits."""
-    joined = narrow.join(wanted, narrow["doc_id"].eqNullSafe(wanted["at"])).select("text", "family", "node", "n", "k1", "k2")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, SLICE):
-            sets = shingle_sets(batch.column(0))
-            first = np.array([int(mixed(s + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
-            second = np.array([int(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64)
-            same = (first == batch.column(4).to_numpy()) & (second == batch.column(5).to_numpy())
-            kept = batch.filter(pa.array(same))
+    """(family, node, n, text): the text of every wanted node, which names one by its 128 bits; copies come once."""
+    joined = narrow.join(wanted, ["t1", "t2"]).select("text", "family", "node", "n")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None                                       # joined rows of a text follow one another
+        for batch in batches:
+            node, keep = batch.column(2).to_numpy(), []
+            for i, x in enumerate(node.tolist()):
+                if x != last:
+                    keep.append(i)
+                    last = x
+            kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), kept.column(0)], ["family", "node", "n", "text"])
 
-    found = joined.mapInArrow(check, "family bigint, node bigint, n bigint, text string")
-    return found.dropDuplicates(["node"])
+    return joined.mapInArrow(once, "family bigint, node bigint, n bigint, text string").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` without near duplicates: of each class the row with the smallest id stays, of equal ids one row."""
-    base = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup")
-    classes = near_duplicates(base.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), percent=percent)
-    named = base.select("_row", key).join(classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")), "_row")
-    first = named.groupBy("_class").agg(F.min_by("_row", F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))).alias("_row"))
-    return base.join(first.select("_row"), "_row", "left_semi").drop("_row")
+    """``docs`` without near duplicates: of each class the row with the smallest id stays, of equal ids and texts one.
+
+    Wordless texts are no near duplicates of anything; rows equal in id and text stay once.  The winners of the
+    classes are narrow rows; texts move once, to meet them.
+    """
+    rows, reached = _classified(_marked(docs, key, text), percent)
+    named = rows.join(reached.select("k1", "k2", "n_shingles", "root"), ["k1", "k2", "n_shingles"], "left")
+    own = named.withColumn("class", F.coalesce("root", -1 - F.col("row")))
+    first = own.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "t1", "t2")).alias("w"))
+    winners = first.select(F.col("w.doc_id").alias("_id"), F.col("w.t1").alias("_w1"), F.col("w.t2").alias("_w2"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    placed = docs.withColumns({"_t1": F.xxhash64(whole), "_t2": F.xxhash64(F.lit(1), whole)})
+    met = placed.join(winners, (F.col("_t1") == F.col("_w1")) & (F.col("_t2") == F.col("_w2")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text and f.dataType.simpleString() in ("string", "int", "bigint", "double", "boolean")]
+    turn = F.row_number().over(Window.partitionBy("_t1", "_t2", key).orderBy(*rest))
+    return met.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_t1", "_t2")

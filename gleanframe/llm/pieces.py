@@ -178,7 +178,9 @@ class Codec:
         table = self.bytes_of
         ours = [b"".join([table[i] for i in word]) for word in ids]
         skip = 1 if prefix else 0
-        return [a == b and x.encode() == y[skip:] for a, b, x, y in zip(ids, theirs, back, ours)]
+        same = [a == b and x.encode() == y[skip:] for a, b, x, y in zip(ids, theirs, back, ours)]
+        # a marker alone (a space at the end) cannot be given to SentencePiece as a text of its own
+        return [ok or (w == MARK and prefix and i == [self.reference.piece_to_id(MARK)]) for ok, w, i in zip(same, words, ids)]
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) > self.remember:

@@ -22,7 +22,8 @@ from .common import Hashes, joined_bytes, mixed, slices, stored
 
 LENGTH = 400
 GRAM = 32
-CROWD = 2_000            # different snippets of one anchor that are indexed together; larger groups are split by string
+CROWD = 2_000            # different snippets of one anchor that are indexed together; larger groups are split by content
+WIDTH = 32               # strings of a part, when such groups are split
 INDEX_BYTES = 1 << 20    # bytes that one index is built over, unless one group has more
 SEPARATOR = 255          # never occurs in UTF-8
 PLACE_BITS = 30
@@ -187,12 +188,9 @@ def index_groups(snippets: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, "anchor bigint, snippet bigint, ranges array<struct<a: bigint, b: bigint>>"))
 
 
-def split_crowds(snippets: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many snippets: their strings are dealt out by content, and equal ones are counted.
-
-    (anchor, snippet, place, content) in; 64 bits of the anchor, the string's distance from it and 64 bits of the
-    string itself tell strings apart.
-    """
+def counted_strings(snippets: DataFrame, length: int) -> DataFrame:
+    """(anchor, snippet, place, content) in, ranges out, for groups that no more dealing out makes smaller: their
+    strings are told apart by 64 bits of the anchor, the distance from it and 64 bits of content, and counted."""
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -211,6 +209,48 @@ def split_crowds(snippets: DataFrame, length: int) -> DataFrame:
     return hit.select("anchor", "snippet", F.transform("starts", lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("ranges"))
 
 
+def split_crowds(snippets: DataFrame, length: int, width: int = WIDTH) -> DataFrame:
+    """The same for anchors with very many snippets, which are dealt out by more of their content.
+
+    (anchor, snippet, place, content) in.  Snippets are cut into parts whose strings start within ``width`` bytes at
+    equal distances from the anchor; all strings of a part hold the same core, so parts meet by core.  Equal parts are
+    counted, different ones indexed; only crowds that share even the core are counted string by string.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, snippet, place, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                hashes, last = Hashes(np.frombuffer(body, np.uint8)), len(body) - length
+                a = 0
+                while a <= last:
+                    low = (a - place) // width * width + place            # where the part's range of strings begins
+                    b = min(low + width - 1, last)
+                    ends = np.array([low + length, b + length])
+                    core, whole = hashes.of(np.array([low + width - 1, a]), ends)
+                    key = mixed(np.array([np.uint64(anchor & 0xFFFFFFFFFFFFFFFF) + core * np.uint64(0x9E3779B97F4A7C15) + np.uint64((low - place) & 0xFFFFFFFF)]))
+                    part = mixed(np.array([whole + np.uint64(a - low)]))
+                    out.append((anchor, snippet, a, b - a + 1, int(key.view(np.int64)[0]), int(part.view(np.int64)[0]), low - a, body[a:b + length]))
+                    a = b + 1
+            types = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types],
+                                             ["anchor", "snippet", "first", "number", "key", "part", "place", "content"])
+
+    parts = stored(snippets.select("anchor", "snippet", "place", "content").mapInArrow(
+        cut, "anchor bigint, snippet bigint, first bigint, number bigint, key bigint, part bigint, place bigint, content binary"), "parts")
+    kinds = parts.groupBy("key", "part").agg(F.count("*").alias("n"), F.max("number").alias("number"), F.max("place").alias("place"),
+                                             F.any_value("content").alias("content"))
+    several = parts.groupBy("key").agg(F.count("*").alias("all"), F.count_distinct("part").alias("kinds")).where(F.col("all") > 1)
+    known = stored(kinds.join(several, "key").select(F.col("key").alias("anchor"), F.col("part").alias("snippet"), "n", "number", "place", "kinds", "content"), "part-kinds")
+    fully = known.where("n > 1").select("anchor", "snippet", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("number").alias("b"))).alias("ranges"))
+    partly = index_groups(known.where((F.col("kinds") > 1) & (F.col("kinds") <= CROWD)), length)
+    counted = counted_strings(known.where(F.col("kinds") > CROWD), length)
+    alone = known.where("n = 1").select("anchor", "snippet")
+    ranges = fully.unionAll(partly.unionAll(counted).join(alone, ["anchor", "snippet"], "left_semi")).withColumnsRenamed({"anchor": "key", "snippet": "part"})
+    return (parts.select("anchor", "snippet", "first", "key", "part").join(ranges, ["key", "part"])
+            .select("anchor", "snippet", F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b"))).alias("r"))
+            .groupBy("anchor", "snippet").agg(F.flatten(F.collect_list("r")).alias("ranges")))
+
+
 def _bucketed(df: DataFrame, columns: list[str], purpose: str) -> DataFrame:
     """Write a table dealt by ``columns``, so that joins on them move the other side only."""
     spark = df.sparkSession
