@@ -60,9 +60,9 @@ def removed(rows, length=repeats.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 3, 1])
 def test_repeats(docs, rows, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "CROWD", crowd)             # 3: parts are indexed, 1: strings are counted
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
     assert got == removed(rows)
     assert sum(g[1] > 0 for g in got.values()) > 5
