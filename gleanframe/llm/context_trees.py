@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
             hit = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
             logs = np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(unique))
             fresh = hit & seen[at] if len(keys) else hit
-            sums = np.bincount(doc, weights=logs[place], minlength=size)
+            sums = np.bincount(doc, weights=logs[place], minlength=size).astype(float)    # of nothing it makes integers
             known = np.bincount(doc, weights=fresh[place], minlength=size).astype(np.int64)
             rest = ~hit[place]
             pair, n = np.unique((doc[rest].astype(np.uint64) << np.uint64(32)) | place[rest].astype(np.uint64), return_counts=True)
