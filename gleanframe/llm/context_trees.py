@@ -260,10 +260,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
 
     heads = {}
     for kind, most in ((WORDS, HEAD_WORDS), (GRAMS, HEAD_GRAMS)):
-        top = model.where(F.col("kind") == kind).orderBy(F.col("n").desc(), "item").limit(most).select("item", "n", "value").toPandas()
-        items = top["item"].to_numpy(np.int64).view(np.uint64)
+        top = model.where(F.col("kind") == kind).orderBy(F.col("n").desc(), "item").limit(most).select("item", "n", "value").toArrow()
+        items = top.column("item").to_numpy().view(np.uint64)
         order = np.argsort(items)
-        heads[kind] = (items[order], top["value"].to_numpy(float)[order], (top["n"].to_numpy() > 0)[order])
+        heads[kind] = (items[order], top.column("value").to_numpy()[order], (top.column("n").to_numpy() > 0)[order])
+        del top
     shared = spark.sparkContext.broadcast(heads)
     kind_of_id = docs.schema[key].dataType.simpleString()
 

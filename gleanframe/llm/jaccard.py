@@ -165,8 +165,9 @@ def frequent_shingles(docs: DataFrame, text: str = "text", bound: int = HEAVY) -
             yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
 
     seen = docs.select(text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = seen.orderBy(F.col("n").desc(), "token").limit(bound).toPandas()
-    return rows.sort_values(["n", "token"])["token"].to_numpy(np.int64).view(np.uint64)
+    rows = seen.orderBy(F.col("n").desc(), "token").limit(bound).toArrow()
+    token = rows.column("token").to_numpy()
+    return token[np.lexsort((token, rows.column("n").to_numpy()))].view(np.uint64)
 
 
 def described(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import running_totals, stored
@@ -88,12 +88,16 @@ def shard_by_curve(df: DataFrame, dims: Sequence[Dimension], size: str, ties: Se
     base = stored(df.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     ranked = _with_ranks(base, dims, bits)
 
-    @F.pandas_udf("bigint")
-    def curve(*cells: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in cells], axis=1), bits))
+    names, cells = [*df.columns, "_row"], [f"_cell{i}" for i in range(len(dims))]
 
-    placed = (ranked.withColumn("curve", curve(*_cells(base, dims, bits)))
-              .select(*df.columns, "_row", "curve").withColumn("_one", F.lit(1)))
+    def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cells], axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(hilbert_index(points, bits))], names=[*names, "curve"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    placed = (ranked.select(*names, *[c.alias(n) for c, n in zip(_cells(base, dims, bits), cells)])
+              .mapInArrow(curve, f"{fields}, curve bigint").withColumn("_one", F.lit(1)))
     summed = stored(running_totals(placed, ["curve", *ties, "_row"], {"_before": size, "_index": "_one"}, "curve"), "curve-sums")
     total = summed.agg(F.sum(size)).first()[0] or 1
     middle = F.col("_before").cast("double") + F.col(size) / 2.0
