@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import lower_ascii, stored
@@ -83,8 +81,11 @@ def suffix_statistics(df: DataFrame, label: str, buckets: int) -> DataFrame:
 
 
 def train(labelled: DataFrame, label: str, key: Sequence[str], bound: int = 10_000, trees: int = 20, depth: int = 4,
-          seed: int = 7) -> GBTClassificationModel | None:
+          seed: int = 7) -> object | None:
     """Boosted trees on at most ``bound`` rows of each class, taken in hash order; None unless both classes occur."""
+    from pyspark.ml.classification import GBTClassifier      # here, as it loads pandas, which other operators do without
+    from pyspark.ml.feature import VectorAssembler
+
     parts = [labelled.where(F.col(label) == v).orderBy(F.xxhash64(*key), *key).limit(bound) for v in (0, 1)]
     sample = stored(parts[0].unionAll(parts[1]).select(*FEATURES, F.col(label).cast("double").alias("label")).coalesce(4), "urls")
     if sample.select("label").distinct().count() < 2:
@@ -113,7 +114,9 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: in
         blocks = labelled.agg(F.max("_label")).first()[0] or 0
         scored = rows.withColumn("block_probability", F.lit(float(blocks)))
     else:
+        from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
+
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
         model = model.setFeaturesCol("_features")
         scored = (model.transform(vector).withColumn("block_probability", vector_to_array("probability")[1])
