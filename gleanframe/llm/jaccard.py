@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import LOWER_BYTES, components, joined_bytes, mixed, slices, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-GROUPS = 64            # coordinates of a count vector
+GROUPS = 512           # coordinates of a count vector; unrelated sets of n shingles are told apart up to n of about 25 times this
 FAMILY = 2_000         # texts that one task joins together; larger families are joined in blocks
 WEIGHT = 4_000_000     # shingles that one task joins together, unless a text alone has more
 HEAVY = 200_000        # frequent shingles that are put last in the order of prefixes (any order gives the same result)
@@ -45,7 +45,8 @@ def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((mixed(shingles + np.uint64(1)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    counts = np.bincount((mixed(shingles + np.uint64(1)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32)
 
 
 def least_overlap(n, m, percent: int = PERCENT):
@@ -86,13 +87,13 @@ class CountTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high, left = self.levels[depth]
             spots = spots[left[spots] > 0]
-            bound = np.minimum(top[spots], vector).sum(axis=1)
+            bound = np.minimum(top[spots], vector).sum(axis=1, dtype=np.int64)
             fits = (bound >= least_overlap(size, low[spots], percent)) & (100 * high[spots] >= percent * size) & (percent * low[spots] <= 100 * size)
             below = len(self.levels[depth - 1][0]) if depth else len(self.rows)
             spots = (spots[fits][:, None] * self.FAN + np.arange(self.FAN)).ravel()
             spots = spots[spots < below]
         spots = spots[self.alive[spots]]
-        bound = np.minimum(self.vectors[spots], vector).sum(axis=1)
+        bound = np.minimum(self.vectors[spots], vector).sum(axis=1, dtype=np.int64)
         return self.rows[spots[bound >= least_overlap(size, self.sizes[spots], percent)]]
 
 
@@ -146,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table
 
 
 def _vectors(column) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.int32) for v in column.to_pylist()])
+    return np.stack([np.frombuffer(v, np.uint16 if len(v) == 2 * GROUPS else np.int32) for v in column.to_pylist()])
 
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -231,7 +232,7 @@ def coarse_edges(nodes: DataFrame, percent: int) -> DataFrame:
                 for i in range(k):
                     for j in range(i + 1, k):
                         a, b = at + i, at + j
-                        hit = np.minimum(vectors[a], vectors[b]).sum(axis=1) >= least_overlap(size[a], size[b], percent)
+                        hit = np.minimum(vectors[a], vectors[b]).sum(axis=1, dtype=np.int64) >= least_overlap(size[a], size[b], percent)
                         pairs.append((node[a[hit]], node[b[hit]]))
             for a, b in zip(bounds[:-1][length > 8], bounds[1:][length > 8]):
                 label = classes_of(None, vectors[a:b], size[a:b], percent)
