@@ -370,7 +370,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def _fetched(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     """(family, node, n, text): the text of every wanted node, which names one by its 128 bits; copies come once."""
-    joined = narrow.join(wanted, ["t1", "t2"]).select("text", "family", "node", "n")
+    # by a shuffle at every size: wanted rows grow with the corpus, so a broadcast that fits now says nothing later
+    joined = narrow.join(wanted.hint("merge"), ["t1", "t2"]).select("text", "family", "node", "n")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None                                       # joined rows of a text follow one another
@@ -399,7 +400,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     winners = first.select(F.col("w.doc_id").alias("_id"), F.col("w.t1").alias("_w1"), F.col("w.t2").alias("_w2"))
     whole = F.coalesce(F.col(text), F.lit(""))
     placed = docs.withColumns({"_t1": F.xxhash64(whole), "_t2": F.xxhash64(F.lit(1), whole)})
-    met = placed.join(winners, (F.col("_t1") == F.col("_w1")) & (F.col("_t2") == F.col("_w2")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    met = placed.join(winners.hint("merge"), (F.col("_t1") == F.col("_w1")) & (F.col("_t2") == F.col("_w2")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
     rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text and f.dataType.simpleString() in ("string", "int", "bigint", "double", "boolean")]
     turn = F.row_number().over(Window.partitionBy("_t1", "_t2", key).orderBy(*rest))
     return met.withColumn("_turn", turn).where("_turn = 1").drop("_turn", "_t1", "_t2")
