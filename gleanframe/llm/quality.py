@@ -173,7 +173,8 @@ def keep_documents(docs: DataFrame, rule: Divergence = Divergence()) -> DataFram
     Features are computed beside the rows a second time rather than joined to them: rows need no identity, and texts
     are not shuffled.
     """
-    known = _sent(stored(references(features(docs, rule)), "references"))
+    found = stored(features(docs, rule).select("lang", "classes", "words"), "histograms")
+    known = _sent(stored(references(found), "references"))
     whole = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     judged = _verdicts(features(whole, rule, ("_doc",)), known, rule)
     # a filter would be moved below the features and evaluate them once more; it cannot pass an explode
