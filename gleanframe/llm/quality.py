@@ -18,8 +18,8 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "au", "sur", "pas", "plus"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "lo"),
 }
-#: Character classes by what a regular expression keeps; "wide" counts the bytes of a text beyond one per sign, and
-#: all other signs (lower-case letters and the like) are the last class.
+#: Character classes by what a regular expression keeps; "wide" counts the signs outside ASCII that are in no other
+#: class, and all other signs (lower-case letters and the like) are the last class.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\x20\x09-\x0D", "mark": r"!\"'(),\-./:;?@\[\\\]^_`{}~+=", "symbol": r"#*$%&|<>"}
 
 
@@ -28,12 +28,15 @@ class Divergence:
     """Limits of the Jensen-Shannon distance (base 2, from 0 to 1), and how much a histogram must count to be judged.
 
     A sample of n from the reference itself lies off by chance: the squared limit grows by bins / (8 ln 2 n) bits.
+    Classes are ``disjoint`` unless this is False: capitals and digits outside ASCII then count as "wide" as well and are
+    taken from the last class twice, which may turn it negative; the SQL of op1 has them so.
     """
     class_limit: float = 0.3
     word_limit: float = 0.22
     least_signs: int = 200
     least_words: int = 100
     words: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COMMON_WORDS))
+    disjoint: bool = True
 
 
 def let(value: Column, use) -> Column:
@@ -92,7 +95,7 @@ def features(docs: DataFrame, rule: Divergence, carry: tuple[str, ...] = ()) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rare = docs.withColumn("_rare", F.regexp_replace(text, "[a-z]+", ""))    # what most class counts need to look at
     counts = {f"_c_{name}": F.length(F.regexp_replace("_rare", f"[^{c}]+", "")).cast("bigint") for name, c in CLASSES.items()}
-    counts["_c_wide"] = (F.octet_length(text) - F.length(text)).cast("bigint")
+    counts["_c_wide"] = F.length(F.regexp_replace("_rare", r"[\x00-\x7F\p{Lu}\p{Nd}]+" if rule.disjoint else r"[\x00-\x7F]+", "")).cast("bigint")
     languages = F.create_map(*[x for k, ws in rule.words.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
     everything = sorted({w for ws in rule.words.values() for w in ws})
     forms = sorted({f for w in everything for f in (w, w.capitalize(), w.upper())})

@@ -44,6 +44,19 @@ def test_quality_drops_odd_distributions(spark):
     assert kept == {r.doc_id for r in quality.judge_quality(docs).where("kept").collect()}
 
 
+def test_quality_judges_signs_of_many_bytes(spark):
+    clean = [(i, " ".join(["the", "of", "stone", "and", "river", "in", "light", "to"][(i + k) % 8] + str(k % 37) for k in range(160)), "en") for i in range(40)]
+    signs = ["日本語漢字文", "😀😁😂😃", "한국어글자", "हिन्दी", "ภาษาไทย", "ЖИЗНЬ", "१२३४५६"]
+    odd = [(100 + i, " ".join(s[k % len(s):] + s[:k % len(s)] for k in range(60)), "en") for i, s in enumerate(signs)]
+    docs = spark.createDataFrame(clean + odd, "doc_id bigint, text string, lang string")
+    for r in quality.features(docs, quality.Divergence()).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert min(r.classes) >= 0 and sum(r.classes) == len(r.text), r.doc_id
+    for rule, n in ((quality.Divergence(), len(signs)), (quality.Divergence(disjoint=False), 5)):
+        got = by_id(quality.judge_quality(docs, rule))
+        assert all(0.3 < got[100 + i].class_distance <= 1 and not got[100 + i].kept for i in range(n))
+        assert all(got[i].class_distance < 0.3 for i in range(40))
+
+
 # --- repeats
 
 def removed(rows, length=repeats.LENGTH):
