@@ -15,6 +15,7 @@ from .common import slices, stored, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "inferred")
@@ -37,17 +38,22 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str]]]:
-    """Spans of the fixed patterns, and the candidates (runs of credential signs) that touch none of them."""
+    """Spans of the fixed patterns, and the candidates: what these leave of the runs of credential signs, if long enough."""
     found, runs = base_spans(text), [(*m.span(), m.group()) for m in CANDIDATE.finditer(text)]
     for a, b, _ in runs:                                 # hex signs are credential signs: no hex run outside a candidate
         found += [(*m.span(), "hex", m.group()) for m in HEX.finditer(text, a, b)]
     taken = sorted((a, b) for a, b, _, _ in found)
-    free, i = [], 0
-    for a, b, value in runs:
-        while i < len(taken) and taken[i][1] <= a:
+    free, i, done = [], 0, 0                             # no sign before ``done`` is free
+    for a, b, _ in runs:
+        done = max(done, a)
+        while i < len(taken) and taken[i][0] < b:
+            x, y = taken[i]
+            if x - done >= LEAST:
+                free.append((done, x, text[done:x]))
+            done = max(done, y)
             i += 1
-        if not any(x < b and y > a for x, y in taken[i:i + 8]):
-            free.append((a, b, value))
+        if b - done >= LEAST:
+            free.append((done, b, text[done:b]))
     return found, free
 
 
