@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.order_stats import attach_unique
 from .common import lower_ascii, stored
 
 
@@ -63,20 +64,26 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
         "hyphens_in_host": count(host, "-")})
 
 
-def suffix_statistics(df: DataFrame, label: str, buckets: int) -> DataFrame:
+def suffix_statistics(df: DataFrame, label: str, few: int = 10_000) -> DataFrame:
     """Smoothed log odds of the label per host suffix (last label, last two labels), over all labelled rows.
 
-    Suffixes are hashed into a fixed number of buckets, so the table stays small whatever hosts occur.
+    Every suffix has its own odds; one without labelled rows has 0.  Up to ``few`` suffixes are sent to all tasks;
+    of more, only those with over 1/``few`` of all rows are, and the others meet their rows by a shuffle.
     """
-    last, two = F.regexp_extract("host", r"[^.]*$", 0), F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)
-    bucket = lambda c, k: F.pmod(F.xxhash64(F.lit(k), c), F.lit(buckets))
-    placed = df.withColumns({"_suffix": bucket(last, "suffix"), "_domain": bucket(two, "domain") + buckets})
-    seen = placed.where(F.col(label).isNotNull())
-    pairs = seen.select(F.explode(F.array("_suffix", "_domain")).alias("_bucket"), label)
-    odds = pairs.groupBy("_bucket").agg(F.log((F.sum(label) + 1.0) / (F.count("*") - F.sum(label) + 1.0)).alias("odds"))
-    for name, key in (("suffix_odds", "_suffix"), ("domain_odds", "_domain")):
-        placed = (placed.join(F.broadcast(odds.select(F.col("_bucket").alias(key), F.col("odds").alias(name))), key, "left")
-                  .withColumn(name, F.coalesce(name, F.lit(0.0))))
+    keys = {"suffix_odds": ("_suffix", r"[^.]*$"), "domain_odds": ("_domain", r"[^.]*\.?[^.]*$")}
+    placed = df.withColumns({key: F.regexp_extract("host", form, 0) for key, form in keys.values()})
+    pairs = placed.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(key).alias("key")) for name, (key, _) in keys.items()])).alias("_pair"),
+                          F.col(label).alias("_seen"))
+    blocks = F.coalesce(F.sum("_seen"), F.lit(0))
+    odds = stored(pairs.groupBy("_pair.name", "_pair.key").agg(
+        F.log((blocks + 1.0) / (F.count("_seen") - blocks + 1.0)).alias("odds"), F.count("*").alias("_rows")), "suffixes")
+    numbers = {r["name"]: r["count"] for r in odds.groupBy("name").count().collect()}
+    for name, (key, _) in keys.items():
+        own = odds.where(F.col("name") == name).select(F.col("key").alias(key), F.col("odds").alias(name), "_rows")
+        if numbers.get(name, 0) <= few:
+            placed = placed.join(F.broadcast(own.drop("_rows")), key)
+        else:
+            placed = attach_unique(stored(placed, "hosts"), own, [key], "_rows", [name], few)
     return placed.drop("_suffix", "_domain")
 
 
@@ -94,11 +101,11 @@ def train(labelled: DataFrame, label: str, key: Sequence[str], bound: int = 10_0
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, seed=seed).fit(ready)
 
 
-def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: int = 10_000, buckets: int = 1024) -> DataFrame:
+def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: int = 10_000, few: int = 10_000) -> DataFrame:
     """``df`` with host, path, rule, verdict (allow or block) and ``block_probability``.
 
     Where a rule fits, the longest one decides.  Rows that a rule covers are the labelled ones: from them suffix
-    statistics are counted (all rows) and boosted trees are fitted (at most ``bound`` rows of each class); the trees
+    statistics are counted (all rows, every suffix) and boosted trees are fitted (at most ``bound`` rows of each class); the trees
     judge the rest.  Null and empty urls have an empty host and path and are judged by their features like others;
     with one class only among the labelled rows that class is the verdict, without labelled rows it is allow.
     Repeated rows are judged each by itself; an empty table gives no rows; columns called like a result are replaced.
@@ -107,7 +114,7 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: in
     placed = df.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     named = placed.withColumns({"rule": text, "_verdict": verdict}).withColumn("_label", (F.col("_verdict") == "block").cast("int"))
-    rows = suffix_statistics(lexical_features(named, url), "_label", buckets)
+    rows = suffix_statistics(lexical_features(named, url), "_label", few)
     labelled = rows.where(F.col("_label").isNotNull())
     model = train(labelled, "_label", (url,), bound)
     if model is None:

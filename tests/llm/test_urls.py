@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import pytest
 
 from gleanframe.llm import urls
 from gleanframe.llm.queries import URL_RULES
@@ -40,6 +44,21 @@ def test_trees_learn_held_out_urls(spark):
     assert sum(hit) / len(hit) > 0.95
 
 
+@pytest.mark.parametrize("few", [64, 10_000])
+def test_every_suffix_has_its_own_odds(spark, few):
+    rng = random.Random(5)
+    hosts = [f"a.d{rng.randrange(3000)}.t{rng.randrange(90)}" for _ in range(6000)] + ["hot.com"] * 2000 + ["", "x"]
+    rows = [(i, h, rng.choice([0, 1, None]) if h != "x" else None) for i, h in enumerate(hosts)]
+    got = urls.suffix_statistics(spark.createDataFrame(rows, "i int, host string, label int"), "label", few).collect()
+    seen = Counter((k, ".".join(h.split(".")[-k:]), v) for _, h, v in rows for k in (1, 2))
+    odds = lambda k, h: math.log((seen[k, h, 1] + 1) / (seen[k, h, 0] + 1))
+    assert sorted(r.i for r in got) == list(range(len(rows)))
+    for r in got:
+        labels = r.host.split(".")
+        assert r.suffix_odds == pytest.approx(odds(1, labels[-1])), r.host
+        assert r.domain_odds == pytest.approx(odds(2, ".".join(labels[-2:]))), r.host
+
+
 def test_one_class_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://b.com/", 1, "x"), (2, "http://c.org/", 1, "x"), (2, "http://c.org/", 1, "x")], SCHEMA)
     assert [r.verdict for r in urls.judge_urls(df, URL_RULES).collect()] == ["allow"] * 3
