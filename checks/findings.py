@@ -14,7 +14,7 @@ from gleanframe.operators import (
 from gleanframe.operators.structure import Roles
 
 from .base import LINE_NUMBERS, SCHEMA, labelled, structure_sql
-from .registry import Data, query, r, union
+from .registry import TABLES, Data, query, r, union
 
 # --- associations ------------------------------------------------------------
 
@@ -366,11 +366,11 @@ def median_ranges_orders(d: Data):
 LINKED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def keyed_values_sql() -> str:
+def keyed_values_sql(tables) -> str:
     parts = []
-    for t in LINKED:
+    for t in tables:
         for c, dtype in SCHEMA[t].items():
-            if dtype.startswith("timestamp"):
+            if dtype.startswith(("timestamp", "array")):
                 continue
             if dtype == "double":
                 value = f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
@@ -384,9 +384,9 @@ def _any(words) -> str:
     return "(" + " OR ".join(f"c LIKE '%{w}%'" for w in words if w.isascii()) + ")"
 
 
-def names_sql() -> str:
+def names_sql(tables) -> str:
     rows = []
-    for (i, t), (j, u) in combinations(enumerate(LINKED), 2):
+    for (i, t), (j, u) in combinations(enumerate(tables), 2):
         for a in SCHEMA[t]:
             for b in SCHEMA[u]:
                 score = N.name_similarity(N.ColumnName(t, a), N.ColumnName(u, b))
@@ -395,15 +395,16 @@ def names_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(ti, tj, lt, lc, li, rt, rc, ri, name, keyed)"
 
 
-LINKS_SQL = f"""
-WITH s AS ({union(structure_sql(t) for t in LINKED)}),
+def links_sql(tables) -> str:
+    return f"""
+WITH s AS ({union(structure_sql(t) for t in tables)}),
 cand AS (SELECT * FROM (SELECT table_id AS t, column_name AS c, kind, nunique, non_null, rows FROM s)
   WHERE nunique > 1 AND kind NOT IN ('boolean', 'datetime') AND NOT (kind = 'numeric' AND {_any(N.KEY_MEASURE_WORDS)} AND NOT {_any(N.KEY_WORDS)})
     AND NOT (kind = 'textual' AND nunique > 0.95 * rows AND NOT {_any(N.KEY_WORDS)})),
-vals AS (SELECT v.* FROM ({keyed_values_sql()}) v JOIN cand USING (t, c)),
+vals AS (SELECT v.* FROM ({keyed_values_sql(tables)}) v JOIN cand USING (t, c)),
 size AS (SELECT t, c, count(*) AS size FROM vals GROUP BY ALL),
 o AS (SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc, count(*) AS matched FROM vals a JOIN vals b ON a.value = b.value AND a.t <> b.t GROUP BY ALL HAVING count(*) >= 3),
-names AS ({names_sql()}),
+names AS ({names_sql(tables)}),
 m AS (SELECT names.*, matched, matched / (x.size + y.size - matched) AS jaccard, matched / x.size AS ca, matched / y.size AS cb,
         f.nunique AS left_unique, g.nunique AS right_unique, f.nunique / f.non_null AS ua, g.nunique / g.non_null AS ub
       FROM names JOIN o USING (lt, lc, rt, rc) JOIN size x ON x.t = lt AND x.c = lc JOIN size y ON y.t = rt AND y.c = rc
@@ -415,6 +416,9 @@ best AS (SELECT *, row_number() OVER (PARTITION BY lt, rt ORDER BY round(score,
 links AS (SELECT * FROM best WHERE rk <= 2 ORDER BY round(score, 4) DESC, ti, li, tj, ri LIMIT 40)"""
 
 
+LINKS_SQL, ALL_LINKS_SQL = links_sql(LINKED), links_sql(TABLES)
+
+
 @query("join_links", f"""{LINKS_SQL}
 SELECT 'join' AS kind, lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, {r('CAST(score AS DOUBLE)', 'score')}, {r('jaccard', 'jaccard')},
   {r('100 * ca', 'coverage_left')}, {r('100 * cb', 'coverage_right')}, matched, left_unique, right_unique,
@@ -434,6 +438,25 @@ def link_examples(d: Data):
     return J.link_examples(tables, facts, J.join_links(tables, facts))
 
 
+@query("join_links_all", f"""{ALL_LINKS_SQL}
+SELECT 'join' AS kind, lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, {r('CAST(score AS DOUBLE)', 'score')}, {r('jaccard', 'jaccard')},
+  {r('100 * ca', 'coverage_left')}, {r('100 * cb', 'coverage_right')}, matched, left_unique, right_unique,
+  CASE WHEN ua >= 0.92 AND ub >= 0.92 THEN '1:1' WHEN ua >= 0.92 THEN '1:N' WHEN ub >= 0.92 THEN 'N:1' ELSE 'N:M' END AS cardinality,
+  CAST(name AS DOUBLE) AS name_score FROM links""")
+def join_links_all(d: Data):
+    return J.join_links(d.tables(*TABLES))
+
+
+@query("link_examples_all", f"""{ALL_LINKS_SQL},
+shared AS (SELECT lt, lc, rt, rc, a.value FROM links JOIN vals a ON a.t = lt AND a.c = lc JOIN vals b ON b.t = rt AND b.c = rc AND a.value = b.value)
+SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, row_number() OVER (PARTITION BY lt, lc, rt, rc ORDER BY value) AS rank, value
+FROM shared QUALIFY rank <= 8""")
+def link_examples_all(d: Data):
+    tables = d.tables(*TABLES)
+    facts = J.table_facts(tables)
+    return J.link_examples(tables, facts, J.join_links(tables, facts))
+
+
 @query("key_overlap", """
 SELECT 'o_custkey' AS left_column, 'c_custkey' AS right_column, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS matched,
   (SELECT count(DISTINCT o_custkey) FROM orders) AS left_size, (SELECT count(DISTINCT c_custkey) FROM customer) AS right_size

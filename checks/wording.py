@@ -17,9 +17,9 @@ from gleanframe.sources.tables import Table
 from .base import LABELLED, LABELLED_SCHEMA, SCHEMA, labelled, quality_rows, quality_sql, summary_sql
 from .charts import NUMERIC_LINE
 from .findings import (
-    LINKED, LINKS_SQL, concentration_sql, cramers_sql, eta_sql, outlier_summary_sql, pearson_sql, profiles_sql,
+    ALL_LINKS_SQL, LINKED, LINKS_SQL, concentration_sql, cramers_sql, eta_sql, outlier_summary_sql, pearson_sql, profiles_sql,
 )
-from .registry import ORACLES, Data, query, r, union
+from .registry import ORACLES, TABLES, Data, query, r, union
 
 EVENTS = Roles(geo=("props",), numeric=("value",), categorical=("event_type",))
 EVENT_VALUES = union(
@@ -87,6 +87,20 @@ def relation_counts(d: Data):
     return J.relation_counts(J.join_links(d.tables(*LINKED)))
 
 
+@query("relation_hypotheses_all", f"""{ALL_LINKS_SQL}
+SELECT row_number() OVER (ORDER BY score DESC, lt, lc, rt, rc) AS id, 'table_relation' AS kind, 'Key ' || lt || '.' || lc || ' = ' || rt || '.' || rc AS title,
+  lc || ',' || rc AS columns, CASE WHEN round(score, 4) >= 0.7 THEN 'high' ELSE 'medium' END AS priority FROM links QUALIFY id <= 6""")
+def relation_hypotheses_all(d: Data):
+    found = W.relation_hypotheses(J.relations(d.tables(*TABLES)))
+    return found.select("id", "kind", "title", F.concat_ws(",", "columns").alias("columns"), "priority")
+
+
+@query("relation_counts_all", f"""{ALL_LINKS_SQL}
+SELECT 'join' AS kind, count(*) AS n, {r('CAST(max(score) AS DOUBLE)', 'best_score')} FROM links""")
+def relation_counts_all(d: Data):
+    return J.relation_counts(J.join_links(d.tables(*TABLES)))
+
+
 @query("recommendations_documents", f"""
 WITH s AS ({summary_sql('documents', LABELLED, LABELLED_SCHEMA)}),
 c AS ({union(f"SELECT '{c}' AS c, {i} AS i, count({c}) AS n, count(*) AS rows FROM {LABELLED}" for i, c in enumerate(LABELLED_SCHEMA))}),

@@ -18,6 +18,11 @@ def test_query(spark, duck, name):
     assert differences(spark, duck, name, FOLDER) is None
 
 
+def test_links_reach_all_tables(spark):
+    links = {(r.left_table, r.left_column, r.right_table, r.right_column) for r in QUERIES["join_links_all"](spark, FOLDER).collect()}
+    assert ("documents", "doc_id", "labels", "doc_id") in links
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
