@@ -64,3 +64,33 @@ SELECT doc_id, n_words, CAST(signs - kept[{list(CLASSES).index('space') + 1}] AS
     AND NOT {far('word_distance', rule.word_limit, 'words', 'n_words')} AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM b"""
+
+
+
+def spelling_sql(damage: int = 97, signs: int = 5, count: int = 3) -> str:
+    """Words by crc32 written out; near words by what is left when the letter at one place is taken out."""
+    step = "list_transform({}, lambda c: CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)"
+    table = "range(256)"
+    for _ in range(8):
+        table = step.format(table)
+    return rf"""
+WITH RECURSIVE crc AS (SELECT {table} AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents),
+per AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n FROM runs WHERE length(run) >= {signs} GROUP BY ALL),
+hexed AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM per),
+hashed AS (SELECT run, n, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS k
+        FROM hexed, crc),
+spelt AS (SELECT CASE WHEN k % {damage} = 0 THEN substr(run, 1, k % length(run)) || substr(run, k % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= {signs} GROUP BY word HAVING sum(n) >= {count}),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM gaps a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM gaps a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+known AS (SELECT v.word, CASE WHEN near_n >= 2 * v.n THEN near END AS form, v.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS stop FROM known UNION ALL SELECT way.word, known.form FROM way JOIN known ON known.word = way.stop WHERE known.form IS NOT NULL),
+ends AS (SELECT way.word, way.stop FROM way JOIN known ON known.word = way.stop WHERE known.form IS NULL)
+SELECT word, form, stop AS root, n, n_near, form_n FROM known JOIN ends USING (word)"""

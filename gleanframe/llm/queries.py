@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
-from . import context_trees, fingerprints, jaccard, mixing, pieces, quality, repeats, secrets, sharding, urls
+from . import (code_bounds, context_trees, fingerprints, jaccard, mixing, pieces, prefix_forest, quality, repeats, secrets, sharding,
+               spelling, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_divergence_quality": oracles.quality_sql()}
+ORACLES: dict[str, str] = {"op1_divergence_quality": oracles.quality_sql(), "op11_reduced_alphabet": oracles.spelling_sql()}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -83,3 +84,22 @@ def op8_context_tree_weighting(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, folder)).drop("spans")
+
+
+@query
+def op11_reduced_alphabet(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder), damage=97)
+
+
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+@query
+def op12_adaptive_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return code_bounds.code_vectors(embeddings(spark, folder)).rows
+
+
+@query
+def op13_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_forest.nearest(embeddings(spark, folder))
