@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .quality import CLASSES, Divergence
+from .quality import CLASSES, WIDE, Divergence
 
 SPACES = r"\x20\x09-\x0D"
 
@@ -20,7 +20,7 @@ def quality_sql(rule: Divergence = Divergence()) -> str:
     kept = []
     for c in CLASSES.values():
         kept.append("length(regexp_replace(t, '[^" + c.replace("'", "''") + "]+', '', 'g'))")
-    kept.append("strlen(t) - length(t)")
+    kept.append(f"length(regexp_replace(t, '{WIDE}', '', 'g'))")
     classes = ", ".join(kept)
 
     def distance(p: str, q: str) -> str:
@@ -47,23 +47,23 @@ f AS (SELECT row, doc_id, coalesce(lang, '') AS lang, CAST(len(words) AS BIGINT)
         list_transform(list_filter(words, lambda x: rtrim(x, '.,') IN ({quoted(forms)[1:-1]})), lambda x: lower(rtrim(x, '.,'))) AS common
       FROM w),
 h AS (SELECT *, list_transform(listed, lambda x: len(list_filter(common, lambda c: c = x))) AS found FROM f),
-v AS (SELECT *, list_append(kept, signs - list_sum(kept)) AS classes,
-        list_append(found, n_words - CAST(list_sum(found) AS BIGINT)) AS words FROM h),
+v AS (SELECT h.*, coalesce(covered.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(covered.n, 0) > 50 * n_words AS base_failed,
+        list_append(kept, signs - list_sum(kept)) AS classes,
+        list_append(found, n_words - CAST(list_sum(found) AS BIGINT)) AS words FROM h LEFT JOIN covered USING (row)),
 rc AS (SELECT lang, list(n ORDER BY i) AS ref_classes FROM (SELECT lang, i, sum(classes[i]) AS n
-        FROM v, (SELECT unnest(range(1, {len(CLASSES) + 3})) AS i) GROUP BY lang, i) GROUP BY lang),
+        FROM v, (SELECT unnest(range(1, {len(CLASSES) + 3})) AS i) WHERE NOT base_failed GROUP BY lang, i) GROUP BY lang),
 rw AS (SELECT lang, list(n ORDER BY i) AS ref_words FROM (SELECT lang, i, sum(words[i]) AS n
-        FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM v) GROUP BY lang, i) GROUP BY lang),
-s AS (SELECT v.*, coalesce(covered.n, 0) AS n_repeat_words,
+        FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM v WHERE NOT base_failed) GROUP BY lang, i) GROUP BY lang),
+s AS (SELECT v.*,
         CASE WHEN list_sum(classes) >= {rule.least_signs} THEN {distance('classes', 'ref_classes')} END AS class_distance,
         CASE WHEN n_words >= {rule.least_words} THEN {distance('words', 'ref_words')} END AS word_distance
-      FROM v LEFT JOIN covered USING (row) JOIN rc USING (lang) JOIN rw USING (lang)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+      FROM v LEFT JOIN rc USING (lang) LEFT JOIN rw USING (lang))
 SELECT doc_id, n_words, CAST(signs - kept[{list(CLASSES).index('space') + 1}] AS BIGINT) AS word_chars,
   CAST(kept[{list(CLASSES).index('symbol') + 1}] AS BIGINT) AS n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   base_failed, NOT base_failed AND NOT {far('class_distance', rule.class_limit, 'classes', 'list_sum(classes)')}
     AND NOT {far('word_distance', rule.word_limit, 'words', 'n_words')} AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
-FROM b"""
+FROM s"""
 
 
 

@@ -21,6 +21,7 @@ COMMON_WORDS = {
 #: Character classes by what a regular expression keeps; "wide" counts the signs outside ASCII that are in no other
 #: class, and all other signs (lower-case letters and the like) are the last class.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"\x20\x09-\x0D", "mark": r"!\"'(),\-./:;?@\[\\\]^_`{}~+=", "symbol": r"#*$%&|<>"}
+WIDE = r"[\x00-\x7F\p{Lu}\p{Nd}]+"                        # what is taken out to count the signs of "wide"
 
 
 @dataclass(frozen=True)
@@ -28,15 +29,12 @@ class Divergence:
     """Limits of the Jensen-Shannon distance (base 2, from 0 to 1), and how much a histogram must count to be judged.
 
     A sample of n from the reference itself lies off by chance: the squared limit grows by bins / (8 ln 2 n) bits.
-    Classes are ``disjoint`` unless this is False: capitals and digits outside ASCII then count as "wide" as well and are
-    taken from the last class twice, which may turn it negative; the SQL of op1 has them so.
     """
     class_limit: float = 0.3
     word_limit: float = 0.22
     least_signs: int = 200
     least_words: int = 100
     words: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COMMON_WORDS))
-    disjoint: bool = True
 
 
 def let(value: Column, use) -> Column:
@@ -95,7 +93,7 @@ def features(docs: DataFrame, rule: Divergence, carry: tuple[str, ...] = ()) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rare = docs.withColumn("_rare", F.regexp_replace(text, "[a-z]+", ""))    # what most class counts need to look at
     counts = {f"_c_{name}": F.length(F.regexp_replace("_rare", f"[^{c}]+", "")).cast("bigint") for name, c in CLASSES.items()}
-    counts["_c_wide"] = F.length(F.regexp_replace("_rare", r"[\x00-\x7F\p{Lu}\p{Nd}]+" if rule.disjoint else r"[\x00-\x7F]+", "")).cast("bigint")
+    counts["_c_wide"] = F.length(F.regexp_replace("_rare", WIDE, "")).cast("bigint")
     languages = F.create_map(*[x for k, ws in rule.words.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
     everything = sorted({w for ws in rule.words.values() for w in ws})
     forms = sorted({f for w in everything for f in (w, w.capitalize(), w.upper())})
@@ -115,13 +113,13 @@ def features(docs: DataFrame, rule: Divergence, carry: tuple[str, ...] = ()) ->
         "*", F.concat(F.slice("_kept", 2, len(counts)), F.array(F.element_at("_kept", 1) - F.aggregate(
             F.slice("_kept", 2, len(counts)), F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("classes"),
         F.concat("_found", F.array(F.col("n_words") - F.aggregate("_found", F.lit(0).cast("bigint"), lambda a, x: a + x))).alias("words")
-    ).drop("_kept", "_found")
+    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_kept", "_found")
 
 
 def references(found: DataFrame) -> DataFrame:
-    """Per language the sums of both histograms over all documents: a few dozen numbers each."""
+    """Per language the sums of both histograms over all documents that pass the base rules: a few dozen numbers each."""
     def sums(column: str) -> DataFrame:
-        one = found.select("lang", F.posexplode(column).alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n"))
+        one = found.where(~F.col("base_failed")).select("lang", F.posexplode(column).alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n"))
         return one.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias(f"ref_{column}"))
 
     return sums("classes").join(sums("words"), "lang")
@@ -137,12 +135,11 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def _verdicts(found: DataFrame, known: DataFrame, rule: Divergence) -> DataFrame:
-    """``found`` with base_failed, kept and both distances, by the references ``known``."""
+    """``found`` with kept and both distances, by the references ``known``."""
     signs = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     scored = found.join(known, "lang", "left").select(
         "*", F.when(signs >= rule.least_signs, jensen_shannon(F.col("classes"), F.col("ref_classes"))).alias("class_distance"),
-        F.when(F.col("n_words") >= rule.least_words, jensen_shannon(F.col("words"), F.col("ref_words"))).alias("word_distance"),
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
+        F.when(F.col("n_words") >= rule.least_words, jensen_shannon(F.col("words"), F.col("ref_words"))).alias("word_distance"))
     chance = lambda column, n: F.size(column) / (F.lit(8 * math.log(2.0)) * n)
     beyond = lambda d, limit, column, n: F.coalesce(d * d > limit * limit + chance(column, n), F.lit(False))
     far = (beyond(F.col("class_distance"), rule.class_limit, "classes", signs)
@@ -160,8 +157,8 @@ def judge_quality(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame
 
     A document that passes the base rules is dropped if its histogram of character classes or of common words lies
     farther from its language's reference than the limit, and the histogram counts enough to be judged (minimum-length
-    guards).  References are the sums over all documents of the language; a null or unlisted language has all lists'
-    words as bins.  Null and empty texts count as empty (base_failed); repeated rows are judged each by itself; an
+    guards).  References are the sums over all documents of the language that pass the base rules; a null or unlisted
+    language has all lists' words as bins.  Null and empty texts count as empty (base_failed); repeated rows are judged each by itself; an
     empty table gives no rows; other columns are not looked at.
     """
     found = stored(features(docs, rule), "quality")
@@ -173,13 +170,11 @@ def judge_quality(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame
 def keep_documents(docs: DataFrame, rule: Divergence = Divergence()) -> DataFrame:
     """The rows of ``docs`` that judge_quality keeps, with all their columns.
 
-    Features are computed beside the rows a second time rather than joined to them: rows need no identity, and texts
-    are not shuffled.
+    Rows are written once with their features; the references are sums over the narrow part of that table, and the
+    verdicts are found beside the rows, so rows need no identity and texts are not shuffled.  Null and empty texts go;
+    repeated rows are judged each by itself; an empty table stays empty; columns of any name stay.
     """
-    found = stored(features(docs, rule).select("lang", "classes", "words"), "histograms")
-    known = _sent(stored(references(found), "references"))
     whole = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    judged = _verdicts(features(whole, rule, ("_doc",)), known, rule)
-    # a filter would be moved below the features and evaluate them once more; it cannot pass an explode
-    held = judged.select(F.explode(F.array(F.struct("_doc", "kept"))).alias("_row"))
-    return held.where("_row.kept").select("_row._doc.*")
+    found = stored(features(whole, rule, ("_doc",)).select("lang", "classes", "words", "n_words", "base_failed", "_doc"), "quality-rows")
+    judged = _verdicts(found, _sent(stored(references(found), "references")), rule)
+    return judged.where("kept").select("_doc.*")
