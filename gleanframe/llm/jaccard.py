@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER_BYTES, components, joined_bytes, mixed, slices, stored, word_hashes
+from .common import LOWER_BYTES, components, handing_back, joined_bytes, mixed, slices, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 512           # coordinates of a count vector; unrelated sets of n shingles are told apart up to n of about 25 times this
@@ -165,7 +165,7 @@ def frequent_shingles(docs: DataFrame, text: str = "text", bound: int = HEAVY) -
             tokens, n = np.unique(np.concatenate([*shingle_sets(batch.column(0)), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
 
-    seen = docs.select(text).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = docs.select(text).mapInArrow(handing_back(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     rows = seen.orderBy(F.col("n").desc(), "token").limit(bound).toArrow()
     token = rows.column("token").to_numpy()
     return token[np.lexsort((token, rows.column("n").to_numpy()))].view(np.uint64)
@@ -200,7 +200,7 @@ def described(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))],
                 ["doc_id", "t1", "t2", "n_shingles", "k1", "k2", "vector", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, n_shingles bigint, k1 bigint, "
+    return docs.mapInArrow(handing_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, n_shingles bigint, k1 bigint, "
                                 "k2 bigint, vector binary, prefix array<bigint>")
 
 
@@ -240,7 +240,7 @@ def coarse_edges(nodes: DataFrame, percent: int) -> DataFrame:
                 pairs.append((node[a:b][own], node[a:b][label[own]]))
             yield _edges(pairs)
 
-    found = small.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a bigint, b bigint")
+    found = small.repartition("token").sortWithinPartitions("token").mapInArrow(handing_back(search), "a bigint, b bigint")
     return found.distinct().unionAll(large)
 
 
@@ -284,7 +284,7 @@ def exact_edges(families: DataFrame, percent: int) -> DataFrame:
     """
     def joined(parts: DataFrame, name: str) -> DataFrame:
         return (parts.repartition("family", name).select("family", name, "node", "text").sortWithinPartitions("family", name)
-                .mapInArrow(_local(percent), "a bigint, b bigint"))
+                .mapInArrow(handing_back(_local(percent)), "a bigint, b bigint"))
 
     placed = stored(_parts(families, "block", 1), "blocks")
     edges = stored(joined(placed, "block"), "local-links")
@@ -323,7 +323,7 @@ def exact_edges(families: DataFrame, percent: int) -> DataFrame:
             yield _edges(pairs)
 
     more = (asked.unionAll(held).repartition("family", "block", "chunk").sortWithinPartitions("family", "block", "chunk")
-            .mapInArrow(across, "a bigint, b bigint"))
+            .mapInArrow(handing_back(across), "a bigint, b bigint"))
     return edges.unionAll(merged).unionAll(stored(more, "across-links"))
 
 
@@ -384,7 +384,7 @@ def _fetched(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), kept.column(0)], ["family", "node", "n", "text"])
 
-    return joined.mapInArrow(once, "family bigint, node bigint, n bigint, text string").dropDuplicates(["node"])
+    return joined.mapInArrow(handing_back(once), "family bigint, node bigint, n bigint, text string").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, texts
+from .common import handing_back, slices, texts
 
 MARK = "▁"
+ENTRY = 250                                                            # bytes of a remembered word beside its signs and ids
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6       # piece kinds of the model format
 UNIGRAM, BPE = 1, 2                                                    # model kinds of the model format
 #: Where the library looks for a model unless told otherwise.
@@ -143,9 +144,10 @@ def backend(model: Model):
 
 
 class Codec:
-    """Encodes batches; each distinct word once per task, by the library's threads, checked against SentencePiece."""
+    """Encodes batches; words are encoded by the library's threads, checked against SentencePiece and remembered, in
+    ``remember`` bytes and what one batch adds."""
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, remember: int = 1_000_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, remember: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         self.model, self.remember, self.verify = Model.parse(data), remember, verify
@@ -153,6 +155,7 @@ class Codec:
         self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, _nothing()
         self.word = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.known: dict[str, tuple[bytes, bool]] = {}
+        self.held = 0                                       # bytes of what is known, about
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.escape
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else
                          " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode()
@@ -183,21 +186,21 @@ class Codec:
         return [ok or (w == MARK and prefix and i == [self.reference.piece_to_id(MARK)]) for ok, w, i in zip(same, words, ids)]
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.remember:
-            self.known.clear()
         for at in range(0, len(words), 50_000):
             part = words[at:at + 50_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             for w, i, same in zip(part, ids, self._agrees(part, ids)):
                 self.known[w] = (np.array(i, np.int32).tobytes(), same)
+                self.held += ENTRY + 2 * len(w) + 4 * len(i)
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, bool]]:
         """(ids, parity) of each text."""
         ready = [self.normalised(t) for t in batch]
         split = [self.word.findall(t) for t in ready] if self.model.words_stand_alone else [[t] if t else [] for t in ready]
         fresh = set().union(*split) if split else set()
-        if len(self.known) > self.remember:
+        if self.held > self.remember:
             self.known.clear()
+            self.held = 0
         self.learn(sorted(fresh - self.known.keys()))
         known, out = self.known, []
         for words in split:
@@ -235,7 +238,8 @@ def _model_bytes(path: str | None) -> bytes:
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, threads: int = 2) -> DataFrame:
-    """``df`` with ``ids`` (array of int); whole texts, null as the empty text, which has no ids.
+    """``df`` with ``ids`` (array of int); whole texts, null as the empty text, which has no ids; a column ``ids`` that
+    is there is replaced, repeated rows are encoded each, an empty table stays empty.
 
     The model file is read on the driver and sent to the tasks; it is a fixed file, not a function of the data.
     """
@@ -252,7 +256,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, threads:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                                              names=[*names, "ids"])
 
-    return df.mapInArrow(run, f"{_ddl(df)}, ids array<int>")
+    return df.mapInArrow(handing_back(run), f"{_ddl(df)}, ids array<int>")
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -297,5 +301,5 @@ def encode_summaries(df: DataFrame, key: str = "doc_id", text: str = "text", pat
                                              ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
 
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {df.schema[key].dataType.simpleString()}, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, "
+        handing_back(run), f"doc_id {df.schema[key].dataType.simpleString()}, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, "
              "decoded_sha256 string, round_trip boolean, parity boolean")
