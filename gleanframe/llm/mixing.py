@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, running_totals, stored
+from .common import WORD, handing_back, running_totals, stored
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -30,8 +30,9 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, m
     return out
 
 
-def permuted(index: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+def permuted(index: np.ndarray, size: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of range(size) at each index: a four-round Feistel network, walked until inside."""
+    seeds = np.broadcast_to(np.asarray(seed, np.uint64) * np.uint64(1000003), index.shape)
     half = np.maximum((np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2, 1).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = index.astype(np.uint64), np.arange(len(index))
@@ -39,7 +40,7 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
         h, m = half[todo], mask[todo]
         left, right = out[todo] >> h, out[todo] & m
         for turn in range(4):
-            x = (right + np.uint64(seed * 1000003 + turn * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (right + seeds[todo] + np.uint64(turn * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & m)
         out[todo] = (left << h) | right
@@ -82,37 +83,29 @@ def plan_mix(totals: Sequence[tuple[str | None, int]], cycle: Sequence[float], s
 def draw_slots(spark, plan: Plan) -> DataFrame:
     """One row per output slot: shard, slot, source (its number), block (index in the source)."""
     drawn, seed = plan.drawn, plan.seed
-    blocks = np.array(plan.blocks, np.int64)
+    blocks, sources = np.array(plan.blocks, np.int64), max(1, drawn.shape[1])
+    ends = np.cumsum(drawn.ravel())                          # after each source's slots in each shard
+    earlier = np.cumsum(drawn, axis=0) - drawn               # slots of the source in earlier shards
     shard_ends = np.cumsum(drawn.sum(axis=1))
-    within = np.cumsum(drawn, axis=1)                       # last slot of each source inside its shard
-    earlier = np.cumsum(drawn, axis=0) - drawn              # slots of the source in earlier shards
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy()
-            shard = np.searchsorted(shard_ends, at, side="right")
+            stretch = np.searchsorted(ends, at, side="right")
+            shard, source = stretch // sources, stretch % sources
             slot = at - np.where(shard > 0, shard_ends[shard - 1], 0)
-            source = (within[shard] <= slot[:, None]).sum(axis=1)
-            rank = earlier[shard, source] + slot - np.where(source > 0, within[shard, source - 1], 0)
+            rank = earlier[shard, source] + at - np.where(stretch > 0, ends[stretch - 1], 0)
             size = blocks[source]
-            turn = rank // size
-            block = np.empty_like(rank)
-            for t in np.unique(turn):
-                for s in np.unique(source[turn == t]):
-                    own = (turn == t) & (source == s)
-                    block[own] = permuted(rank[own] % size[own], size[own], seed + 31 * int(t) + 1009 * int(s))
+            turn = rank // np.maximum(size, 1)
+            block = permuted(rank % np.maximum(size, 1), size, seed + 31 * turn + 1009 * source)
             # the place in the shard is mixed as well, so that sources do not follow one another
-            mixed = np.empty_like(slot)
-            per = np.diff(np.concatenate([[0], shard_ends]))[shard]
-            for j in np.unique(shard):
-                own = shard == j
-                mixed[own] = permuted(slot[own], per[own], seed + 7 * int(j) + 3)
+            mixed = permuted(slot, np.diff(np.concatenate([[0], shard_ends]))[shard], seed + 7 * shard + 3)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(mixed), pa.array(source.astype(np.int32)),
                                               pa.array(block)], ["shard", "slot", "source_no", "block"])
 
     total = int(shard_ends[-1]) if len(shard_ends) else 0
     parts = max(1, min(total // 200_000 + 1, 100_000))
-    return spark.range(0, total, 1, parts).mapInArrow(fill, "shard int, slot bigint, source_no int, block bigint")
+    return spark.range(0, total, 1, parts).mapInArrow(handing_back(fill), "shard int, slot bigint, source_no int, block bigint")
 
 
 @dataclass(frozen=True)
@@ -194,5 +187,5 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = base.join(wanted, "_key").select(*docs.columns, "_pieces").mapInArrow(cut, docs.schema)
+    rows = base.join(wanted, "_key").select(*docs.columns, "_pieces").mapInArrow(handing_back(cut), docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else rows
