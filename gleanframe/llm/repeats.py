@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gleanframe.operators.order_stats import attach_unique
 from gleanframe.session import shared_folder
 
 from .common import Hashes, joined_bytes, mixed, slices, stored
@@ -240,7 +241,8 @@ def split_crowds(snippets: DataFrame, length: int, width: int = WIDTH) -> DataFr
     kinds = parts.groupBy("key", "part").agg(F.count("*").alias("n"), F.max("number").alias("number"), F.max("place").alias("place"),
                                              F.any_value("content").alias("content"))
     several = parts.groupBy("key").agg(F.count("*").alias("all"), F.count_distinct("part").alias("kinds")).where(F.col("all") > 1)
-    known = stored(kinds.join(several, "key").select(F.col("key").alias("anchor"), F.col("part").alias("snippet"), "n", "number", "place", "kinds", "content"), "part-kinds")
+    met = attach_unique(kinds, several.withColumn("rows", F.col("kinds")), ["key"], "rows", ["kinds"])     # hot cores by broadcast
+    known = stored(met.select(F.col("key").alias("anchor"), F.col("part").alias("snippet"), "n", "number", "place", "kinds", "content"), "part-kinds")
     fully = known.where("n > 1").select("anchor", "snippet", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("number").alias("b"))).alias("ranges"))
     partly = index_groups(known.where((F.col("kinds") > 1) & (F.col("kinds") <= CROWD)), length)
     counted = counted_strings(known.where(F.col("kinds") > CROWD), length)
@@ -251,13 +253,13 @@ def split_crowds(snippets: DataFrame, length: int, width: int = WIDTH) -> DataFr
             .groupBy("anchor", "snippet").agg(F.flatten(F.collect_list("r")).alias("ranges")))
 
 
-def _bucketed(df: DataFrame, columns: list[str], purpose: str) -> DataFrame:
-    """Write a table dealt by ``columns``, so that joins on them move the other side only."""
+def _bucketed(df: DataFrame, columns: list[str], purpose: str) -> tuple[DataFrame, str]:
+    """Write a table dealt by ``columns``, so that joins on them move the other side only, and its name."""
     spark = df.sparkSession
     name = f"{purpose}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (df.write.format("parquet").option("path", shared_folder(spark, purpose)).bucketBy(parts, *columns).sortBy(*columns).saveAsTable(name))
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -271,7 +273,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key).alias("doc_id"), whole.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     unique = base.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"))
-    held = _bucketed(unique, ["k1", "k2"], "texts")
+    held, name = _bucketed(unique, ["k1", "k2"], "texts")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, 2 << 20):
@@ -331,6 +333,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cleaned = held.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
         strip, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept string, spans string")
     narrow = base.select("doc_id", "k1", "k2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("all_sha256"))
-    return narrow.join(cleaned, ["k1", "k2"], "left").select(
+    out = stored(narrow.join(cleaned, ["k1", "k2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
-        F.coalesce("kept", "all_sha256").alias("kept_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+        F.coalesce("kept", "all_sha256").alias("kept_sha256"), F.coalesce("spans", F.lit("")).alias("spans")), "repeats")
+    docs.sparkSession.sql(f"DROP TABLE {name}")                # the catalog's entry; its files stay in the shared folder
+    return out
