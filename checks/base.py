@@ -91,20 +91,20 @@ def numeric_coercion(d: Data):
 
 
 @query("datetime_coercion", """
-SELECT o_orderpriority, count(*) AS n,
-       count(CASE WHEN o_orderpriority NOT LIKE '5%' THEN o_orderdate END) AS dates,
-       CAST(min(CASE WHEN o_orderpriority NOT LIKE '5%' THEN o_orderdate END) AS VARCHAR) AS first_date,
-       CAST(max(CASE WHEN o_orderpriority NOT LIKE '5%' THEN o_orderdate END) AS VARCHAR) AS last_date
-FROM orders GROUP BY o_orderpriority""")
+SELECT shape, count(*) AS n, count(t) AS dates, CAST(min(t) AS VARCHAR) AS first_date, CAST(max(t) AS VARCHAR) AS last_date
+FROM (SELECT o_orderkey % 14 AS shape, CASE WHEN shape < 6 OR shape IN (9, 12) THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+    WHEN shape IN (6, 10) THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 10 HOUR
+    WHEN shape = 7 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 22 HOUR
+    WHEN shape = 8 THEN date_trunc('year', CAST(o_orderdate AS TIMESTAMP)) END AS t FROM orders) GROUP BY shape""")
 def datetime_coercion(d: Data):
-    p, t = F.col("o_orderpriority"), F.col("o_orderdate")
-    shown = (
-        F.when(p.startswith("1"), F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(p.startswith("2"), F.date_format(t, "MM/dd/yyyy"))
-        .when(p.startswith("3"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).when(p.startswith("4"), F.date_format(t, "yyyy/MM/dd"))
-        .otherwise(F.concat(F.lit("on "), F.date_format(t, "yyyy-MM-dd")))
-    )
-    df = d.orders.select("o_orderpriority", shown.alias("t"))
-    return df.select("o_orderpriority", S.moment("t", df.schema["t"].dataType).alias("t")).groupBy("o_orderpriority").agg(
+    """Dates written in 14 shapes, the last four of which are 24-hour times with a zone, no dates at all, or wrong ones."""
+    t = F.col("o_orderdate").cast("date")
+    as_ = lambda pattern: F.date_format(t, pattern)
+    shapes = [as_("yyyy-MM-dd"), as_("M/d/yyyy"), as_("yyyy/MM/dd"), as_("yyyyMMdd"), as_("MMMM d, yyyy"), as_("MM-dd-yyyy"), as_("MMM d, yyyy 10:00"),
+              as_("yyyy-MM-dd 10:00 'PM'"), as_("yyyy"), as_("d MMM yyyy"), as_("yyyy-MM-dd'T'12:00:00'+02:00'"), as_("'on 'yyyy-MM-dd"),
+              as_("yyyy-MM-dd 12:00:00 'am'"), as_("yyyy-'13'-dd")]
+    df = d.orders.select((F.col("o_orderkey") % 14).alias("shape"), F.element_at(F.array(*shapes), (F.col("o_orderkey") % 14 + 1).cast("int")).alias("t"))
+    return df.select("shape", S.moment("t", df.schema["t"].dataType).alias("t")).groupBy("shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("t").alias("dates"), F.min("t").cast("string").alias("first_date"),
         F.max("t").cast("string").alias("last_date"))
 

@@ -48,10 +48,10 @@ def query(name: str, sql: str | None = None):
 
 
 def settle(c: Column) -> Column:
-    """Rounding that leaves room for the order of floating-point additions."""
+    """Rounding to seven digits or more, which leaves room for the order of floating-point additions."""
     size = F.abs(c)
-    return (F.when(size < 1e4, F.round(c, 6)).when(size < 1e8, F.round(c, 2))
-            .otherwise(F.round(c / 1e4, 0) * 1e4)) + F.lit(0.0)
+    return (F.when(size < 1e4, F.round(c, 6)).when(size < 1e8, F.round(c, 2)).when(size < 1e12, F.round(c / 1e2, 0) * 1e2)
+            .otherwise(F.round(c / 1e6, 0) * 1e6)) + F.lit(0.0)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def r(expr: str, name: str) -> str:
     """The same rounding in SQL."""
     return (f"CASE WHEN abs({expr}) < 1e4 THEN round({expr}, 6) WHEN abs({expr}) < 1e8 THEN round({expr}, 2) "
-            f"ELSE round({expr} / 1e4, 0) * 1e4 END + 0.0 AS {name}")
+            f"WHEN abs({expr}) < 1e12 THEN round({expr} / 1e2, 0) * 1e2 ELSE round({expr} / 1e6, 0) * 1e6 END + 0.0 AS {name}")
 
 
 def union(parts) -> str:

@@ -154,7 +154,8 @@ def planned(d: Data, name: str, numbers):
     described = K.structure(table)
     facts = K.collect_facts(described)[name]
     importance = G.column_importance(described, M.moments(Q.number_rows(table.df, numbers)))
-    return V.chart_plan(importance, A.associations(table.df, facts), G.missing_counts(table.df))
+    plan = V.chart_plan(importance, A.associations(table.df, facts), G.missing_counts(table.df))
+    return plan.withColumn("columns", F.concat_ws(",", "columns"))
 
 
 PLANNED_GROUPS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"]

@@ -50,10 +50,6 @@ KEY_MEASURE_WORDS = (
 KEY_SUFFIXES = ("identifier", "uuid", "guid", "id", "код", "key", "номер", "no")
 KEY_PREFIXES = ("id", "код")
 
-_SUFFIXED = re.compile(f"^(.+?)(?:{'|'.join(KEY_SUFFIXES)})$", re.DOTALL)
-_PREFIXED = re.compile(f"^(?:{'|'.join(KEY_PREFIXES)})(.+)$", re.DOTALL)
-
-
 def mentions(name: str, words: Iterable[str]) -> bool:
     lowered = name.lower()
     return any(word in lowered for word in words)
@@ -87,54 +83,66 @@ def table_id(label: str, taken: set[str]) -> str:
     return candidate
 
 
-def _flat(name: str) -> str:
-    return re.sub(r"[\s_.\-]+", "", name.lower())
+SEPARATORS = re.compile(r"[\s_.\-]+")
 
 
-def _stem(flat: str) -> str:
-    for pattern in (_SUFFIXED, _PREFIXED):
-        found = pattern.match(flat)
-        if found:
-            return found.group(1)
-    return flat
+def bare(name: str) -> str:
+    """A name in lower case without separators."""
+    return SEPARATORS.sub("", name.lower())
 
 
-def _nested(a: str, b: str) -> bool:
-    return bool(a and b) and (a in b or b in a)
+def core(name: str) -> str:
+    """A bare name without the longest key word at its end, or else at its beginning; something always stays."""
+    ends = [len(w) for w in KEY_SUFFIXES if len(w) < len(name) and name.endswith(w)]
+    if ends:
+        return name[:-max(ends)]
+    starts = [len(w) for w in KEY_PREFIXES if len(w) < len(name) and name.startswith(w)]
+    return name[max(starts, default=0):]
 
 
 @dataclass(frozen=True)
 class ColumnName:
-    """A column name in the context of its table, prepared for comparison."""
+    """A column name in the context of its table."""
 
     table: str
     column: str
 
     @cached_property
-    def flat(self) -> str:
-        return _flat(self.column)
+    def parts(self) -> dict[str, frozenset[str]]:
+        """What the name may be matched by: the bare name, its core, its table's core, and keys named after the table."""
+        whole, owner = bare(self.column), core(bare(self.table))
+        named = {"whole": {whole}, "core": {core(whole)}, "owner": {owner}, "owner_key": {owner, owner + "id", "id" + owner}}
+        return {part: frozenset(values) - {""} for part, values in named.items()}
 
-    @cached_property
-    def stem(self) -> str:
-        return _stem(self.flat)
 
-    @cached_property
-    def owner(self) -> str:
-        return _stem(_flat(self.table))
-
-    def is_owner_key_of(self, other: "ColumnName") -> bool:
-        return self.flat in (other.owner, other.owner + "id", "id" + other.owner)
+@dataclass(frozen=True)
+class NameRule:
+    """The grade of two names of which ``part`` of one and ``other`` of the other agree: are equal, or, if ``within``,
+    hold one another; both have ``least`` signs or more."""
+
+    grade: float
+    part: str
+    other: str
+    within: bool = False
+    least: int = 1
+
+    def holds(self, a: ColumnName, b: ColumnName) -> bool:
+        return any(min(len(x), len(y)) >= self.least and (x == y or self.within and (x in y or y in x))
+                   for x in a.parts[self.part] for y in b.parts[self.other])
+
+
+# Grades of agreeing names.
+NAME_RULES = (
+    NameRule(1.0, "whole", "whole"),
+    NameRule(0.94, "core", "core"),
+    NameRule(0.86, "core", "owner", within=True),
+    NameRule(0.84, "whole", "owner_key"),
+    NameRule(0.62, "core", "core", within=True, least=3),
+)
 
 
 def name_similarity(a: ColumnName, b: ColumnName) -> float:
-    """How strongly two column names suggest the same key (0 to 1)."""
-    if not (a.flat and b.flat):
+    """How strongly two column names suggest the same key (0 to 1): the best grade of the rules that hold either way."""
+    if not (a.parts["whole"] and b.parts["whole"]):
         return 0.0
-    graded = (
-        (1.0, a.flat == b.flat),
-        (0.94, bool(a.stem) and a.stem == b.stem),
-        (0.86, _nested(a.stem, b.owner) or _nested(b.stem, a.owner)),
-        (0.84, a.is_owner_key_of(b) or b.is_owner_key_of(a)),
-        (0.62, _nested(a.stem, b.stem) and min(len(a.stem), len(b.stem)) >= 3),
-    )
-    return next((score for score, holds in graded if holds), 0.0)
+    return max((r.grade for r in NAME_RULES if r.holds(a, b) or r.holds(b, a)), default=0.0)

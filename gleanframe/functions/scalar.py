@@ -10,25 +10,16 @@ from pyspark.sql import Column, functions as F, types as T
 # values that never identify anything.
 NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
-DATE_FORMATS = (
-    "yyyy-M-d[ H:m[:s[.SSSSSS]]]",
-    "yyyy-M-d'T'H:m[:s[.SSSSSS]][XXX]",
-    "yyyy/M/d[ H:m[:s[.SSSSSS]]]",
-    "M.d.yyyy[ H:m[:s]]",
-    "d.M.yyyy[ H:m[:s]]",
-    "M/d/yyyy[ H:m[:s]]",
-    "d/M/yyyy[ H:m[:s]]",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyy",
-)
-DAY_FIRST_FORMATS = tuple(
-    {"M.d": "d.M", "d.M": "M.d", "M/d": "d/M", "d/M": "M/d"}.get(f[:3], f[:3]) + f[3:]
-    for f in DATE_FORMATS
-)
-DATE_SHAPE = (
-    r"^(\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{4}$|[A-Za-z]{3} \d{1,2}, \d{4}$|\d{1,2} [A-Za-z]{3} \d{4}$)"
+# Shapes of date text; what the groups hold is written side by side in DATE_PARTS: the year, month and day of a text that
+# begins with the year, two numbers in either order with the year after them, a month's name and day, and the time.
+DATE_TEXT = (
+    r"^(?:(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{4})(\d\d)(\d\d)|(\d{1,2})([-/.])(\d{1,2})\9(\d{4})"
+    r"|([A-Za-z]{3,9})\.? (\d{1,2}), ?(\d{4})|(\d{1,2}) ([A-Za-z]{3,9})\.? (\d{4}))"
+    r"(?:(?: +|T)(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,9})?))?(?: ?([AaPp])[Mm])? ?(Z|[+-]\d\d:?\d\d)?)?|(\d{4}))$"
 )
+DATE_PARTS = "$1$5$23|$3$6|$4$7|$8|$10|$11$14$17|$12$16|$13$15|$18|$19|$20|$21|$22"
+LONGEST_DATE = 64
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 BLANKS = " \t\n\r\f\v\u00a0"
 GENERIC_VALUES = ("да", "нет", "yes", "no", "true", "false", "0", "1", "-", "нет данных", "nan", "none")
 
@@ -80,20 +71,37 @@ def number(name: str, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def text_to_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that parses wins.
+def text_to_timestamp(c: Column, day_first: bool = False) -> Column:
+    """Date text as a timestamp, else null.
 
-    Only text of a date's shape is tried: failed attempts are what costs.
+    The shape of the text says which of its numbers is what, so nothing is tried in vain: one expression takes the
+    parts out, and they make the timestamp or not.  Of ``01/02/2024`` the month comes first unless ``day_first``; a
+    first number above 12 is the day.  A zone shifts the time to the session's.
     """
     value = strip(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
-    return F.when(value.rlike(DATE_SHAPE), parsed)
-
-
-def moment(name: str, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for key in dict.fromkeys((m, m[:3])) for x in (key, i)])
+
+    def made(p: Column) -> Column:
+        whole = lambda i: F.nullif(p[i], F.lit("")).try_cast("int")
+        a, b = (whole(4), whole(3)) if day_first else (whole(3), whole(4))
+        swapped = (a > 12) & (b <= 12)
+        month = F.when(p[6] != "", F.try_element_at(months, F.lower(p[6]))).when(p[3] != "", F.when(swapped, b).otherwise(a)).otherwise(F.coalesce(whole(1), F.lit(1)))
+        day = F.when(p[6] != "", whole(7)).when(p[3] != "", F.when(swapped, a).otherwise(b)).otherwise(F.coalesce(whole(2), F.lit(1)))
+        hour = F.coalesce(whole(8), F.lit(0))
+        # a clock of twelve hours has hours from 1 to 12
+        hour = F.when(p[11] == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.lower(p[11]) == "p", 12).otherwise(0))
+        second = F.coalesce(F.nullif(p[10], F.lit("")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        clock = (F.coalesce(whole(0), whole(5)), month, day, hour, F.coalesce(whole(9), F.lit(0)), second)
+        return F.when(p[12] == "", F.try_make_timestamp(*clock)).otherwise(F.try_make_timestamp(*clock, F.nullif(p[12], F.lit(""))))
+
+    parts = F.split(F.regexp_replace(value, DATE_TEXT, DATE_PARTS), r"\|")
+    return F.when((F.length(value) <= LONGEST_DATE) & value.rlike(DATE_TEXT), F.element_at(F.transform(F.array(parts), made), 1))
+
+
+def moment(name: str, dtype: T.DataType, day_first: bool = False) -> Column:
     """The column as a timestamp without zone, invalid text as null."""
     if isinstance(dtype, T.StringType):
-        return text_to_timestamp(col(name), formats).cast("timestamp_ntz")
+        return text_to_timestamp(col(name), day_first).cast("timestamp_ntz")
     if is_datetime(dtype):
         return col(name).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")

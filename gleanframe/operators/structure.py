@@ -172,11 +172,11 @@ def table_facts(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> dic
     return collect_facts(structures(tables, limits))
 
 
-def with_dates(table: Table, columns: Sequence[str], formats: Sequence[str] = S.DATE_FORMATS) -> Table:
+def with_dates(table: Table, columns: Sequence[str], day_first: bool = False) -> Table:
     """The table with the given columns as timestamps, invalid values as null."""
     types = Q.dtypes(table.df)
     wanted = [c for c in columns if isinstance(types.get(c), T.StringType)]
-    parsed = {c: S.moment(c, types[c], formats) for c in wanted}
+    parsed = {c: S.moment(c, types[c], day_first) for c in wanted}
     fixed = table.df.select(*[parsed.get(c, S.col(c)).alias(c) for c in table.df.columns])
     return Table(table.id, table.name, fixed, table.filename, table.sheet)
 

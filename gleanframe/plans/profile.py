@@ -120,7 +120,9 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
         jobs[f"chart_plan/{table.id}"] = lambda t=table, o=own: charts.chart_plan(
             G.column_importance(described.where(F.col("table_id") == t.id), metrics.moments(Q.number_rows(
                 t.df, [c for c, f in facts[t.id].items() if f.kind == "numeric"] or t.df.columns[:1]))),
-            o["associations"], G.missing_counts(t.df))
+            o["associations"], G.missing_counts(t.df), charts.discovered_charts(
+                concentration.concentration_summary(o["concentration_values"]) if "concentration_values" in o else None,
+                o.get("outliers"), chosen[t.id], tuple(derived.ratio_pairs(chosen[t.id].money, chosen[t.id].area)), spark))
         if "concentration_values" in own:
             jobs[f"concentration/{table.id}"] = lambda o=own: concentration.concentration_summary(o["concentration_values"])
         if "group_profiles" in own:
@@ -133,7 +135,8 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
         jobs["relation_counts"] = lambda: relations.relation_counts(done["relations"])
     for table in prepared:
         mine, own = chosen[table.id], found[table.id]
-        jobs |= {f"{name}/{table.id}": lambda df=df: df for name, df in charts.chart_tables(table.df, own["chart_plan"]).items()}
+        jobs |= {f"{name}/{table.id}": lambda df=df: df for name, df in charts.chart_tables(
+            derived.with_ratios(table.df, mine)[0], own["chart_plan"], own.get("concentration_values")).items()}
         if WORDED & set(own):
             names = tuple(derived.ratio_pairs(mine.money, mine.area))
             jobs[f"highlights/{table.id}"] = lambda m=mine, o=own: findings.highlights(o, m, limits)

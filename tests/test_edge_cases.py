@@ -40,7 +40,7 @@ def test_day_first_formats(spark):
     df = frame(spark, "s string", [("02.01.2024",), ("02/01/2024",)])
     first = df.select(S.text_to_timestamp(S.col("s")).cast("date")).collect()
     assert [r[0] for r in first] == [dt.date(2024, 2, 1)] * 2
-    other = df.select(S.text_to_timestamp(S.col("s"), S.DAY_FIRST_FORMATS).cast("date")).collect()
+    other = df.select(S.text_to_timestamp(S.col("s"), day_first=True).cast("date")).collect()
     assert [r[0] for r in other] == [dt.date(2024, 1, 2)] * 2
 
 
