@@ -47,9 +47,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Before rounding, values are moved by this share of themselves on both sides: a value that lies halfway between two
+#: decimals (as means of cents often do) is then no longer decided by the order of floating-point additions.
+NUDGE = 1.00000000001
+
+
 def settle(c: Column) -> Column:
     """Rounding to seven digits or more, which leaves room for the order of floating-point additions."""
-    size = F.abs(c)
+    size, c = F.abs(c), c * NUDGE
     return (F.when(size < 1e4, F.round(c, 6)).when(size < 1e8, F.round(c, 2)).when(size < 1e12, F.round(c / 1e2, 0) * 1e2)
             .otherwise(F.round(c / 1e6, 0) * 1e6)) + F.lit(0.0)
 
@@ -64,8 +69,9 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def r(expr: str, name: str) -> str:
     """The same rounding in SQL."""
-    return (f"CASE WHEN abs({expr}) < 1e4 THEN round({expr}, 6) WHEN abs({expr}) < 1e8 THEN round({expr}, 2) "
-            f"WHEN abs({expr}) < 1e12 THEN round({expr} / 1e2, 0) * 1e2 ELSE round({expr} / 1e6, 0) * 1e6 END + 0.0 AS {name}")
+    moved = f"({expr}) * CAST({NUDGE!r} AS DOUBLE)"
+    return (f"CASE WHEN abs({expr}) < 1e4 THEN round({moved}, 6) WHEN abs({expr}) < 1e8 THEN round({moved}, 2) "
+            f"WHEN abs({expr}) < 1e12 THEN round({moved} / 1e2, 0) * 1e2 ELSE round({moved} / 1e6, 0) * 1e6 END + 0.0 AS {name}")
 
 
 def union(parts) -> str:

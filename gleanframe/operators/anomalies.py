@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
 from ..sources.literals import settled
+from ..sources.sinks import stored
 from . import frequency as Q, order_stats as O
 from .structure import Roles, ordered
 
@@ -34,10 +35,11 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], limits: Limits = DEFAU
     """
     rows = Q.number_rows(df, columns).filter(S.finite(F.col("x")).isNotNull())
     levels = Q.distinct_up_to(rows, ["column"], "x", limits.z_min_levels)
-    base = rows.groupBy("column").agg(
-        F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")
+    bins = stored(O.value_bins(rows, ["column"]), "bins")
+    base = bins.groupBy("column").agg(
+        F.sum("__n").alias("n"), F.min("__low").alias("min"), F.max("__high").alias("max"), (F.sum("__sum") / F.sum("__n")).alias("mean")
     )
-    cuts = O.quantile_columns(rows, ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    cuts = O.quantile_columns(rows, ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, bins=bins)
     # every side has one row per column
     known = settled(
         base.join(F.broadcast(levels), "column").join(F.broadcast(cuts), "column")

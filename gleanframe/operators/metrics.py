@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
 from ..sources.literals import literal_rows
+from ..sources.sinks import stored
 from . import frequency as Q, order_stats as O
 from .structure import Facts, union_all
 
@@ -77,33 +78,53 @@ def moments(rows: DataFrame) -> DataFrame:
     return shape.select("column", "count", *[S.finite(F.col(c)).alias(c) for c in shape.columns[2:]])
 
 
+def weighted_moments(values: DataFrame, bins: DataFrame) -> DataFrame:
+    """(column, count, mean, std, var, min, max, skew, kurtosis, mad) of (column, x, n) rows and their ``value_bins``.
+
+    Counts, extremes and means come from the bins; the powers of the distances from the mean, and the distances
+    themselves (``mad`` is their mean), from one pass over the values.
+    """
+    totals = bins.groupBy("column").agg(F.sum("__n").alias("count"), F.min("__low").alias("min"), F.max("__high").alias("max"),
+                                        (F.sum("__sum") / F.sum("__n")).alias("mean"))
+    gap = F.col("x") - F.col("mean")
+    # one row per column
+    central = values.join(F.broadcast(totals.select("column", "mean")), "column").groupBy("column").agg(
+        *[F.sum(F.col("n") * part).alias(name) for name, part in (
+            ("m1", F.abs(gap)), ("m2", gap * gap), ("m3", gap * gap * gap), ("m4", gap * gap * gap * gap))])
+    n, constant = F.col("count").cast("double"), F.col("min") == F.col("max")
+    var = F.when(n > 1, F.when(constant, 0.0).otherwise(F.col("m2") / (n - 1)))
+    g1 = F.try_divide(F.sqrt(n) * F.col("m3"), F.pow("m2", F.lit(1.5)))
+    g2 = F.try_divide(n * F.col("m4"), F.col("m2") * F.col("m2")) - 3
+    skew = F.when(n >= 3, F.when(constant, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
+    kurtosis = F.when(n >= 4, F.when(constant, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
+    shape = totals.join(F.broadcast(central), "column").select(
+        "column", "count", "mean", F.sqrt(var).alias("std"), var.alias("var"), "min", "max", skew.alias("skew"), kurtosis.alias("kurtosis"),
+        F.when(constant, 0.0).otherwise(F.col("m1") / n).alias("mad"))
+    return shape.select("column", "count", *[S.finite(F.col(c)).alias(c) for c in shape.columns[2:]])
+
+
 def numeric_metrics(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = NUMERIC,
                     extra: Extra | None = None) -> DataFrame:
-    """M1-M16.  Branches are aggregated separately and appended, so nothing is joined back to rows."""
-    rows = Q.number_rows(df, columns)
-    wanted = set(wanted)
+    """M1-M16.  The table is read once: the mode needs every distinct value with its count, and what else is asked for
+    follows from these.  Without the mode nothing is shuffled but totals, and rows take the values' place.
+    """
+    rows, wanted = Q.number_rows(df, columns), set(wanted)
+    values = stored(Q.number_counts(df, columns), "values") if "mode" in wanted else rows.withColumn("n", F.lit(1).cast("bigint"))
+    bins = stored(O.value_bins(values, ["column"], weight="n"), "bins")
     parts = []
-    simple = [m for m in ("count", "mean", "std", "var", "min", "max", "skew", "kurtosis") if m in wanted]
+    simple = [m for m in ("count", "mean", "std", "var", "min", "max", "skew", "kurtosis", "mad") if m in wanted]
     if simple:
-        parts.append(_long(moments(rows), {m: F.col(m) for m in simple}))
-    if "mad" in wanted:
-        means = rows.groupBy("column").agg(F.avg("x").alias("mean"))
-        spread = rows.join(F.broadcast(means), "column").groupBy("column").agg(
-            S.finite(F.avg(F.abs(F.col("x") - F.col("mean")))).alias("mad")
-        )
-        parts.append(_long(spread, {"mad": F.col("mad")}))
+        parts.append(_long(weighted_moments(values, bins), {m: F.col(m) for m in simple}))
     if "mode" in wanted:
-        common = Q.number_counts(df, columns).groupBy("column").agg(
-            F.min_by("x", F.struct(-F.col("n"), F.col("x"))).alias("mode")
-        )
+        common = values.groupBy("column").agg(F.min_by("x", F.struct(-F.col("n"), F.col("x"))).alias("mode"))
         parts.append(_long(common, {"mode": S.finite(F.col("mode"))}))
     asked = {m: p for m, p in QUANTILES.items() if m in wanted or ("iqr" in wanted and p in (0.25, 0.75))}
     if asked:
-        cuts = O.quantile_columns(rows, ["column"], asked)
-        values = {m: S.finite(F.col(m)) for m in asked if m in wanted}
+        cuts = O.quantile_columns(values, ["column"], asked, weight="n", bins=bins)
+        found = {m: S.finite(F.col(m)) for m in asked if m in wanted}
         if "iqr" in wanted:
-            values["iqr"] = S.finite(F.col("quantile_75") - F.col("quantile_25"))
-        parts.append(_long(cuts, values))
+            found["iqr"] = S.finite(F.col("quantile_75") - F.col("quantile_25"))
+        parts.append(_long(cuts, found))
     if extra:
         own = rows.groupBy("column").agg(*[build(F.col("x")).alias(m) for m, build in extra.items()])
         parts.append(_long(own, {m: F.col(m) for m in extra}))

@@ -49,8 +49,23 @@ def _before(n: str, partition: Sequence[str], order: str) -> str:
             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
 
 
+def _binned(rows: DataFrame, keys: Sequence[str], x: str, weight: str | None) -> DataFrame:
+    return rows.selectExpr(*[_quoted(c) for c in keys], f"{_quoted(x)} AS __x", f"{magnitude_bin(_quoted(x))} AS __bin",
+                           f"{_quoted(weight) if weight else '1L'} AS __w").filter("__x IS NOT NULL")
+
+
+def value_bins(rows: DataFrame, keys: Sequence[str], x: str = "x", weight: str | None = None) -> DataFrame:
+    """(keys..., __bin, __n, __low, __high, __sum): totals of the values of equal magnitude, combined before the shuffle.
+
+    ``weight`` names the column that says how often a value occurs; without it every row counts once.  The table is
+    small, so it may be stored and serve means, extremes and quantiles alike.
+    """
+    return _binned(rows, keys, x, weight).groupBy(*keys, "__bin").agg(
+        F.expr("sum(__w) AS __n"), F.expr("min(__x) AS __low"), F.expr("max(__x) AS __high"), F.expr("sum(__x * __w) AS __sum"))
+
+
 def _ranked_values(rows: DataFrame, keys: list[str], probabilities: Sequence[float], x: str,
-                   bounded_keys: bool) -> DataFrame:
+                   bounded_keys: bool, weight: str | None = None, bins: DataFrame | None = None) -> DataFrame:
     """(keys..., __at, n): per key a map from each rank next to a wanted quantile to its value.
 
     Expressions are SQL text: the plan is long, and text is parsed in one call each.
@@ -58,9 +73,8 @@ def _ranked_values(rows: DataFrame, keys: list[str], probabilities: Sequence[flo
     hint = F.broadcast if bounded_keys else (lambda d: d)
     k = _listed(keys)
     by_key = f"PARTITION BY {k[:-2]}" if keys else ""
-    data = rows.selectExpr(*[_quoted(c) for c in keys], f"{_quoted(x)} AS __x", f"{magnitude_bin(_quoted(x))} AS __bin")
-    data = data.filter("__x IS NOT NULL")
-    bins = data.groupBy(*keys, "__bin").agg(F.expr("count(1) AS __n"), F.expr("min(__x) AS __low"), F.expr("max(__x) AS __high"))
+    data = _binned(rows, keys, x, weight)
+    bins = (value_bins(rows, keys, x, weight) if bins is None else bins).select(*keys, "__bin", "__n", "__low", "__high")
     bins = bins.selectExpr("*", f"{_before('__n', keys, '__bin')} AS __before", f"sum(__n) OVER ({by_key}) AS __total")
 
     # ranks from 0 next to each wanted place, and those of them within a cell of __n values after __before others
@@ -72,8 +86,8 @@ def _ranked_values(rows: DataFrame, keys: list[str], probabilities: Sequence[flo
     # __base and __total depend on the bin: as grouping keys they travel along without a second join
     inside = data.join(hint(hit_bins), [*keys, "__bin"]).selectExpr(
         *[_quoted(c) for c in keys], "__bin", f"{even_slot('__x', '__low', '__high', SLOTS_PER_BIN)} AS __slot",
-        "__x", "__base", "__total")
-    slots = inside.groupBy(*keys, "__bin", "__slot", "__base", "__total").agg(F.expr("count(1) AS __n"))
+        "__x", "__w", "__base", "__total")
+    slots = inside.groupBy(*keys, "__bin", "__slot", "__base", "__total").agg(F.expr("sum(__w) AS __n"))
     hit_slots = (
         slots.selectExpr("*", f"__base + {_before('__n', [*keys, '__bin'], '__slot')} AS __before")
         .filter(f"size({held}) > 0")
@@ -82,7 +96,7 @@ def _ranked_values(rows: DataFrame, keys: list[str], probabilities: Sequence[flo
     values = (
         inside.join(hint(hit_slots), [*keys, "__bin", "__slot"])
         .groupBy(*keys, "__bin", "__slot", "__x", "__start", "__total")
-        .agg(F.expr("count(1) AS __n"))
+        .agg(F.expr("sum(__w) AS __n"))
     )
     return (
         values.selectExpr("*", f"__start + {_before('__n', [*keys, '__bin', '__slot'], '__x')} AS __before")
@@ -119,10 +133,10 @@ def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = 50_000) -> boo
     return rows.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
-def quantile_columns(rows: DataFrame, keys: Sequence[str], names: dict[str, float],
-                     x: str = "x", bounded_keys: bool = True) -> DataFrame:
-    """(keys..., one column per named quantile)."""
-    found = _ranked_values(rows, list(keys), sorted(set(names.values())), x, bounded_keys)
+def quantile_columns(rows: DataFrame, keys: Sequence[str], names: dict[str, float], x: str = "x", bounded_keys: bool = True,
+                     weight: str | None = None, bins: DataFrame | None = None) -> DataFrame:
+    """(keys..., one column per named quantile); ``bins`` are the rows' ``value_bins``, where they are known already."""
+    found = _ranked_values(rows, list(keys), sorted(set(names.values())), x, bounded_keys, weight, bins)
     return found.selectExpr(*[_quoted(c) for c in keys],
                             *[f"{_interpolated(f'{float(p)!r}D')} AS {_quoted(name)}" for name, p in names.items()])
 

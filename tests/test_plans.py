@@ -52,6 +52,23 @@ def test_only_needed_columns_are_read(data):
     assert re.findall(r"ReadSchema: (\S+)", text) == ["struct<o_orderstatus:string>"]
 
 
+def test_scans(data, monkeypatch):
+    """How often the table itself is read: stored values and bins are read in its place."""
+    reads = []
+
+    def counted(df, purpose):
+        reads.append(plan(df).count("lineitem.parquet"))
+        return kept(df, purpose)
+
+    kept = M.stored
+    monkeypatch.setattr(M, "stored", counted)
+    text = plan(M.numeric_metrics(data.lineitem, ["l_quantity", "l_tax"]))
+    assert sum(reads) + text.count("lineitem.parquet") == 1
+    reads.clear()
+    text = plan(M.numeric_metrics(data.lineitem, ["l_quantity", "l_tax"], ["mean", "median", "mad", "skew"]))
+    assert sum(reads) + text.count("lineitem.parquet") <= 4
+
+
 def test_values_are_combined_before_shuffles(data):
     text = plan(Q.value_counts(data.lineitem, ["l_returnflag", "l_linestatus"]))
     assert text.count("Exchange") == 1 and "partial_count" in text
