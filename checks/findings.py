@@ -363,7 +363,7 @@ def median_ranges_orders(d: Data):
 
 # --- relations ---------------------------------------------------------------
 
-LINKED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+LINKED = TABLES
 
 
 def keyed_values_sql(tables) -> str:
@@ -416,7 +416,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY lt, rt ORDER BY round(score,
 links AS (SELECT * FROM best WHERE rk <= 2 ORDER BY round(score, 4) DESC, ti, li, tj, ri LIMIT 40)"""
 
 
-LINKS_SQL, ALL_LINKS_SQL = links_sql(LINKED), links_sql(TABLES)
+LINKS_SQL = links_sql(LINKED)
 
 
 @query("join_links", f"""{LINKS_SQL}
@@ -438,25 +438,6 @@ def link_examples(d: Data):
     return J.link_examples(tables, facts, J.join_links(tables, facts))
 
 
-@query("join_links_all", f"""{ALL_LINKS_SQL}
-SELECT 'join' AS kind, lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, {r('CAST(score AS DOUBLE)', 'score')}, {r('jaccard', 'jaccard')},
-  {r('100 * ca', 'coverage_left')}, {r('100 * cb', 'coverage_right')}, matched, left_unique, right_unique,
-  CASE WHEN ua >= 0.92 AND ub >= 0.92 THEN '1:1' WHEN ua >= 0.92 THEN '1:N' WHEN ub >= 0.92 THEN 'N:1' ELSE 'N:M' END AS cardinality,
-  CAST(name AS DOUBLE) AS name_score FROM links""")
-def join_links_all(d: Data):
-    return J.join_links(d.tables(*TABLES))
-
-
-@query("link_examples_all", f"""{ALL_LINKS_SQL},
-shared AS (SELECT lt, lc, rt, rc, a.value FROM links JOIN vals a ON a.t = lt AND a.c = lc JOIN vals b ON b.t = rt AND b.c = rc AND a.value = b.value)
-SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, row_number() OVER (PARTITION BY lt, lc, rt, rc ORDER BY value) AS rank, value
-FROM shared QUALIFY rank <= 8""")
-def link_examples_all(d: Data):
-    tables = d.tables(*TABLES)
-    facts = J.table_facts(tables)
-    return J.link_examples(tables, facts, J.join_links(tables, facts))
-
-
 @query("key_overlap", """
 SELECT 'o_custkey' AS left_column, 'c_custkey' AS right_column, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS matched,
   (SELECT count(DISTINCT o_custkey) FROM orders) AS left_size, (SELECT count(DISTINCT c_custkey) FROM customer) AS right_size

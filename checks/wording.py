@@ -14,12 +14,12 @@ from gleanframe.plans import charts as V, findings as W
 from gleanframe.plans.profile import profile
 from gleanframe.sources.tables import Table
 
-from .base import LABELLED, LABELLED_SCHEMA, SCHEMA, labelled, quality_rows, quality_sql, summary_sql
+from .base import LABELLED, LABELLED_SCHEMA, SCHEMA, labelled, quality_rows, quality_sql, structure_sql, summary_sql
 from .charts import NUMERIC_LINE
 from .findings import (
-    ALL_LINKS_SQL, LINKED, LINKS_SQL, concentration_sql, cramers_sql, eta_sql, outlier_summary_sql, pearson_sql, profiles_sql,
+    LINKED, LINKS_SQL, concentration_sql, cramers_sql, eta_sql, outlier_summary_sql, pearson_sql, profiles_sql,
 )
-from .registry import ORACLES, TABLES, Data, query, r, union
+from .registry import ORACLES, Data, query, r, union
 
 EVENTS = Roles(geo=("props",), numeric=("value",), categorical=("event_type",))
 EVENT_VALUES = union(
@@ -87,20 +87,6 @@ def relation_counts(d: Data):
     return J.relation_counts(J.join_links(d.tables(*LINKED)))
 
 
-@query("relation_hypotheses_all", f"""{ALL_LINKS_SQL}
-SELECT row_number() OVER (ORDER BY score DESC, lt, lc, rt, rc) AS id, 'table_relation' AS kind, 'Key ' || lt || '.' || lc || ' = ' || rt || '.' || rc AS title,
-  lc || ',' || rc AS columns, CASE WHEN round(score, 4) >= 0.7 THEN 'high' ELSE 'medium' END AS priority FROM links QUALIFY id <= 6""")
-def relation_hypotheses_all(d: Data):
-    found = W.relation_hypotheses(J.relations(d.tables(*TABLES)))
-    return found.select("id", "kind", "title", F.concat_ws(",", "columns").alias("columns"), "priority")
-
-
-@query("relation_counts_all", f"""{ALL_LINKS_SQL}
-SELECT 'join' AS kind, count(*) AS n, {r('CAST(max(score) AS DOUBLE)', 'best_score')} FROM links""")
-def relation_counts_all(d: Data):
-    return J.relation_counts(J.join_links(d.tables(*TABLES)))
-
-
 @query("recommendations_documents", f"""
 WITH s AS ({summary_sql('documents', LABELLED, LABELLED_SCHEMA)}),
 c AS ({union(f"SELECT '{c}' AS c, {i} AS i, count({c}) AS n, count(*) AS rows FROM {LABELLED}" for i, c in enumerate(LABELLED_SCHEMA))}),
@@ -120,6 +106,19 @@ def recommendations_documents(d: Data):
     return W.recommendations(summary, counts)
 
 
+def skipped_sql(table: str) -> str:
+    rules = (("associations", None, 40), ("concentration", 3, 400), ("group_profiles", 2, 80), ("category_counts", 2, 25))
+    return union(f"""
+SELECT table_id, column_name, '{name}' AS analysis, nunique AS levels, CAST({'NULL' if low is None else low} AS BIGINT) AS least, CAST({high} AS BIGINT) AS most,
+  CASE WHEN nunique > {high} THEN 'too many levels' ELSE 'too few levels' END AS reason
+FROM ({structure_sql(table)}) WHERE kind IN ('categorical', 'boolean') AND (nunique > {high} OR nunique < {0 if low is None else low})""" for name, low, high in rules)
+
+
+@query("skipped_columns", union(f"SELECT * FROM ({skipped_sql(t)})" for t in ("part", "lineitem", "customer", "documents")))
+def skipped_columns(d: Data):
+    return L.skipped_columns(K.structures(d.tables("part", "lineitem", "customer", "documents"))).withColumnRenamed("column", "column_name")
+
+
 @query("profile_customers", union(f"SELECT * FROM ({quality_sql(t, t, SCHEMA[t])})" for t in ("nation", "customer")))
 def profile_customers(d: Data):
     """The quality of the columns of two tables, as the whole chain gives it."""

@@ -104,3 +104,24 @@ def top_missing(columns: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
     """The columns with most gaps per table."""
     gaps = columns.filter(F.col("missing_pct") > 0).select("table_id", "column", "ordinal", "missing_pct", "kind")
     return Q.top_per_group(gaps, ["table_id"], [F.desc("missing_pct"), F.asc("ordinal")], limits.top_missing)
+
+
+#: Levels that a chart of counts shows.
+COUNTED_LEVELS = (2, 25)
+
+
+def skipped_columns(described: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """(table_id, column, analysis, levels, least, most, reason): the categories that an analysis leaves out, and why.
+
+    ``described`` are structure rows; ``least`` is null where an analysis has no lower limit.
+    """
+    ranges = {
+        "associations": (None, limits.max_category_levels), "concentration": (limits.core_min_categories, limits.core_max_categories),
+        "group_profiles": (limits.group_min_levels, limits.group_max_levels), "category_counts": COUNTED_LEVELS,
+    }
+    rules = F.array(*[F.struct(F.lit(name).alias("analysis"), F.lit(low).cast("bigint").alias("least"), F.lit(high).cast("bigint").alias("most"))
+                      for name, (low, high) in ranges.items()])
+    categories = described.where(F.col("kind").isin("categorical", "boolean")).select(
+        "table_id", "column", F.col("nunique").cast("bigint").alias("levels"), F.explode(rules).alias("rule")).select("table_id", "column", "levels", "rule.*")
+    reason = F.when(F.col("levels") > F.col("most"), "too many levels").when(F.col("levels") < F.col("least"), "too few levels")
+    return categories.withColumn("reason", reason).where("reason IS NOT NULL").select("table_id", "column", "analysis", "levels", "least", "most", "reason")

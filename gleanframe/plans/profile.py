@@ -109,7 +109,7 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
 
     # what is computed from those results
     found = {t.id: {n.split("/")[0]: df for n, df in done.items() if n.endswith(f"/{t.id}")} for t in prepared}
-    jobs = {"quality_columns": lambda: quality.quality_columns(done.get("structure_prepared", described), limits)}
+    jobs = {"skipped_columns": lambda: quality.skipped_columns(described, limits), "quality_columns": lambda: quality.quality_columns(done.get("structure_prepared", described), limits)}
     if len(tables) > 1:
         jobs["relation_examples"] = lambda: relations.link_examples(prepared, facts, done["relations"], limits)
     for table in prepared:
@@ -144,7 +144,7 @@ def profile(tables: Table | Sequence[Table], limits: Limits = DEFAULT_LIMITS,
     done |= run(jobs)
 
     results = {"structure": described}
-    results |= {n: done[n] for n in ("quality_columns", "quality_summary", "relations", "relation_counts", "relation_examples") if n in done}
+    results |= {n: done[n] for n in ("quality_columns", "skipped_columns", "quality_summary", "relations", "relation_counts", "relation_examples") if n in done}
     for name in dict.fromkeys(n.split("/")[0] for n in done if "/" in n):
         parts = [done[f"{name}/{t.id}"].select(F.lit(t.id).alias("table_id"), "*")
                  for t in prepared if f"{name}/{t.id}" in done]

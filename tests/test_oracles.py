@@ -19,7 +19,7 @@ def test_query(spark, duck, name):
 
 
 def test_links_reach_all_tables(spark):
-    links = {(r.left_table, r.left_column, r.right_table, r.right_column) for r in QUERIES["join_links_all"](spark, FOLDER).collect()}
+    links = {(r.left_table, r.left_column, r.right_table, r.right_column) for r in QUERIES["join_links"](spark, FOLDER).collect()}
     assert ("documents", "doc_id", "labels", "doc_id") in links
 
 
