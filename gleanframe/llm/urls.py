@@ -23,7 +23,10 @@ class Rule:
 
 
 FEATURES = ("url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "symbol_ratio", "entropy",
-            "parameters", "has_fragment", "digits_in_host", "hyphens_in_host", "suffix_odds", "domain_odds")
+            "parameters", "has_fragment", "digits_in_host", "hyphens_in_host", "suffix_odds", "domain_odds", "path_odds")
+#: Statistics by name: the column and the part of it they are counted for.
+STATISTICS = {"suffix_odds": ("host", r"[^.]*$"), "domain_odds": ("host", r"[^.]*\.?[^.]*$"), "path_odds": ("path", r"^/[^/]*")}
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -64,27 +67,36 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
         "hyphens_in_host": count(host, "-")})
 
 
-def suffix_statistics(df: DataFrame, label: str, few: int = 10_000) -> DataFrame:
-    """Smoothed log odds of the label per host suffix (last label, last two labels), over all labelled rows.
+def suffix_statistics(df: DataFrame, label: str, few: int = 10_000, fold: Column | None = None) -> DataFrame:
+    """Smoothed log odds of the label per host suffix (last label, last two labels), over all labelled rows; and per
+    first part of the path where there is a path.
 
-    Every suffix has its own odds; one without labelled rows has 0.  Up to ``few`` suffixes are sent to all tasks;
-    of more, only those with over 1/``few`` of all rows are, and the others meet their rows by a shuffle.
+    Every suffix has its own odds; one without labelled rows has 0.  With a ``fold`` (0 to FOLDS - 1), the odds of a
+    labelled row come from the other folds, so that trees cannot read a row's label from them.  Up to ``few`` suffixes
+    are sent to all tasks; of more, only those with over 1/``few`` of all rows are, and the others meet their rows by a shuffle.
     """
-    keys = {"suffix_odds": ("_suffix", r"[^.]*$"), "domain_odds": ("_domain", r"[^.]*\.?[^.]*$")}
-    placed = df.withColumns({key: F.regexp_extract("host", form, 0) for key, form in keys.values()})
-    pairs = placed.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(key).alias("key")) for name, (key, _) in keys.items()])).alias("_pair"),
-                          F.col(label).alias("_seen"))
-    blocks = F.coalesce(F.sum("_seen"), F.lit(0))
+    keys = {name: f"_{name}" for name, (source, _) in STATISTICS.items() if source in df.columns}
+    left_out = F.lit(FOLDS) if fold is None else F.when(F.col(label).isNotNull(), fold).otherwise(FOLDS)
+    placed = df.withColumns({**{key: F.regexp_extract(*STATISTICS[name], 0) for name, key in keys.items()}, "_fold": left_out})
+    pairs = placed.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(key).alias("key")) for name, key in keys.items()])).alias("_pair"),
+                          F.col(label).alias("_seen"), "_fold")
+
+    def odds_without(f: int) -> Column:
+        seen = F.when(F.col("_fold") != f, F.col("_seen")) if f < FOLDS else F.col("_seen")
+        blocks = F.coalesce(F.sum(seen), F.lit(0))
+        return F.log((blocks + 1.0) / (F.count(seen) - blocks + 1.0))
+
     odds = stored(pairs.groupBy("_pair.name", "_pair.key").agg(
-        F.log((blocks + 1.0) / (F.count("_seen") - blocks + 1.0)).alias("odds"), F.count("*").alias("_rows")), "suffixes")
+        F.array(*[odds_without(f) for f in range(FOLDS + 1)]).alias("odds"), F.count("*").alias("_rows")), "suffixes")
     numbers = {r["name"]: r["count"] for r in odds.groupBy("name").count().collect()}
-    for name, (key, _) in keys.items():
+    for name, key in keys.items():
         own = odds.where(F.col("name") == name).select(F.col("key").alias(key), F.col("odds").alias(name), "_rows")
         if numbers.get(name, 0) <= few:
             placed = placed.join(F.broadcast(own.drop("_rows")), key)
         else:
             placed = attach_unique(stored(placed, "hosts"), own, [key], "_rows", [name], few)
-    return placed.drop("_suffix", "_domain")
+    own = {name: F.get(name, F.col("_fold")) for name in keys}
+    return placed.withColumns(own).drop(*keys.values(), "_fold")
 
 
 def train(labelled: DataFrame, label: str, key: Sequence[str], bound: int = 10_000, trees: int = 20, depth: int = 4,
@@ -101,6 +113,27 @@ def train(labelled: DataFrame, label: str, key: Sequence[str], bound: int = 10_0
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, seed=seed).fit(ready)
 
 
+def block_probabilities(rows: DataFrame, label: str, url: str, bound: int = 10_000, few: int = 10_000) -> DataFrame:
+    """``rows`` (with host and path) and ``block_probability`` of every row, learnt from those with a label (0, 1 or null).
+
+    Equal urls are in one fold, and a labelled row's suffix odds leave its fold's labels out.
+    """
+    fold = F.pmod(F.xxhash64(F.col(url), F.lit("fold")), F.lit(FOLDS)).cast("int")
+    ready = suffix_statistics(lexical_features(rows, url), label, few, fold)
+    labelled = ready.where(F.col(label).isNotNull())
+    model = train(labelled, label, (url,), bound)
+    if model is None:
+        blocks = labelled.agg(F.max(label)).first()[0] or 0
+        return ready.withColumn("block_probability", F.lit(float(blocks)))
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(ready)
+    return (model.setFeaturesCol("_features").transform(vector)
+            .withColumn("block_probability", vector_to_array("probability")[1])
+            .drop("_features", "rawPrediction", "probability", "prediction"))
+
+
 def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: int = 10_000, few: int = 10_000) -> DataFrame:
     """``df`` with host, path, rule, verdict (allow or block) and ``block_probability``.
 
@@ -108,25 +141,15 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", bound: in
     statistics are counted (all rows, every suffix) and boosted trees are fitted (at most ``bound`` rows of each class); the trees
     judge the rest.  Null and empty urls have an empty host and path and are judged by their features like others;
     with one class only among the labelled rows that class is the verdict, without labelled rows it is allow.
-    Repeated rows are judged each by itself; an empty table gives no rows; columns called like a result are replaced.
+    Repeated rows are judged each by itself; an empty table gives no rows; columns called like a result are replaced,
+    all others are kept whatever their names.
     """
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "block_probability")]
-    placed = df.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept = {f"_kept_{i}": c for i, c in enumerate(df.columns) if c not in ("host", "path", "rule", "verdict", "block_probability")}
+    placed = (df.select(F.col(f"`{url}`").alias("_url"), *[F.col(f"`{c}`").alias(k) for k, c in kept.items()])
+              .withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))}))
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     named = placed.withColumns({"rule": text, "_verdict": verdict}).withColumn("_label", (F.col("_verdict") == "block").cast("int"))
-    rows = suffix_statistics(lexical_features(named, url), "_label", few)
-    labelled = rows.where(F.col("_label").isNotNull())
-    model = train(labelled, "_label", (url,), bound)
-    if model is None:
-        blocks = labelled.agg(F.max("_label")).first()[0] or 0
-        scored = rows.withColumn("block_probability", F.lit(float(blocks)))
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
-        model = model.setFeaturesCol("_features")
-        scored = (model.transform(vector).withColumn("block_probability", vector_to_array("probability")[1])
-                  .drop("_features", "rawPrediction", "probability", "prediction"))
+    scored = block_probabilities(named, "_label", "_url", bound, few)
     decided = F.coalesce("_verdict", F.when(F.col("block_probability") > 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", decided).select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict", "block_probability")
+    return scored.withColumn("verdict", decided).select(
+        *[F.col(k).alias(c) for k, c in kept.items()], "host", "path", "rule", "verdict", "block_probability")

@@ -59,6 +59,47 @@ def test_every_suffix_has_its_own_odds(spark, few):
         assert r.domain_odds == pytest.approx(odds(2, ".".join(labels[-2:]))), r.host
 
 
+def test_labelled_rows_take_odds_of_other_folds(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(6)
+    rows = [(i, f"a.d{rng.randrange(20)}.t{rng.randrange(3)}", rng.choice([0, 1, None]), rng.randrange(urls.FOLDS)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, host string, label int, part int")
+    got = {r.i: r for r in urls.suffix_statistics(df, "label", fold=F.col("part")).collect()}
+    for i, host, label, part in rows:
+        for name, k in (("suffix_odds", 1), ("domain_odds", 2)):
+            seen = Counter(l for _, h, l, p in rows if h.split(".")[-k:] == host.split(".")[-k:] and (label is None or p != part))
+            assert got[i][name] == pytest.approx(math.log((seen[1] + 1) / (seen[0] + 1)))
+
+
+def held_out_pages(spark, folder):
+    """(rows, share judged right, share of the larger class) of the labelled urls of a fifth, which the model has not seen."""
+    from pyspark.sql import functions as F
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", F.col("url").alias("_url"))
+    placed = pages.withColumns({"host": urls.host_of(F.col("_url")), "path": urls.path_of(F.col("_url"))})
+    truth = (urls.rule_columns(F.col("host"), F.col("path"), URL_RULES)[1] == "block").cast("int")
+    held = F.pmod(F.xxhash64("_url", F.lit("held out")), F.lit(5)) == 0
+    rows = placed.withColumns({"_truth": truth, "_label": F.when(~held, truth)})
+    judged = urls.block_probabilities(rows, "_label", "_url").where(F.col("_label").isNull() & F.col("_truth").isNotNull())
+    n, right, blocks = judged.agg(F.count("*"), F.avg(((F.col("block_probability") > 0.5).cast("int") == F.col("_truth")).cast("int")),
+                                  F.avg("_truth")).first()
+    return n, right, max(blocks, 1 - blocks)
+
+
+def test_held_out_pages(spark):
+    n, right, larger = held_out_pages(spark, "/root/testdata/sf0.1")
+    assert n > 0 and right > max(0.9, larger)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_label", "_url", "_fold", "_suffix", "_verdict", "entropy", "depth", "features", "prediction", "_kept_0", "a.b"]
+    rows = [(f"http://x{i}.net/{'es' if i % 2 else 'de'}/", *[f"{k}{i}" for k in range(len(names))]) for i in range(6)]
+    rows += [("http://y.com/", *["z"] * len(names))]
+    df = spark.createDataFrame(rows, ["url", *names])
+    got = urls.judge_urls(df, URL_RULES)
+    assert got.columns == ["url", *names, "host", "path", "rule", "verdict", "block_probability"]
+    assert sorted(tuple(r)[:len(names) + 1] for r in got.collect()) == sorted(rows)
+
+
 def test_one_class_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://b.com/", 1, "x"), (2, "http://c.org/", 1, "x"), (2, "http://c.org/", 1, "x")], SCHEMA)
     assert [r.verdict for r in urls.judge_urls(df, URL_RULES).collect()] == ["allow"] * 3
