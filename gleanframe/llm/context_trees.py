@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER_BYTES, SLICE_BYTES, joined_bytes, slices, stored, word_hashes
 
-DEPTH = 4                          # context bytes
+DEPTH = 7                          # context bytes: with the byte itself they fill a 64-bit code
 HEAD_WORDS, HEAD_GRAMS = 200_000, 500_000   # the most frequent ones are sent to all tasks; all others meet by a join
 WORDS, GRAMS, SUMMARY = 0, 1, 2    # kinds of rows
 END = np.uint64(0x1D0C5E17E4D)     # stands for the end of a text among the word hashes
@@ -85,16 +85,15 @@ def bit_levels(code: np.ndarray, n: np.ndarray, place: int, depth: int, least: i
     byte = code & np.uint64(255)
     node = (np.uint64(1) << np.uint64(place)) | (byte >> np.uint64(8 - place))
     bit = ((byte >> np.uint64(7 - place)) & np.uint64(1)).astype(bool)
-    out, below, inner = [], None, None
-    for d in range(depth, least - 1, -1):
-        key = ((code >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8) | node
-        unique, at, (zeros, ones) = _grouped(key, np.where(bit, 0, n), np.where(bit, n, 0))
-        if d < depth:
-            first = np.zeros(len(inner.key), np.int64)          # the place of each deeper node's parent
-            first[out[-1][1]] = at
-            below = np.bincount(first, weights=np.where(inner.zeros + inner.ones > 0, inner.weighted, 0.0), minlength=len(unique))
-        inner = Level(unique, zeros, ones, below)
-        out.append((inner, at))
+    key = (code >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
+    unique, at, (zeros, ones) = _grouped(key << np.uint64(8) | node, np.where(bit, 0, n), np.where(bit, n, 0))
+    level = Level(unique, zeros, ones, None)
+    out = [(level, at)]
+    for d in range(depth - 1, least - 1, -1):       # a level is summed up from the nodes of the one below it
+        below = np.where(level.zeros + level.ones > 0, level.weighted, 0.0)
+        unique, parent, sums = _grouped(level.key & np.uint64((1 << (8 * (d + 1))) - 1), level.zeros, level.ones, below)
+        level, at = Level(unique, *sums), parent[at]
+        out.append((level, at))
     return out, bit
 
 
