@@ -127,9 +127,9 @@ def correlation_ratio(df: DataFrame, categories: Sequence[str], numbers: Sequenc
     entries = [F.struct(F.lit(c).alias("col_b"), F.col(f"g{i}").alias("g")) for i, c in enumerate(numbers)]
     long = groups.select("col_a", F.explode_outer(F.array(*entries)).alias("e")).select("col_a", "e.col_b", "e.g.*")
     long = long.filter("n > 0")
-    pair = Window.partitionBy("col_a", "col_b")
-    mean = F.sum(F.col("n") * F.col("mean")).over(pair) / F.sum("n").over(pair)
-    parts = long.withColumn("gap", F.pow(F.col("mean") - mean, 2))
+    # one row per pair of columns; the groups themselves meet as sums, combined in each task
+    middles = long.groupBy("col_a", "col_b").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("middle"))
+    parts = long.join(F.broadcast(middles), ["col_a", "col_b"]).withColumn("gap", F.pow(F.col("mean") - F.col("middle"), 2))
     totals = parts.groupBy("col_a", "col_b").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"),
         F.sum(F.col("n") * F.col("gap")).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import names as N, scalar as S
@@ -43,11 +43,12 @@ def key_columns(tables: Sequence[Table], facts: Mapping[str, Facts],
 BITS = 62
 
 
-def key_values(candidates: Sequence[tuple[int, Table, ColumnFacts]]) -> DataFrame:
+def key_values(candidates: Sequence[tuple[int, Table, ColumnFacts]], whole: bool = False) -> DataFrame:
     """(value, m0, m1, ...): every canonical value with bit masks of the columns that hold it.
 
     All columns of all tables meet in one shuffle.  Masks are combined before it, so a
-    value held by a third of all rows travels as one row per task.
+    value held by a third of all rows travels as one row per task.  Long values travel
+    as digests unless they are asked for ``whole``.
     """
     by_table: dict[str, tuple[Table, dict[str, str]]] = {}
     for i, t, f in candidates:
@@ -56,6 +57,8 @@ def key_values(candidates: Sequence[tuple[int, Table, ColumnFacts]]) -> DataFram
     for table, columns in by_table.values():
         types = Q.dtypes(table.df)
         keys = {i: S.canonical_key(c, types[c]) for i, c in columns.items()}
+        if not whole:
+            keys = {i: Q.fingerprint(key, T.StringType()) for i, key in keys.items()}
         parts.append(Q.unpivot(table.df, keys, "id", "value").filter("value IS NOT NULL"))
     rows = union_all(parts).select("value", F.col("id").cast("int").alias("id"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("id") % BITS)
@@ -164,25 +167,30 @@ def cardinality(left: Column, right: Column, limits: Limits = DEFAULT_LIMITS) ->
 
 def link_examples(tables: Sequence[Table], facts: Mapping[str, Facts], links: DataFrame,
                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """(left_table, left_column, right_table, right_column, rank, value): the first shared values of each link."""
-    spark = tables[0].df.sparkSession
-    candidates = key_columns(tables, facts, limits)
-    numbered = literal_rows(
-        spark, [(i, t.id, f.name) for i, t, f in candidates], "id int, table string, column string")
-
-    def side(name: str, number: str) -> DataFrame:
-        return numbered.select(F.col("id").alias(number), F.col("table").alias(f"{name}_table"),
-                               F.col("column").alias(f"{name}_column"))
+    """(left_table, left_column, right_table, right_column, rank, value): the first shared values of each link.
 
+    Only columns of the given links (metadata rows) are read.  Each value is tested against the
+    masks of these links, and every task keeps the first values of a link before they are shuffled.
+    """
+    spark = tables[0].df.sparkSession
     keys = ["left_table", "left_column", "right_table", "right_column"]
-    # at most links_total rows
-    wanted = links.select(*keys).join(F.broadcast(side("left", "a")), keys[:2]).join(
-        F.broadcast(side("right", "b")), keys[2:])
-    values = key_values(candidates)
-    shared = values.select("value", _members(values).alias("columns")).filter(F.size("columns") > 1)
-    shared = shared.select("value", F.explode(_pairs("columns")).alias("p"))
-    hits = shared.select("value", "p.a", "p.b").join(F.broadcast(wanted), ["a", "b"])
-    return Q.top_per_group(hits, keys, [F.asc("value")], limits.link_examples).select(*keys, "rank", "value")
+    known = {(t.id, f.name): (t, f) for _, t, f in key_columns(tables, facts, limits)}
+    wanted = [tuple(r) for r in links.select(*keys).distinct().collect() if r[:2] in known and r[2:] in known]
+    if not wanted:
+        return literal_rows(spark, [], ", ".join(f"{k} string" for k in keys) + ", rank int, value string")
+    sides = list(dict.fromkeys(side for link in wanted for side in (link[:2], link[2:])))
+    values = key_values([(i, *known[side]) for i, side in enumerate(sides)], whole=True)
+
+    def held(side: tuple[str, str]) -> Column:
+        i = sides.index(side)
+        return F.call_function("bit_get", F.col(f"m{i // BITS}"), F.lit(i % BITS)) == 1
+
+    tests = [F.when(held(link[:2]) & held(link[2:]), F.lit(k)) for k, link in enumerate(wanted)]
+    shared = values.select("value", F.explode(F.array_compact(F.array(*tests))).alias("link"))
+    first = Q.top_per_group(shared, ["link"], [F.asc("value")], limits.link_examples)
+    named = literal_rows(spark, [(k, *link) for k, link in enumerate(wanted)],
+                         "link int, " + ", ".join(f"{k} string" for k in keys))
+    return first.join(F.broadcast(named), "link").select(*keys, "rank", "value")
 
 
 def union_links(tables: Sequence[Table], limits: Limits = DEFAULT_LIMITS) -> DataFrame:

@@ -69,6 +69,16 @@ def test_scans(data, monkeypatch):
     assert sum(reads) + text.count("lineitem.parquet") <= 4
 
 
+def test_groups_of_a_pair_meet_as_sums(data):
+    assert "Window" not in plan(A.correlation_ratio(data.lineitem, ["l_returnflag"], ["l_quantity"]))
+
+
+def test_long_values_of_links_travel_as_digests(data):
+    tables = data.tables("documents", "labels")
+    columns = J.key_columns(tables, K.table_facts(tables))
+    assert "sha2(" in plan(J.key_values(columns)) and "sha2(" not in plan(J.key_values(columns, whole=True))
+
+
 def test_values_are_combined_before_shuffles(data):
     text = plan(Q.value_counts(data.lineitem, ["l_returnflag", "l_linestatus"]))
     assert text.count("Exchange") == 1 and "partial_count" in text
