@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER_BYTES, SLICE_BYTES, joined_bytes, slices, stored, word_hashes
 
-DEPTH = 7                          # context bytes: with the byte itself they fill a 64-bit code
+DEPTH = 5                          # context bytes; up to 7 fit the 64-bit code
 HEAD_WORDS, HEAD_GRAMS = 200_000, 500_000   # the most frequent ones are sent to all tasks; all others meet by a join
 WORDS, GRAMS, SUMMARY = 0, 1, 2    # kinds of rows
 END = np.uint64(0x1D0C5E17E4D)     # stands for the end of a text among the word hashes
