@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import names as N, scalar as S
+from .records import opens_quote, quoted_records
 
 # Cell texts that mean "missing" in a CSV file.
 MISSING_TEXTS = (
@@ -43,15 +44,15 @@ def tidy(df: DataFrame) -> DataFrame:
     )
 
 
-def text_files(spark: SparkSession, path: str | Sequence[str]) -> dict[str, tuple[str, bool]]:
+def text_files(spark: SparkSession, path: str | Sequence[str], separator: str = ",") -> dict[str, tuple[str, bool]]:
     """Encoding, and whether quotes hold line breaks, of every file.
 
-    UTF-8 if each of the file's lines is valid, else Latin-1 (which decodes any bytes).  A line with an odd number of
-    quotes begins or ends inside quotes.  One scan; one row per file reaches the driver.
+    UTF-8 if each of the file's lines is valid, else Latin-1 (which decodes any bytes).  Quotes hold a line break where a
+    line leaves one open.  One scan; one row per file reaches the driver.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    found = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("broken"))
+    found = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+                                      F.bool_or(opens_quote(F.col("value"), separator)).alias("broken"))
     return {r["file"]: ("UTF-8" if r["valid"] else "ISO-8859-1", r["broken"]) for r in found.collect()}
 
 
@@ -59,12 +60,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | Non
              schema: T.StructType | None = None, multiline: bool | None = None, separator: str = ",") -> DataFrame:
     """A CSV with header.  Types are decided from all rows unless ``schema`` is given.
 
-    Encoding and line breaks inside quotes are found out file by file.  Files with such line breaks, and only these,
-    are read by one task each; ``multiline`` and ``encoding`` overrule what is found.
+    Encoding and line breaks inside quotes are found out file by file; ``multiline`` and ``encoding`` overrule what is
+    found.  Files with such line breaks are split among tasks like others (``quoted_records``), unless their encoding has
+    other bytes for line ends than ASCII or the separator is not one ASCII sign: those are read by one task each.
     """
     kinds: dict[tuple[str, bool], list[str]] = {}
     if encoding is None or multiline is None:
-        for file, (code, broken) in text_files(spark, path).items():
+        for file, (code, broken) in text_files(spark, path, separator).items():
             kinds.setdefault((encoding or code, broken if multiline is None else multiline), []).append(file)
     if len(kinds) <= 1:                                  # all files alike: the path itself, empty files included
         given = [(next(iter(kinds), (encoding or "UTF-8", bool(multiline))), path)]
@@ -73,7 +75,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str | Non
 
     def read(code: str, breaks: bool, files: str | Sequence[str]) -> DataFrame:
         reader = spark.read.options(header="true", sep=separator, quote='"', escape='"', multiLine=str(breaks).lower(), encoding=code)
-        return tidy((reader.schema(schema) if schema is not None else reader).csv(files))
+        plain = (reader.schema(schema) if schema is not None else reader).csv(files)
+        if not breaks or len(separator.encode()) != 1 or code.upper().startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
+            return tidy(plain)
+        slots = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(plain.schema.fields)])
+        records = quoted_records(spark, files, code, separator).filter("NOT is_first AND text RLIKE '[^ \\t\\r\\n]'")
+        cells = F.from_csv("text", slots.toDDL(), {"sep": separator, "quote": '"', "escape": '"', "multiLine": "true"})
+        return tidy(records.select(cells.alias("cells")).select("cells.*").toDF(*plain.columns))
 
     parts = [read(code, breaks, files) for (code, breaks), files in given]
     whole = parts[0]

@@ -1,6 +1,8 @@
 """CSV encodings and types, workbooks, saved results."""
 
+import csv
 import datetime as dt
+import io
 import zipfile
 
 import pytest
@@ -38,6 +40,35 @@ def test_csv_named_encoding(spark, tmp_path):
         spark.conf.unset("spark.sql.legacy.javaCharsets")
 
 
+def quoted_cells(n):
+    """Rows whose cells hold line breaks, doubled quotes, separators, quotes inside words, nothing, and one long cell."""
+    cells = ['plain', 'a\nb', 'say ""x""\n""', ',\n,\n\n"",', '', 'x' * 300 + '\n' + 'y,' * 400, '""']
+    return "".join(f'{i},"{cells[i % len(cells)]}",{i % 3}" pipe\n' for i in range(n))
+
+
+@pytest.mark.parametrize("encoding,ending", [("utf-8", "\n"), ("latin1", "\r\n")])
+def test_quoted_line_breaks_are_split(spark, tmp_path, encoding, ending):
+    path = tmp_path / "t.csv"
+    text = '\nid,"te\nxt",size\n' + quoted_cells(700) + '700,"' + "\n" * 9000 + 'é",1\n\n   \n701,last,2'
+    path.write_bytes(text.replace("\n", ending).encode(encoding))
+    rows = [r for r in csv.reader(io.StringIO(text)) if len(r) == 3][1:]
+    want = [(int(i), cell or None, size) for i, cell, size in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert len(spark.read.text(str(path)).select("_metadata.file_block_start").distinct().collect()) >= 8
+        df = read_csv(spark, str(path))
+        assert df.columns == ["id", "te xt", "size"]
+        assert [tuple(r) for r in df.orderBy("id").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quotes_inside_words_open_nothing(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n5" pipe,1\n"x\ny",2\n6" pipe,3\n')
+    assert sorted(tuple(r) for r in read_csv(spark, str(path)).collect()) == [('5" pipe', 1), ('6" pipe', 3), ("x\ny", 2)]
+
+
 def test_same_names_get_numbers(spark, tmp_path):
     for folder in ("one", "two"):
         (tmp_path / folder).mkdir()
