@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_LIMITS, Limits
 from ..functions import scalar as S
-from ..sources.literals import settled
+from ..sources.literals import literal_rows, settled
+from ..sources.sinks import stored
 from . import frequency as Q, order_stats as O
 
 
@@ -77,14 +78,27 @@ def concentration_summary(values: DataFrame) -> DataFrame:
 
 def _grouped_rows(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],
                   null_label: str | None) -> DataFrame:
-    """(cat, num, value, x) of every category and number combination."""
+    """(cat, num, value, whole, x) of every category and number combination, and of ``whole`` groups: all rows of a number.
+
+    Where missing categories form a group, a number has the same rows beside every category: its whole group has no
+    category.  Otherwise there is one for each category.
+    """
     types = Q.dtypes(df)
     slots = {c: f"__g{i}" for i, c in enumerate(categories)}
     keep = [S.label(c, types[c], null_label).alias(slot) for c, slot in slots.items()]
     long = Q.unpivot(df, {n: S.number(n, types[n]) for n in numbers}, "num", "x", keep).filter("x IS NOT NULL")
-    pairs = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(slot).alias("value")) for c, slot in slots.items()])
-    rows = long.select("num", "x", F.explode_outer(pairs).alias("g")).select("g.cat", "num", "g.value", "x")
-    return rows.filter((F.col("cat") != F.col("num")) & F.col("value").isNotNull() & S.finite(F.col("x")).isNotNull())
+
+    def group(cat: str, value: Column, whole: bool) -> Column:
+        return F.struct(F.lit(cat).alias("cat"), value.alias("value"), F.lit(whole).alias("whole"))
+
+    groups = [group(c, F.col(slot), False) for c, slot in slots.items()]
+    if null_label is not None:
+        groups.append(group("", F.lit(""), True))
+    else:
+        groups += [group(c, F.when(F.col(slot).isNotNull(), ""), True) for c, slot in slots.items()]
+    rows = long.select("num", "x", F.explode_outer(F.array(*groups)).alias("g")).select("g.cat", "num", "g.value", "g.whole", "x")
+    other = F.col("whole") & (F.col("cat") == "") | (F.col("cat") != F.col("num"))
+    return rows.filter(other & F.col("value").isNotNull() & S.finite(F.col("x")).isNotNull())
 
 
 def group_profiles(df: DataFrame, categories: Sequence[str], numbers: Sequence[str],
@@ -92,16 +106,21 @@ def group_profiles(df: DataFrame, categories: Sequence[str], numbers: Sequence[s
     """(cat, num, value, count, mean, min, max, median, overall_median, overall_mean, median_vs_overall, flags).
 
     Categories of 2 to 80 levels; of each pair the largest groups with at least 5 rows.
-    Medians are exact and looked for in the kept groups only.
+    Medians are exact and looked for in the kept groups only.  One pass stores the bins of all groups: sizes, means and
+    extremes are their totals, and they say where medians lie.  The overall medians are those of whole groups.
     """
     labels = Q.text_rows(df, categories)
     levels = Q.distinct_up_to(labels, ["column"], "value", limits.group_max_levels + 1)
     fitting = levels.filter(F.col("levels").between(limits.group_min_levels, limits.group_max_levels)).select(
         F.col("column").alias("cat"))
+    if null_label is not None:                     # "" stands for no category: whole groups
+        fitting = fitting.filter("cat <> ''").unionByName(literal_rows(df.sparkSession, [("",)], "cat string"))
+    group = ["cat", "num", "value", "whole"]
     rows = _grouped_rows(df, categories, numbers, null_label).join(F.broadcast(fitting), "cat", "left_semi")
-    sizes = rows.groupBy("cat", "num", "value").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.sum("x").alias("sum"))
+    bins = stored(O.value_bins(rows, group), "group-bins")
+    sizes = bins.filter(~F.col("whole")).groupBy("cat", "num", "value").agg(
+        F.sum("__n").alias("count"), F.min("__low").alias("min"), F.max("__high").alias("max"), F.sum("__sum").alias("sum")
+    ).withColumn("mean", F.col("sum") / F.col("count"))
     pair = Window.partitionBy("cat", "num")        # at most 81 rows each
     judged = (
         sizes.withColumn("pair_rows", F.sum("count").over(pair))
@@ -115,10 +134,17 @@ def group_profiles(df: DataFrame, categories: Sequence[str], numbers: Sequence[s
     )
     # at most 20 groups per pair of columns: the list of kept groups is small
     kept = settled(judged.select("cat", "num", "value", "count", "mean", "min", "max", "overall_mean"))
-    inside = rows.join(F.broadcast(kept.select("cat", "num", "value")), ["cat", "num", "value"], "left_semi")
-    medians = O.quantile_columns(inside, ["cat", "num", "value"], {"median": 0.5})
-    overall = O.quantile_columns(rows.select("cat", "num", "x"), ["cat", "num"], {"overall_median": 0.5})
-    joined = kept.join(F.broadcast(medians), ["cat", "num", "value"]).join(F.broadcast(overall), ["cat", "num"])
+    pairs = kept.select(F.lit("") if null_label is not None else F.col("cat"), "num").distinct()
+    wanted = F.broadcast(kept.select("cat", "num", "value", F.lit(False).alias("whole")).union(
+        pairs.select("*", F.lit(""), F.lit(True))))
+    found = O.quantile_columns(rows.join(wanted, group, "left_semi"), group, {"median": 0.5},
+                               bins=bins.join(wanted, group, "left_semi"))
+    # at most 21 rows per pair of columns: stored once, read for the groups and for the whole
+    found = settled(found)
+    over = ["num"] if null_label is not None else ["cat", "num"]
+    overall = found.filter("whole").select(*over, F.col("median").alias("overall_median"))
+    medians = found.filter(~F.col("whole")).drop("whole")
+    joined = kept.join(F.broadcast(medians), ["cat", "num", "value"]).join(F.broadcast(overall), over)
     ratio = F.try_divide(F.col("median"), F.nullif(F.col("overall_median"), F.lit(0.0)))
     flagged = joined.withColumn("median_vs_overall", ratio)
     far = (F.col("median_vs_overall") >= limits.group_far_high) | (F.col("median_vs_overall") <= limits.group_far_low)

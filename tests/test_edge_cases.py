@@ -236,3 +236,18 @@ def test_hypotheses_cover_all_rules(spark):
     assert ids == list(range(1, len(ids) + 1)) and len(ids) <= 14
     assert done["highlights"].count() <= 16
     assert {"structure", "metrics", "quality_summary", "associations", "outliers", "tests", "recommendations"} <= set(done.results)
+
+
+@pytest.mark.parametrize("label", ["nan", None])
+def test_group_medians_beside_the_whole(spark, label):
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else "xyz"[i % 3], float(i * i % 101), i % 11 or None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, h string, x double, n int")
+    given = pd.DataFrame(rows, columns=["g", "h", "x", "n"])
+    found = C.group_profiles(df, ["g", "h"], ["x", "n"], null_label=label).collect()
+    assert len(found) == (14 if label else 10)
+    for r in found:
+        known = given[given[r["num"]].notna()]
+        names = known[r["cat"]].fillna(label) if label else known[r["cat"]]
+        inside, whole = known[names == r["value"]][r["num"]], known[names.notna()][r["num"]]
+        assert (r["count"], r["median"], r["overall_median"]) == (len(inside), inside.median(), whole.median())
+        assert r["mean"] == pytest.approx(inside.mean()) and r["overall_mean"] == pytest.approx(whole.mean())
