@@ -18,6 +18,7 @@ BIN_OFFSET = 50_000      # keeps the bins of positive numbers positive
 INFINITE_BIN = 200_000
 SLOTS_PER_BIN = 4096     # even slots inside a bin that holds a wanted rank
 SLOTS_TOTAL = 16_384     # even slots over all bins when every value is ranked
+BROADCAST_ROWS = 500_000  # cell totals (some 60 bytes each) above this are joined by a shuffle
 
 
 def _quoted(name: str) -> str:
@@ -141,11 +142,22 @@ def quantile_columns(rows: DataFrame, keys: Sequence[str], names: dict[str, floa
                             *[f"{_interpolated(f'{float(p)!r}D')} AS {_quoted(name)}" for name, p in names.items()])
 
 
-def average_ranks(counts: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n") -> DataFrame:
+def _attached(rows: DataFrame, cells: DataFrame, keys: Sequence[str], columns: Sequence[str], limit: int) -> DataFrame:
+    """``rows`` with columns of their cell; ``cells`` have one row per key and ``__d`` values in each.
+
+    The cells are counted, and broadcast up to ``limit`` of them.  Beyond it only cells with many of the values are, and
+    the others meet their rows by a shuffle.
+    """
+    if cells.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(cells.select(*keys, *columns)), list(keys))
+    return attach_unique(rows, cells, keys, "__d", columns)
+
+
+def average_ranks(counts: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``counts`` (keys..., x, n; one row per distinct x) with ``avg_rank``, ties averaged, from 1.
 
-    ``keys`` must be column names or similarly few: per key there are at most
-    190 000 bins and 16 384 more slots, which bounds what is broadcast.
+    Cell totals grow with the number of keys (per key at most 190 000 bins and 16 384 more slots), so they are broadcast
+    only up to ``limit`` rows; for that they are counted by a small job, and ``counts`` should be a stored table.
     """
     keys = list(keys)
     k = [_quoted(c) for c in keys]
@@ -155,14 +167,14 @@ def average_ranks(counts: DataFrame, keys: Sequence[str], x: str = "x", n: str =
     bins = data.groupBy(*keys, "__bin").agg(
         F.expr(f"sum({n}) AS __n"), F.expr("count(1) AS __d"), F.expr(f"min({x}) AS __low"), F.expr(f"max({x}) AS __high"))
     bins = bins.selectExpr(
-        *k, "__bin", "__low", "__high", f"{_before('__n', keys, '__bin')} AS __base",
+        *k, "__bin", "__d", "__low", "__high", f"{_before('__n', keys, '__bin')} AS __base",
         f"greatest(1, CAST(floor({SLOTS_TOTAL}D * __d / sum(__d) OVER ({by_key})) AS INT)) AS __slots")
-    placed = data.join(F.broadcast(bins), [*keys, "__bin"]).selectExpr(
+    placed = _attached(data, bins, [*keys, "__bin"], ["__low", "__high", "__base", "__slots"], limit).selectExpr(
         *[_quoted(c) for c in counts.columns], "__bin", f"{even_slot(x, '__low', '__high', '__slots')} AS __slot", "__base")
-    slots = placed.groupBy(*keys, "__bin", "__slot", "__base").agg(F.expr(f"sum({n}) AS __n"))
-    slots = slots.selectExpr(*k, "__bin", "__slot", f"__base + {_before('__n', [*keys, '__bin'], '__slot')} AS __start")
+    slots = placed.groupBy(*keys, "__bin", "__slot", "__base").agg(F.expr(f"sum({n}) AS __n"), F.expr("count(1) AS __d"))
+    slots = slots.selectExpr(*k, "__bin", "__slot", "__d", f"__base + {_before('__n', [*keys, '__bin'], '__slot')} AS __start")
     own = [_quoted(c) for c in counts.columns]
-    return placed.selectExpr(*own, "__bin", "__slot").join(F.broadcast(slots), [*keys, "__bin", "__slot"]).selectExpr(
+    return _attached(placed.drop("__base"), slots, [*keys, "__bin", "__slot"], ["__start"], limit).selectExpr(
         *own, f"__start + {_before(n, [*keys, '__bin', '__slot'], x)} + ({n} + 1) / 2 AS avg_rank")
 
 

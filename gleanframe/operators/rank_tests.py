@@ -16,7 +16,7 @@ from .structure import Roles, union_all
 
 def ranks(df: DataFrame, column: str) -> DataFrame:
     """(x, n, avg_rank) for every distinct value of a column."""
-    return O.average_ranks(Q.number_counts(df, [column]), ["column"]).select("x", "n", "avg_rank")
+    return O.average_ranks(stored(Q.number_counts(df, [column]), "ranks"), ["column"]).select("x", "n", "avg_rank")
 
 
 def _side(pairs: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:

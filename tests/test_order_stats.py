@@ -32,6 +32,20 @@ def test_quantiles(spark, name):
     assert np.allclose([got[c] for c in PROBABILITIES], want.to_numpy(), rtol=1e-12, atol=0)
 
 
+@pytest.mark.parametrize("limit", [0, 40, O.BROADCAST_ROWS])
+def test_ranks_by_key_on_both_sides_of_the_limit(spark, limit):
+    rng = np.random.default_rng(3)
+    parts = {"near": 1.7e9 + rng.integers(0, 4000, 3000) / 8.0, "wide": rng.standard_cauchy(900) * 1e4, "one": np.full(9, 2.0)}
+    values = pd.concat([pd.DataFrame({"key": k, "x": v}) for k, v in parts.items()])
+    counts = values.value_counts(["key", "x"]).rename("n").reset_index()
+    got = O.average_ranks(spark.createDataFrame(counts).repartition(4), ["key"], limit=limit)
+    text = got._jdf.queryExecution().toString()
+    assert ("__hot" in text) == (limit < O.BROADCAST_ROWS)
+    want = values.assign(rank=values.groupby("key")["x"].rank()).drop_duplicates(["key", "x"])
+    both = got.toPandas().merge(want, on=["key", "x"])
+    assert len(both) == len(counts) and (both["avg_rank"] == both["rank"]).all()
+
+
 @pytest.mark.parametrize("name", list(cases()))
 def test_average_ranks(spark, name):
     values = pd.Series(cases()[name])
