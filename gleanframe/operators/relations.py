@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -46,21 +48,31 @@ BITS = 62
 def key_values(candidates: Sequence[tuple[int, Table, ColumnFacts]], whole: bool = False) -> DataFrame:
     """(value, m0, m1, ...): every canonical value with bit masks of the columns that hold it.
 
-    All columns of all tables meet in one shuffle.  Masks are combined before it, so a
-    value held by a third of all rows travels as one row per task.  Long values travel
-    as digests unless they are asked for ``whole``.
+    Each column's values are made distinct in their own types, and only then written as keys: numbers and short texts
+    once per distinct value instead of once per row.  All columns of all tables then meet in one shuffle, before which
+    masks are combined.  Long values travel as digests unless they are asked for ``whole``.
     """
-    by_table: dict[str, tuple[Table, dict[str, str]]] = {}
+    types = {t.id: Q.dtypes(t.df) for _, t, _ in candidates}
+
+    def written(c: str, dtype: T.DataType) -> Column:
+        key = S.canonical_key(c, dtype)
+        return key if whole else Q.fingerprint(key, T.StringType())
+
+    parts, direct = [], {}
     for i, t, f in candidates:
-        by_table.setdefault(t.id, (t, {}))[1][str(i)] = f.name
-    parts = []
-    for table, columns in by_table.values():
-        types = Q.dtypes(table.df)
-        keys = {i: S.canonical_key(c, types[c]) for i, c in columns.items()}
-        if not whole:
-            keys = {i: Q.fingerprint(key, T.StringType()) for i, key in keys.items()}
-        parts.append(Q.unpivot(table.df, keys, "id", "value").filter("value IS NOT NULL"))
-    rows = union_all(parts).select("value", F.col("id").cast("int").alias("id"))
+        if Q.carrier(types[t.id][f.name]) == "text":     # a key that depends on the column's type is written per row
+            direct.setdefault(t.id, (t, {}))[1][str(i)] = written(f.name, types[t.id][f.name])
+    for t, keys in direct.values():
+        parts.append(Q.unpivot(t.df, keys, "id", "value").select(F.col("id").cast("int").alias("id"), "value"))
+    carried = Q.carried_rows([(i, t.df, f.name) for i, t, f in candidates if Q.carrier(types[t.id][f.name]) != "text"])
+    for kind, rows in carried.items():
+        key = written("value", rows.schema["value"].dataType)
+        if kind != "long":                               # a long text is written before its one shuffle
+            rows = rows.groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
+            # depends on n, so that the filter on keys is not pushed below the grouping and run for every row
+            key = F.when(F.col("n") > 0, key)
+        parts.append(rows.select("id", key.alias("value")))
+    rows = union_all(parts).filter("value IS NOT NULL")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("id") % BITS)
 
     def mask(k: int) -> Column:
@@ -169,8 +181,8 @@ def link_examples(tables: Sequence[Table], facts: Mapping[str, Facts], links: Da
                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(left_table, left_column, right_table, right_column, rank, value): the first shared values of each link.
 
-    Only columns of the given links (metadata rows) are read.  Each value is tested against the
-    masks of these links, and every task keeps the first values of a link before they are shuffled.
+    Only columns of the given links (metadata rows) are read.  The first values are found per set of columns that hold
+    them, of which every task keeps the first ones before they are shuffled; links then choose among those few.
     """
     spark = tables[0].df.sparkSession
     keys = ["left_table", "left_column", "right_table", "right_column"]
@@ -186,6 +198,9 @@ def link_examples(tables: Sequence[Table], facts: Mapping[str, Facts], links: Da
         return F.call_function("bit_get", F.col(f"m{i // BITS}"), F.lit(i % BITS)) == 1
 
     tests = [F.when(held(link[:2]) & held(link[2:]), F.lit(k)) for k, link in enumerate(wanted)]
+    masks = [c for c in values.columns if c != "value"]
+    several = reduce(add, [F.bit_count(m) for m in masks]) > 1
+    values = Q.top_per_group(values.filter(several), masks, [F.asc("value")], limits.link_examples)
     shared = values.select("value", F.explode(F.array_compact(F.array(*tests))).alias("link"))
     first = Q.top_per_group(shared, ["link"], [F.asc("value")], limits.link_examples)
     named = literal_rows(spark, [(k, *link) for k, link in enumerate(wanted)],

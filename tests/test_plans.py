@@ -92,3 +92,15 @@ def test_single_partitions_hold_totals_only(data):
             if "Exchange SinglePartition" in line:
                 assert re.search(r"Aggregate\(.*partial_|LocalLimit|TakeOrdered|Aggregate\(keys=\[", lines[i + 1]) or "Scan parquet" not in lines[i + 1], (name, lines[i + 1])
     assert "SinglePartition" not in plan(O.quantile_columns(Q.number_rows(data.lineitem, ["l_tax"]), ["column"], {"m": 0.5}))
+
+
+def test_values_are_distinct_before_they_are_written_or_tested(data):
+    """Only the grouping of (id, value) may lie between a table and the work on each value's text."""
+    tables = data.tables("orders", "customer")
+    facts = K.table_facts(tables)
+    columns = [(i, t, facts[t.id][c]) for i, (t, c) in enumerate((t, c) for t in tables for c in t.df.columns if t.df.schema[c].dataType.simpleString() != "timestamp_ntz")]
+    levels = Q.level_counts([(i, t.df, f.name) for i, t, f in columns], K.TEXT_TESTS)
+    for df in (J.key_values(columns), J.key_values(columns, whole=True), levels):
+        below = [b.split("FileScan")[0] for b in re.split(r"Exchange hashpartitioning\(id#\d+, value#\d+, \d+\)", plan(df))[1:]]
+        assert len(below) == 2                                # whole numbers, short text
+        assert not [b for b in below if re.search("(?i)regexp|rlike|trim|as string", b)]
