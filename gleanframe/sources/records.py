@@ -21,8 +21,9 @@ def _left_open(line: Column, separator: str) -> Column:
     A quote opens only at the start of a field; what follows a closing quote up to the separator counts for nothing.
     """
     sep = re.escape(separator)
-    rest = F.regexp_replace(line, f'(?<=^|{sep})"[^"]*+"[^{sep}]*+', "")
-    return rest.rlike(f'(?:^|{sep})"')
+    # the quote comes first in the patterns, then what stands before it: so a search looks at quotes, not at every sign
+    rest = F.regexp_replace(line, f'"(?<=(?:^|{sep})")[^"]*+"[^{sep}]*+', "")
+    return rest.rlike(f'"(?<=(?:^|{sep})")')
 
 
 def _bare(line: Column) -> Column:
@@ -32,14 +33,15 @@ def _bare(line: Column) -> Column:
 
 def opens_quote(line: Column, separator: str) -> Column:
     """Whether a line that begins outside quotes ends inside them."""
-    return _left_open(_bare(line), separator)
+    return F.when(F.contains(line, F.lit('"')), _left_open(_bare(line), separator)).otherwise(False)
 
 
 def stays_inside(line: Column, separator: str) -> Column:
     """Whether a line that begins inside quotes ends inside them."""
     bare = _bare(line)
     closed = F.instr(bare, '"')
-    return F.when(closed == 0, True).otherwise(_left_open(F.concat(F.lit("x"), F.substr(bare, closed + 1)), separator))
+    left_open = F.when(closed == 0, True).otherwise(_left_open(F.concat(F.lit("x"), F.substr(bare, closed + 1)), separator))
+    return F.when(F.contains(line, F.lit('"')), left_open).otherwise(True)
 
 
 def _states_before(maps: DataFrame, within: Sequence[str], order: str, **first: int) -> DataFrame:

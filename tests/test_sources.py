@@ -6,8 +6,10 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanframe.sources import sinks
+from gleanframe.sources.records import opens_quote
 from gleanframe.sources.tables import as_table, load_tables, preview, read_csv
 
 
@@ -139,3 +141,14 @@ def test_save_and_reload(spark, tmp_path):
     assert sinks.reload_tables(spark, str(tmp_path / "tables"), ["t"])[0].df.collect() == df.collect()
     sinks.save_results({"r": df}, str(tmp_path / "results"))
     assert spark.read.json(str(tmp_path / "results" / "r")).first()["s"] == "a"
+
+
+def test_split_files_are_put_together_once(spark, tmp_path):
+    """Types are found, and the table is read, from the stored cells; a search for quotes leaves lines without one alone."""
+    path = tmp_path / "a.csv"
+    path.write_text('id,note\n1,"a\nb"\n2,"c ""d"""\n3,\n')
+    df = read_csv(spark, str(path))
+    assert sorted(df.collect()) == [(1, "a\nb"), (2, 'c "d"'), (3, None)]
+    assert all(f.endswith(".parquet") for f in df.inputFiles())
+    plan = spark.read.text(str(path)).select(opens_quote(F.col("value"), ","))._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(value" in plan
